@@ -45,7 +45,9 @@ def targets(sizes: DataFrame, weights: tuple[int, ...] = WEIGHTS, most_times: in
     out = out.withColumn("_left", F.sum("source_size").over(every) - F.coalesce(F.sum("_cap").over(before), F.lit(0.0)))
     out = out.withColumn("_weights", F.sum("weight").over(every) - F.coalesce(F.sum("weight").over(before), F.lit(0.0)))
     out = out.withColumn("_level", F.col("_left") / F.col("_weights"))
-    out = out.withColumn("_level", F.min(F.when(F.col("_level") * F.col("weight") <= F.col("_cap"), F.col("_level"))).over(every))
+    # The first source that its cap doesn't stop sets the level for itself and all after it.
+    free = F.when(F.col("_level") * F.col("weight") <= F.col("_cap"), F.struct((F.col("_cap") / F.col("weight")).alias("at"), "source_no", F.col("_level").alias("level")))
+    out = out.withColumn("_level", F.min(free).over(every)["level"])
     return out.withColumn("target", F.coalesce(F.least(F.col("_level") * F.col("weight"), F.col("_cap")), F.col("_cap"))).drop("_cap", "_left", "_weights", "_level")
 
 
@@ -123,10 +125,14 @@ def permuted(index: Column, n: Column, seed: int, *keys: Column, rounds: int = 4
     """
     for r in range(rounds):
         pivot = F.pmod(F.xxhash64(F.lit(seed + 7919 * r), *keys), n)
-        index = F.transform(F.array(index), lambda i, p=pivot, r=r: _swap(i, F.pmod(p - i + n, n), seed + 104_729 * r, keys))[0]
+        index = _round(index, pivot, n, seed + 104_729 * r, keys)
     return index
 
 
+def _round(index: Column, pivot: Column, n: Column, seed: int, keys: tuple[Column, ...]) -> Column:
+    return F.get(F.transform(F.array(index), lambda i: _swap(i, F.pmod(pivot - i + n, n), seed, keys)), F.lit(0))
+
+
 def _swap(i: Column, partner: Column, seed: int, keys: tuple[Column, ...]) -> Column:
     return F.when(F.pmod(F.xxhash64(F.lit(seed), F.greatest(i, partner), *keys), F.lit(2)) == 1, partner).otherwise(i)
 

@@ -12,6 +12,24 @@ from .common import stored, table
 BASE = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept")
 
 
+def op1_token_output(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .tokenfile import round_trip
+
+    return round_trip(table(spark, sf_dir, "documents"))
+
+
+def op2_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .packing import pack
+
+    return pack(table(spark, sf_dir, "documents").select("doc_id", "text"))
+
+
+def op3_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .tokencount import token_counts
+
+    return token_counts(table(spark, sf_dir, "documents").select("doc_id", "text"))
+
+
 def op7_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .quality import quality
 
@@ -24,5 +42,12 @@ def op9_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixed(stored(sized(table(spark, sf_dir, "documents")), "sizes")).select("doc_id", "size", "source_size", "target", "taken")
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op7_quality_rules, op9_mix_sources)}
+def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .toxicity import toxicity
+
+    return toxicity(table(spark, sf_dir, "documents").select("doc_id", "text"), table(spark, sf_dir, "labels"))
+
+
+ALL = (op1_token_output, op2_best_fit_packing, op3_token_counts, op7_quality_rules, op9_mix_sources, op10_toxicity)
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in ALL}
 ORACLES: dict[str, str] = {}
