@@ -30,6 +30,12 @@ def op3_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_counts(table(spark, sf_dir, "documents").select("doc_id", "text"))
 
 
+def op6_warc_archives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .warc import round_trip
+
+    return round_trip(table(spark, sf_dir, "pages"))
+
+
 def op7_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .quality import quality
 
@@ -54,6 +60,6 @@ def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity(table(spark, sf_dir, "documents").select("doc_id", "text"), table(spark, sf_dir, "labels"))
 
 
-ALL = (op1_token_output, op2_best_fit_packing, op3_token_counts, op7_quality_rules, op8_jaccard_join, op9_mix_sources, op10_toxicity)
+ALL = (op1_token_output, op2_best_fit_packing, op3_token_counts, op6_warc_archives, op7_quality_rules, op8_jaccard_join, op9_mix_sources, op10_toxicity)
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in ALL}
 ORACLES: dict[str, str] = {}
