@@ -30,6 +30,19 @@ def op3_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_counts(table(spark, sf_dir, "documents").select("doc_id", "text"))
 
 
+def op4_main_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .html import main_text
+
+    return main_text(table(spark, sf_dir, "pages"))
+
+
+def op5_nearest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .nearest import search
+
+    vectors = table(spark, sf_dir, "embeddings")
+    return search(vectors, vectors.where("vec_id % 50 = 0"), k=5)
+
+
 def op6_warc_archives(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .warc import round_trip
 
@@ -60,6 +73,6 @@ def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity(table(spark, sf_dir, "documents").select("doc_id", "text"), table(spark, sf_dir, "labels"))
 
 
-ALL = (op1_token_output, op2_best_fit_packing, op3_token_counts, op6_warc_archives, op7_quality_rules, op8_jaccard_join, op9_mix_sources, op10_toxicity)
+ALL = (op1_token_output, op2_best_fit_packing, op3_token_counts, op4_main_text, op5_nearest, op6_warc_archives, op7_quality_rules, op8_jaccard_join, op9_mix_sources, op10_toxicity)
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in ALL}
 ORACLES: dict[str, str] = {}
