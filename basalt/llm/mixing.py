@@ -165,3 +165,9 @@ def _with_taken(docs: DataFrame, at: DataFrame, known: DataFrame, taken: DataFra
 def sized(docs: DataFrame, text: str = "text") -> DataFrame:
     """doc_id, source and ``size``, the number of words."""
     return docs.select("doc_id", "source", n_words(F.col(text)).alias("size"))
+
+
+def copies(mix: DataFrame, seed: int = 0) -> DataFrame:
+    """Adds ``copies``: taken over size as a whole number, rounded up with the odds of its fraction by a hash of the id."""
+    share = F.col("taken") / F.col("size")
+    return mix.withColumn("copies", F.when(F.col("size") > 0, F.floor(share) + (_uniform(seed + 17, F.col("doc_id")) < share - F.floor(share)).cast("int")).otherwise(0).cast("int"))
