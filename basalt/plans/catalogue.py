@@ -2,5 +2,5 @@
 
 from __future__ import annotations
 
-QUERIES: dict = {}
-ORACLES: dict = {}
+from . import retrieval  # noqa: F401
+from .registry import ORACLES, QUERIES  # noqa: F401
