@@ -29,8 +29,13 @@ def toxicity(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that the base rules and the n-gram model keep."""
-    return quality(docs.select(*COLUMNS), table(spark, sf_dir, "labels")).where("kept").select(*COLUMNS)
+    """Documents that the base rules and the n-gram model keep.
+
+    A filter is never pushed below a drawn number, so the rules are evaluated once, in the projections that share them,
+    and not again in a filter that repeats all their expressions.
+    """
+    judged = quality(docs.select(*COLUMNS), table(spark, sf_dir, "labels")).withColumn("_drawn", F.rand(0))
+    return judged.where("kept and _drawn >= 0").select(*COLUMNS)
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
