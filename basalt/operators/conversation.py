@@ -46,7 +46,7 @@ def topic_changes(messages: DataFrame, overlap: float = TOPIC_OVERLAP, least: in
     """Each user message with topic_change: few of its tokens occur in the user message before it."""
     rows = user_turns(messages, session, order).withColumn("tokens", F.array_distinct(T.terms(F.col("text"))))
     previous = F.lag("tokens").over(Window.partitionBy(session).orderBy("user_turn"))
-    rows = rows.withColumn("_p", previous).withColumn("_o", F.when(F.size("tokens") > 0, F.size(F.array_intersect("tokens", "_p")) / F.size("tokens")).otherwise(0.0))
+    rows = rows.withColumn("_p", previous).withColumn("_o", F.when((F.size("tokens") > 0) & F.col("_p").isNotNull(), F.size(F.array_intersect("tokens", "_p")) / F.size("tokens")).otherwise(0.0))
     change = F.col("_p").isNotNull() & (F.length("text") >= least) & (F.col("_o") < overlap)
     return rows.select(session, order, "user_turn", F.round("_o", 6).alias("overlap"), change.alias("topic_change"))
 

@@ -2,5 +2,5 @@
 
 from __future__ import annotations
 
-from . import retrieval  # noqa: F401
+from . import conversation, operations, retrieval  # noqa: F401
 from .registry import ORACLES, QUERIES  # noqa: F401
