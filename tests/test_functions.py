@@ -41,7 +41,7 @@ def test_text(spark):
     assert one(spark, T.answer_text(F.col("t")), t="<answer>a</answer>x<answer> b</answer>") == "a\n\nb"
     assert one(spark, T.safe_prefix(F.col("t")), t="text <ans") == "text "
     assert one(spark, T.json_object(F.col("t")), t='x ```json\n{"a": 1}\n``` y') == '{"a": 1}'
-    assert one(spark, T.json_array(F.col("t"), "results"), t='{"results": [1, 2]}') == "[1, 2]"
+    assert one(spark, T.json_array(F.col("t"), "results"), t='{"results": [1, 2]}') == "[1,2]"
     assert one(spark, T.title_path(F.array(*map(F.lit, ("a", "a", "b", ""))))) == "a > b"
     assert one(spark, T.distinct_folded(F.array(*map(F.lit, ("A b", "a  B", "", "c"))))) == ["A b", "c"]
     assert one(spark, T.html_text(F.lit("<p>a</p><script>x</script><p>a</p><p> b &amp; c</p>"))) == "a\nb & c"
