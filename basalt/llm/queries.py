@@ -7,6 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from . import oracles
 from .common import stored, table
 
 BASE = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept")
@@ -75,4 +76,4 @@ def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 ALL = (op1_token_output, op2_best_fit_packing, op3_token_counts, op4_main_text, op5_nearest, op6_warc_archives, op7_quality_rules, op8_jaccard_join, op9_mix_sources, op10_toxicity)
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in ALL}
-ORACLES: dict[str, str] = {}
+ORACLES: dict[str, str] = {"op6_warc_archives": oracles.WARC, "op7_quality_rules": oracles.QUALITY, "op8_jaccard_join": oracles.JACCARD}
