@@ -233,15 +233,15 @@ def _searched(held: list, k: int) -> Iterator:
     if not len(x) or not len(q):
         return
     graph = Graph(unit(x))
-    exact = x / np.linalg.norm(x, axis=1, keepdims=True)
+    norms = np.sqrt((x * x).sum(1))
     for a in range(0, len(q), QUERY_BLOCK):
         some = v[a : a + QUERY_BLOCK]
-        some = some / np.linalg.norm(some, axis=1, keepdims=True)
-        beams, _ = graph.search(some.astype(np.float32), BEAM)
+        lengths = np.sqrt((some * some).sum(1))
+        beams, _ = graph.search(unit(some), BEAM)
         rows = []
         for i, (query, beam) in enumerate(zip(q[a : a + QUERY_BLOCK].tolist(), beams, strict=True)):
             beam = beam[beam >= 0]
-            score = exact[beam] @ some[i]
+            score = (x[beam] * some[i]).sum(1) / (norms[beam] * lengths[i])
             out = sorted((-s, other) for node, s in zip(beam.tolist(), score.tolist(), strict=True) for other in ids[node] if other != query)[:k] if len(beam) <= 2 * k else _best(beam, score, ids, query, k)
             rows += [(query, other, -s) for s, other in out]
         if rows:
