@@ -2,5 +2,5 @@
 
 from __future__ import annotations
 
-from . import conversation, corpus, evaluation, operations, relational, retrieval  # noqa: F401
+from . import conversation, corpus, evaluation, operations, pages, relational, retrieval  # noqa: F401
 from .registry import ORACLES, QUERIES  # noqa: F401

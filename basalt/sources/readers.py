@@ -10,6 +10,8 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from ..storage import stored
+
 # Encodings in the order in which they are tried.
 ENCODINGS = ("utf-8", "euc-kr", "utf-8-sig", "cp949")
 PARSERS = {"pdf": ["pdf"], "slides": ["pptx", "ppt"], "sheet": ["xlsx", "xls", "csv"], "text": ["docx", "doc"], "hwp": ["hwp"]}
@@ -135,12 +137,12 @@ def sheets(spark: SparkSession, path: str) -> DataFrame:
 
 
 def tree(spark: SparkSession, nodes: DataFrame, root, node: str = "id", parent: str = "parent_id", most: int = 32) -> DataFrame:
-    """Nodes below a root with their depth; a node is visited once, so cycles end."""
+    """Nodes below a root with their depth; a node is visited once, so cycles end. Every level is stored."""
     edges = nodes.select(F.col(node).alias("_id"), F.col(parent).alias("_parent"))
-    found = nodes.where(F.col(node) == root).select(F.col(node).alias("id"), F.lit(0).alias("depth")).limit(1)
-    level = found
+    found = level = stored(nodes.where(F.col(node) == root).select(F.col(node).alias("id"), F.lit(0).alias("depth")).limit(1), "root")
     for depth in range(1, most + 1):
-        level = edges.join(level.select(F.col("id").alias("_parent")), "_parent").select(F.col("_id").alias("id"), F.lit(depth).alias("depth")).distinct().join(found.select("id"), "id", "left_anti")
+        below = edges.join(level.select(F.col("id").alias("_parent")), "_parent").select(F.col("_id").alias("id"), F.lit(depth).alias("depth")).distinct()
+        level = stored(below.join(found.select("id"), "id", "left_anti"), "level")
         if level.isEmpty():
             break
         found = found.unionByName(level)
