@@ -17,6 +17,7 @@ toxic or any clean label everything scores 0; rows that repeat an id are scored
 from __future__ import annotations
 
 import zlib
+from array import array
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -88,8 +89,12 @@ def train(texts: list[str], toxic: list[int], steps: int = STEPS, seed: int = 0)
     y = np.array([d[1] for d in docs])
     if not len(y) or y.min() == y.max():
         return Model(np.zeros((BUCKETS, DIMENSIONS), np.float32), np.zeros((2, DIMENSIONS), np.float32), np.array([0.0, 60.0 if len(y) and y.max() else -60.0]))
-    lists = [grams(w) for w in vocabulary]
-    gram, gram_n = np.fromiter((g for x in lists for g in x), np.int64), np.fromiter(map(len, lists), np.int64)
+    flat, sizes = array("i"), array("i")
+    for w in vocabulary:
+        found = grams(w)
+        flat.extend(found)
+        sizes.append(len(found))
+    gram, gram_n = np.frombuffer(flat, np.int32), np.frombuffer(sizes, np.int32).astype(np.int64)
     gram_at = np.cumsum(gram_n) - gram_n
     weight = {1.0: 1.0, 0.0: min(1.0, 2 * y.sum() / (1 - y).sum())}
 
