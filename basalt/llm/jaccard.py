@@ -340,7 +340,7 @@ def jaccard_join(docs: DataFrame, threshold: float = THRESHOLD, doc_id: str = "d
     wanted = groups.join(classes.select("node", "first_id", "n_docs"), "node")
     # A class's text is that of its first id; as ids may repeat, its set's key is compared, and one row of each stays.
     texts = docs.join(wanted, docs["doc_id"].eqNullSafe(F.col("first_id"))).select("node", "root", "n_docs", word_hashes(F.col("text")).alias("w"))
-    found = stored(verified(_right_texts(texts), threshold), "links")
+    found = stored(verified(stored(_right_texts(texts), "members"), threshold), "links")
     links = found.where("links > 0").groupBy("node").agg(F.sum("links").alias("links"))
     exact = components(found.where("node != other").select(F.col("node").alias("a"), F.col("other").alias("b")))
     named = classes.select("node", "first_id", "n_docs").join(exact, "node", "left").join(links, "node", "left").withColumn("root", F.coalesce("root", "node"))
