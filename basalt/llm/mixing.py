@@ -26,7 +26,7 @@ SHARD_SLOTS = 1024
 WEIGHTS = (5, 2, 1)
 MOST_TIMES = 3
 #: Documents that one group of the running sums holds on average.
-GROUP_ROWS = 4096
+GROUP_ROWS = 1024
 
 
 def targets(sizes: DataFrame, weights: tuple[int, ...] = WEIGHTS, most_times: int = MOST_TIMES) -> DataFrame:
