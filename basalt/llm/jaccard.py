@@ -36,7 +36,7 @@ HASHES = 128
 BANDS, ROWS = 24, 4
 BLOCK = 256
 STEP = 16
-TOLERANCE = 1e-5
+TOLERANCE = 1e-7
 #: Members and shingles of a block in the exact stage.
 EXACT_BLOCK, EXACT_WORDS = 128, 1 << 16
 
