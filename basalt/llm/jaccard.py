@@ -36,7 +36,11 @@ HASHES = 128
 BANDS, ROWS = 24, 4
 BLOCK = 256
 STEP = 16
-TOLERANCE = 1e-7
+TOLERANCE = 1e-6
+#: Surviving pairs that a task holds before it turns them into a forest.
+HELD_PAIRS = 200_000
+#: Words of documents that a task turns into shingles at once, and rows that it gets at once.
+BATCH_WORDS, BATCH_ROWS = 1 << 17, 400
 #: Members and shingles of a block in the exact stage.
 EXACT_BLOCK, EXACT_WORDS = 128, 1 << 16
 
@@ -135,6 +139,19 @@ def _flat(lists) -> tuple[np.ndarray, np.ndarray]:
     return lists.flatten().to_numpy(zero_copy_only=False), sizes
 
 
+def _bounded(batches: Iterator, column: int) -> Iterator:
+    """Batches in parts of at most ``BATCH_WORDS`` list values (a longer list is a part of its own)."""
+    import pyarrow.compute as pc
+
+    for batch in batches:
+        sizes = pc.fill_null(pc.list_value_length(batch.column(column)), 0).to_numpy(zero_copy_only=False)
+        part = np.cumsum(sizes, dtype=np.int64) // BATCH_WORDS
+        cuts = np.r_[0, np.flatnonzero(part[1:] != part[:-1]) + 1, len(part)]
+        for a, b in zip(cuts[:-1], cuts[1:], strict=True):
+            if b > a:
+                yield batch.slice(a, b - a)
+
+
 def word_hashes(text: Column) -> Column:
     return F.transform(words(text), lambda w: F.xxhash64(w))
 
@@ -145,7 +162,7 @@ def signed(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataF
     def work(batches: Iterator) -> Iterator:
         import pyarrow as pa
 
-        for batch in batches:
+        for batch in _bounded(batches, 1):
             w, sizes = _flat(batch.column(1))
             value, doc = shingles(w, sizes)
             n = len(sizes)
@@ -160,7 +177,7 @@ def signed(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataF
     return docs.select(doc_id, word_hashes(F.col(text)).alias("w")).mapInArrow(work, f"doc_id {kind}, node long, bands array<long>, signature binary")
 
 
-def _groups(batches: Iterator, key: str, rows: int = 20_000) -> Iterator:
+def _groups(batches: Iterator, key: str, rows: int = 8_000) -> Iterator:
     """Tables of whole groups of a partition that is sorted by key, of about so many rows."""
     import pyarrow as pa
 
@@ -197,14 +214,14 @@ def _forest(n: int, a: np.ndarray, b: np.ndarray) -> np.ndarray:
 def _surviving(cell: np.ndarray, node: np.ndarray, signature: np.ndarray, least: list[int]) -> tuple[np.ndarray, np.ndarray]:
     """Edges (node, smaller node) that span the pairs within cells which pruning leaves."""
     n = len(cell)
-    left, right = [], []
+    left, right, held, known = [], [], 0, []
     row = np.arange(n - 1)
     distance = 1
     while len(row):
         row = row[row + distance < n]
         row = row[cell[row] == cell[row + distance]]
-        for k in range(0, len(row), 1 << 16):
-            i = row[k : k + (1 << 16)]
+        for k in range(0, len(row), 1 << 15):
+            i = row[k : k + (1 << 15)]
             j = i + distance
             keep = node[i] != node[j]
             i, j = i[keep], j[keep]
@@ -216,12 +233,19 @@ def _surviving(cell: np.ndarray, node: np.ndarray, signature: np.ndarray, least:
                 i, j, found = i[keep], j[keep], found[keep]
                 if not len(i):
                     break
-            left.append(i)
-            right.append(j)
+            left.append(i.astype(np.int32))
+            right.append(j.astype(np.int32))
+            held += len(i)
+            if held >= HELD_PAIRS:  # a forest takes the place of the pairs so far
+                known.append(_edges(node, np.concatenate(left), np.concatenate(right)))
+                left, right, held = [], [], 0
         distance += 1
-    if not left:
+    if left:
+        known.append(_edges(node, np.concatenate(left), np.concatenate(right)))
+    if not known:
         return np.zeros(0, np.int64), np.zeros(0, np.int64)
-    return _edges(node, np.concatenate(left), np.concatenate(right))
+    a, b = (np.concatenate([e[k] for e in known]) for k in (0, 1))
+    return _edges(np.concatenate([a, b]), np.arange(len(a)), np.arange(len(a)) + len(a))
 
 
 def _edges(node: np.ndarray, i: np.ndarray, j: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -332,7 +356,7 @@ def verified(members: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
 
 def jaccard_join(docs: DataFrame, threshold: float = THRESHOLD, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """doc_id, class_id, n_links of every document."""
-    small_batches(docs.sparkSession)
+    small_batches(docs.sparkSession, BATCH_ROWS)
     docs = docs.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text"))
     rows = stored(signed(docs), "signatures")
     classes = stored(rows.where("node is not null").groupBy("node").agg(F.min("doc_id").alias("first_id"), F.count(F.lit(1)).alias("n_docs"), F.first("bands").alias("bands"), F.first("signature").alias("signature")), "classes")
@@ -354,10 +378,12 @@ def jaccard_join(docs: DataFrame, threshold: float = THRESHOLD, doc_id: str = "d
 def _right_texts(texts: DataFrame) -> DataFrame:
     """Rows whose text has the node's set, one of each node."""
 
+    at = texts.columns.index("w")
+
     def work(batches: Iterator) -> Iterator:
         import pyarrow as pa
 
-        for batch in batches:
+        for batch in _bounded(batches, at):
             node, w = _columns(batch, "node", "w")
             value, doc = shingles(*_flat(w))
             right = set_keys(value, doc, batch.num_rows) == node.to_numpy()
