@@ -166,7 +166,7 @@ def problems(kind: Column, key: Column, text: Column, expand: Column, parent: Co
 def table_rows(markdown: Column) -> Column:
     """Rows of a markdown table as arrays of cells; separator rows dropped."""
     lines = F.filter(F.split(markdown, "\n"), lambda x: F.trim(x).rlike(r"^\|.*\|$") & ~F.trim(x).rlike(r"^\|[\s:|-]+\|$"))
-    return F.transform(lines, lambda x: F.transform(F.split(F.regexp_replace(F.trim(x), r"^\||\|$", ""), r"\|"), F.trim))
+    return F.transform(lines, lambda x: F.transform(F.split(F.regexp_replace(F.trim(x), r"^\||\|$", ""), r"\|"), lambda c: F.trim(c)))
 
 
 def markdown_table(rows: DataFrame, columns: list[str], order: str, group: str) -> DataFrame:
