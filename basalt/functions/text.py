@@ -257,8 +257,9 @@ def html_text(html: Column) -> Column:
     for entity, char in (("&nbsp;", " "), ("&lt;", "<"), ("&gt;", ">"), ("&quot;", '"'), ("&#39;", "'"), ("&amp;", "&")):
         c = F.replace(c, F.lit(entity), F.lit(char))
     lines = F.filter(F.transform(F.split(c, "\n"), lambda x: F.trim(F.regexp_replace(x, r"[ \t\r\f]+", " "))), lambda x: x != "")
-    once = F.filter(F.arrays_zip(lines.alias("l"), F.transform(lines, lambda x, i: i).alias("i")), lambda z: (z["i"] == 0) | (z["l"] != F.get(lines, F.greatest(z["i"] - 1, F.lit(0)))))
-    return F.array_join(F.transform(once, lambda z: z["l"]), "\n")
+    # The lines are bound once: an expression that each element looks at would be computed for each element.
+    once = lambda ls: F.filter(ls, lambda x, i: (i == 0) | (x != F.get(ls, F.greatest(i - 1, F.lit(0)))))
+    return F.array_join(F.get(F.transform(F.array(lines), once), F.lit(0)), "\n")
 
 
 def links(html: Column) -> Column:
