@@ -12,7 +12,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from basalt.llm.common import stored, table
+from basalt.llm.common import n_words, stored, table
 from basalt.llm.jaccard import jaccard_join
 from basalt.llm.mixing import copies, mixed, sized
 from basalt.llm.packing import pack
@@ -38,18 +38,37 @@ def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
     return judged.where("kept and _drawn >= 0").select(*COLUMNS)
 
 
+def keyed(docs: DataFrame) -> DataFrame:
+    """Documents with ``_key``, by which they are told apart and ordered: id (null last), then a hash of all columns.
+
+    Ids may be null or repeat. Rows of one key are equal in every column, but for two rows of one id (or without one) whose
+    64-bit hashes agree.
+    """
+    whole = [c for name in COLUMNS for c in (F.col(name).isNull(), F.col(name))]
+    return docs.select(*COLUMNS, F.struct(F.col("doc_id").isNull().alias("absent"), F.col("doc_id").alias("id"), F.xxhash64(*whole).alias("hash")).alias("_key"))
+
+
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of linked ones: that with the smallest id. Rows without an id stay."""
-    docs = docs.select(*COLUMNS)
-    first = jaccard_join(docs).where("doc_id = class_id").select("doc_id").distinct()
-    return docs.join(first, "doc_id", "left_semi").dropDuplicates(["doc_id"]).select(*COLUMNS).unionByName(docs.where("doc_id is null"))
+    """One document of each group of linked ones: that with the smallest id, null last, and of equal ids with the smallest hash.
+
+    Rows are judged one by one, with or without an id of their own. Rows without words link with nothing and all stay.
+    """
+    docs = keyed(docs)
+    first = jaccard_join(docs, doc_id="_key").where("doc_id = class_id").select(F.col("doc_id").alias("_key")).distinct()
+    alone = F.when(n_words(F.col("text")) == 0, F.monotonically_increasing_id())
+    return docs.withColumn("_alone", alone).join(first, "_key", "left_semi").dropDuplicates(["_key", "_alone"]).select(*COLUMNS)
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents as often as the mix takes their words: a document that it takes k times over is k rows."""
-    docs = docs.select(*COLUMNS)
-    times = copies(mixed(stored(sized(docs), "sizes"))).where("copies > 0").groupBy("doc_id").agg(F.max("copies").alias("copies"))
-    taken = docs.join(times, "doc_id").withColumn("_", F.explode(F.sequence(F.lit(1), F.col("copies"))))
+    """Documents as often as the mix takes their words: a document that it takes k times over is k rows.
+
+    Every row counts by itself, with or without an id of its own. Rows that are equal in all columns are one, with the
+    copies of all of them.
+    """
+    docs = keyed(docs)
+    rows = docs.select(F.col("_key").alias("doc_id"), "source", "text")
+    times = copies(mixed(stored(sized(rows), "sizes"))).where("copies > 0").groupBy(F.col("doc_id").alias("_key")).agg(F.sum("copies").alias("copies"))
+    taken = docs.join(times, "_key").dropDuplicates(["_key"]).withColumn("_", F.explode(F.sequence(F.lit(1), F.col("copies").cast("int"))))
     return taken.select(*COLUMNS)
 
 

@@ -197,3 +197,38 @@ def test_pipeline(spark, small):
 
     assert check_places(seen[4][2].collect()) > 0
     assert p.run(spark, small).count() == seen[4][2].count()
+
+
+COLUMNS = "doc_id long, text string, lang string, source string, n_chars long"
+
+
+def made(spark, rows):
+    return spark.createDataFrame([(i, t, "en", s, len(t)) for i, t, s in rows], COLUMNS).repartition(3)
+
+
+def test_near_duplicates_by_row(spark, small):
+    import corpus_pipeline as p
+
+    a, b, c, d = (" ".join(f"{x}{k}" for k in range(30)) for x in "abcd")
+    rows = [(1, a, "s"), (2, a, "t"), (2, b, "s"), (None, a, "s"), (None, c, "s"), (None, c, "t"), (None, c, "s"), (3, d, "s"), (3, d, "s"), (4, "", "s"), (4, "", "s")]
+    got = [sorted((r["doc_id"] or 0, r["text"]) for r in p.near_duplicates(spark, made(spark, rows), small).collect()) for _ in range(2)]
+    assert got[0] == got[1] == sorted([(1, a), (2, b), (0, c), (3, d), (4, ""), (4, "")])
+
+
+def test_mix_sources_by_row(spark, small):
+    import corpus_pipeline as p
+    from basalt.llm.mixing import copies, mixed, sized
+
+    r = random.Random(9)
+    rows = [(None if k % 3 == 0 else k // 4, " ".join(f"w{k}x{j}" for j in range(r.randrange(40, 160))), "st"[k % 2]) for k in range(600)]
+    rows += rows[:20]
+    docs = made(spark, rows)
+    out = [(x["doc_id"], x["text"], x["source"]) for x in p.mix_sources(spark, docs, small).collect()]
+    assert set(out) <= set(rows)
+    # Every row is one document: what the mix takes of rows with distinct ids is about what it takes of these.
+    plain = made(spark, [(k, t, s) for k, (_, t, s) in enumerate(rows)])
+    want = {x["source"]: x["n"] for x in copies(mixed(sized(plain))).groupBy("source").agg({"copies": "sum"}).withColumnRenamed("sum(copies)", "n").collect()}
+    for s in "st":
+        assert abs(sum(x[2] == s for x in out) - want[s]) < 0.1 * want[s]
+    without = sum(x[0] is None for x in out) / len(out)
+    assert abs(without - sum(x[0] is None for x in rows) / len(rows)) < 0.1
