@@ -106,7 +106,7 @@ def q_signals(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("""WITH e AS (SELECT user_id::VARCHAR AS name, strftime(ts, '%Y-%m-%d') AS d, event_id, event_type FROM events WHERE user_id < 40), p AS (SELECT name, d, string_agg(event_type, ', ' ORDER BY event_id) AS t FROM e GROUP BY name, d)
 SELECT name, string_agg(d || ': ' || t, chr(10) ORDER BY d) AS schedule FROM p GROUP BY name""")
 def q_schedule_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
-    items = table(spark, sf_dir, "events").where("user_id < 40").select(F.col("user_id").cast("string").alias("name"), F.date_format("ts", "yyyy-MM-dd").alias("date"), F.col("event_id").alias("pos"), F.col("event_type").alias("type"), F.lit("").alias("start_time"), F.lit("").alias("end_time"))
+    items = table(spark, sf_dir, "events").select(F.col("user_id").cast("string").alias("name"), F.date_format("ts", "yyyy-MM-dd").alias("date"), F.col("event_id").alias("pos"), F.col("event_type").alias("type"), F.lit("").alias("start_time"), F.lit("").alias("end_time"))
     return A.schedule_lines(items)
 
 
