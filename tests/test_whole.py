@@ -14,3 +14,9 @@ def test_schedules_of_all_users(spark):
     want = {name: "\n".join(f"{d}: {', '.join(v)}" for d, v in sorted(of.items())) for name, of in days.items()}
     got = {r["name"]: r["schedule"] for r in catalogue.QUERIES["q_schedule_lines"](spark, sf).collect()}
     assert got == want and any(int(name) >= 40 for name in got)
+
+
+def test_best_run_of_all_sessions(spark, small):
+    e = pd.read_parquet(f"{small}/events.parquet")
+    n, run = max((g["user_id"].nunique(), kind) for kind, g in e.groupby("event_type"))
+    assert [tuple(r) for r in catalogue.QUERIES["q_best_run"](spark, small).collect()] == [(run, n)]
