@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from ..sources import readers
 from .registry import query, table
 
 
@@ -50,9 +51,5 @@ def q_top_per_key(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("""WITH RECURSIVE t(node, parent, depth) AS (SELECT p_partkey, p_partkey // 2, 0 FROM part WHERE p_partkey = 1 UNION ALL SELECT p.p_partkey, p.p_partkey // 2, depth + 1 FROM part p JOIN t ON p.p_partkey // 2 = t.node WHERE p.p_partkey > 1 AND depth < 6) SELECT node, depth FROM t""")
 def q_tree_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
-    table(spark, sf_dir, "part").createOrReplaceTempView("tree_parts")
-    return spark.sql("""
-      WITH RECURSIVE t(node, depth) AS (
-        SELECT p_partkey, 0 FROM tree_parts WHERE p_partkey = 1
-        UNION ALL SELECT p.p_partkey, depth + 1 FROM tree_parts p JOIN t ON p.p_partkey div 2 = t.node WHERE p.p_partkey > 1 AND depth < 6)
-      SELECT node, depth FROM t""")
+    nodes = table(spark, sf_dir, "part").select(F.col("p_partkey").alias("node"), F.expr("p_partkey div 2").alias("parent"))
+    return readers.tree(spark, nodes, 1, "node", "parent").select(F.col("id").alias("node"), "depth")

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import io
+import itertools
 from collections.abc import Iterator
 
 import pandas as pd
@@ -136,11 +137,11 @@ def sheets(spark: SparkSession, path: str) -> DataFrame:
     return files.mapInPandas(rows, "file string, sheet string, row_no int, cells array<string>")
 
 
-def tree(spark: SparkSession, nodes: DataFrame, root, node: str = "id", parent: str = "parent_id", most: int = 32) -> DataFrame:
+def tree(spark: SparkSession, nodes: DataFrame, root, node: str = "id", parent: str = "parent_id") -> DataFrame:
     """Nodes below a root with their depth; a node is visited once, so cycles end. Every level is stored."""
     edges = nodes.select(F.col(node).alias("_id"), F.col(parent).alias("_parent"))
     found = level = stored(nodes.where(F.col(node) == root).select(F.col(node).alias("id"), F.lit(0).alias("depth")).limit(1), "root")
-    for depth in range(1, most + 1):
+    for depth in itertools.count(1):
         below = edges.join(level.select(F.col("id").alias("_parent")), "_parent").select(F.col("_id").alias("id"), F.lit(depth).alias("depth")).distinct()
         level = stored(below.join(found.select("id"), "id", "left_anti"), "level")
         if level.isEmpty():
