@@ -36,7 +36,7 @@ HASHES = 128
 BANDS, ROWS = 24, 4
 BLOCK = 256
 STEP = 16
-TOLERANCE = 1e-6
+TOLERANCE = 1e-7
 #: Surviving pairs that a task holds before it turns them into a forest.
 HELD_PAIRS = 200_000
 #: Words of documents that a task turns into shingles at once, and rows that it gets at once.

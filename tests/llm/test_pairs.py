@@ -149,3 +149,16 @@ def test_recall(spark):
     assert hits / (5 * len(got)) >= 0.9
     g = nearest.Graph(nearest.unit(x[:500]))
     assert g.edges.shape == (500, nearest.DEGREE) and (g.edges < 500).all() and all(len(set(e[e >= 0])) == (e >= 0).sum() for e in g.edges)
+
+
+def test_pruning_loses_less_than_the_bands():
+    agree = 0.8 + 0.2 / 256
+    alive, lost = np.ones(1), 0.0
+    step = np.array([1.0])
+    for _ in range(jaccard.STEP):
+        step = np.convolve(step, [1 - agree, agree])
+    for least in jaccard.least_matches():
+        alive = np.convolve(alive, step)
+        lost += alive[:least].sum()
+        alive[:least] = 0
+    assert lost < (1 - 0.8**jaccard.ROWS) ** jaccard.BANDS
