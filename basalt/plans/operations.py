@@ -92,11 +92,11 @@ def q_projection_merge(spark: SparkSession, sf_dir: str) -> DataFrame:
     return merged.select("o_orderkey", F.round("o_totalprice", 2).alias("o_totalprice"), "o_orderstatus", "action")
 
 
-@query(f"""WITH {_BOOKINGS} SELECT a.event_id AS slot_id, x.event_id AS event_id, a.room FROM b a JOIN b x ON a.room = x.room AND a.first < x.last AND a.last > x.first AND a.last > a.first AND x.last > x.first WHERE a.event_id % 50 = 0 AND x.event_id % 50 <> 0""")
+@query(f"""WITH {_BOOKINGS} SELECT a.event_id AS slot_id, x.event_id AS event_id, a.room FROM b a JOIN b x ON a.room = x.room AND a.first < x.last AND a.last > x.first AND a.last > a.first AND x.last > x.first WHERE a.event_id % 50 = 0 AND x.event_id <> a.event_id""")
 def q_overlap_conflicts(spark: SparkSession, sf_dir: str) -> DataFrame:
     b = bookings(spark, sf_dir)
     slots = b.where("event_id % 50 = 0").withColumnRenamed("event_id", "slot_id")
-    return O.conflicts(slots, b.where("event_id % 50 <> 0"), "room").select("slot_id", "event_id", "room")
+    return O.conflicts(slots, b, "room").where("slot_id <> event_id").select("slot_id", "event_id", "room")
 
 
 @query(f"""WITH {_BOOKINGS}, s AS (SELECT * FROM (VALUES (0, TIMESTAMP '2024-01-10 09:00:00', TIMESTAMP '2024-01-10 09:05:00'), (1, TIMESTAMP '2024-01-10 10:00:00', TIMESTAMP '2024-01-10 10:30:00'), (2, TIMESTAMP '2024-01-11 23:50:00', TIMESTAMP '2024-01-12 00:20:00')) AS v(slot_no, sf, sl)),

@@ -85,9 +85,9 @@ def q_notification_paths(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "events").select("event_id", A.notification_path(path).alias("n")).select("event_id", "n.mailbox", F.col("n.event_id").alias("id"))
 
 
-@query("""WITH t AS (SELECT event_id, (event_id % 24)::INT AS h, (event_id % 60)::INT AS m FROM events) SELECT event_id, printf('%02d:%02d', h, m) AS first, CASE WHEN h < 23 THEN printf('%02d:%02d', h + 1, m) END AS last FROM t WHERE h < 23""")
+@query("""WITH t AS (SELECT event_id, (event_id % 24)::INT AS h, (event_id % 60)::INT AS m FROM events) SELECT event_id, printf('%02d:%02d', h, m) AS first, printf('%02d:%02d', (h + 1) % 24, m) AS last FROM t""")
 def q_time_slots(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = table(spark, sf_dir, "events").select("event_id", (F.col("event_id") % 24).cast("int").alias("h"), (F.col("event_id") % 60).cast("int").alias("m")).where("h < 23")
+    rows = table(spark, sf_dir, "events").select("event_id", (F.col("event_id") % 24).cast("int").alias("h"), (F.col("event_id") % 60).cast("int").alias("m"))
     slot = A.time_slot(F.format_string("at %d:%02d please", F.col("h"), F.col("m")), F.lit("2026-06-10").cast("date"))
     return rows.select("event_id", F.date_format(slot["first"], "HH:mm").alias("first"), F.date_format(slot["last"], "HH:mm").alias("last"))
 
@@ -103,7 +103,7 @@ def q_signals(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "documents").select("doc_id", F.map_contains_key(s, "a").alias("has_a"), F.map_contains_key(s, "b").alias("has_b"))
 
 
-@query("""WITH e AS (SELECT user_id::VARCHAR AS name, strftime(ts, '%Y-%m-%d') AS d, event_id, event_type FROM events WHERE user_id < 40), p AS (SELECT name, d, string_agg(event_type, ', ' ORDER BY event_id) AS t FROM e GROUP BY name, d)
+@query("""WITH e AS (SELECT user_id::VARCHAR AS name, strftime(ts, '%Y-%m-%d') AS d, event_id, event_type FROM events), p AS (SELECT name, d, string_agg(event_type, ', ' ORDER BY event_id) AS t FROM e GROUP BY name, d)
 SELECT name, string_agg(d || ': ' || t, chr(10) ORDER BY d) AS schedule FROM p GROUP BY name""")
 def q_schedule_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
     items = table(spark, sf_dir, "events").select(F.col("user_id").cast("string").alias("name"), F.date_format("ts", "yyyy-MM-dd").alias("date"), F.col("event_id").alias("pos"), F.col("event_type").alias("type"), F.lit("").alias("start_time"), F.lit("").alias("end_time"))
@@ -116,9 +116,9 @@ def q_roster_names(spark: SparkSession, sf_dir: str) -> DataFrame:
     return A.roster_names(people, ["BUILDING", "MACHINERY"], ["1"]).select("name", "pos")
 
 
-@query("""WITH m AS (SELECT strftime(m, '%Y-%m') AS year_month FROM (SELECT unnest(generate_series(DATE '1995-01-01', DATE '1996-06-01', INTERVAL 1 MONTH)) AS m)) SELECT year_month, (SELECT count(*) FROM orders WHERE strftime(o_orderdate, '%Y-%m') = year_month AND o_orderpriority = '1-URGENT')::BIGINT AS n FROM m""")
+@query("""WITH m AS (SELECT strftime(m, '%Y-%m') AS year_month FROM (SELECT unnest(generate_series(DATE '1995-01-01', DATE '1996-06-01', INTERVAL 1 MONTH)) AS m)) SELECT year_month, (SELECT count(*) FROM orders WHERE strftime(o_orderdate, '%Y-%m') = year_month )::BIGINT AS n FROM m""")
 def q_month_gaps(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = table(spark, sf_dir, "orders").where("o_orderpriority = '1-URGENT'").select(F.date_format("o_orderdate", "yyyy-MM").alias("year_month"))
+    rows = table(spark, sf_dir, "orders").select(F.date_format("o_orderdate", "yyyy-MM").alias("year_month"))
     return A.month_gaps(rows, "1995-01-10", "1996-06-20")
 
 
@@ -131,10 +131,10 @@ def q_get_or_create(spark: SparkSession, sf_dir: str) -> DataFrame:
     return M.fill_empty(target, given.unionByName(suppliers), "id", ["name"], ["email"])
 
 
-@query("""SELECT s_suppkey AS name, 's' || s_suppkey || '@x' AS email FROM supplier WHERE s_suppkey % 2 = 0 UNION ALL SELECT s_suppkey, NULL FROM supplier WHERE s_suppkey % 2 = 1""")
+@query("""SELECT s_suppkey AS name, 's' || s_suppkey || '@x' AS email FROM supplier""")
 def q_people_lookup(spark: SparkSession, sf_dir: str) -> DataFrame:
     s = table(spark, sf_dir, "supplier")
-    users = s.where("s_suppkey % 2 = 0").select(F.concat(F.lit("U"), F.col("s_suppkey").cast("string")).alias("user_id"), F.lit("x").alias("user_name"), F.format_string("s%d@x", F.col("s_suppkey")).alias("email"))
+    users = s.select(F.concat(F.lit("U"), F.col("s_suppkey").cast("string")).alias("user_id"), F.lit("x").alias("user_name"), F.format_string("s%d@x", F.col("s_suppkey")).alias("email"))
     names = s.select(F.when(F.col("s_suppkey") % 4 == 0, F.concat(F.lit("U"), F.col("s_suppkey").cast("string"))).otherwise(F.format_string("S%d@X", F.col("s_suppkey"))).alias("name"))
     return O.resolved_people(names, users).select(F.regexp_extract("name", r"(\d+)", 1).cast("long").alias("name"), "email")
 
@@ -149,7 +149,7 @@ def q_match_notices(spark: SparkSession, sf_dir: str) -> DataFrame:
     return feeds.match_notices(table(spark, sf_dir, "part"), "p_partkey", "p_name", -1, "Ring").select("p_partkey", "p_name")
 
 
-@query("""WITH RECURSIVE t(id, depth) AS (SELECT p_partkey, 0 FROM part WHERE p_partkey = 1 UNION SELECT p.p_partkey, depth + 1 FROM part p JOIN t ON p.p_partkey // 3 = t.id WHERE p.p_partkey > 1 AND depth < 9) SELECT id, min(depth)::INT AS depth FROM t GROUP BY id""")
+@query("""WITH RECURSIVE t(id, depth) AS (SELECT p_partkey, 0 FROM part WHERE p_partkey = 1 UNION SELECT p.p_partkey, depth + 1 FROM part p JOIN t ON p.p_partkey // 3 = t.id WHERE p.p_partkey > 1) SELECT id, min(depth)::INT AS depth FROM t GROUP BY id""")
 def q_page_tree(spark: SparkSession, sf_dir: str) -> DataFrame:
     nodes = table(spark, sf_dir, "part").select(F.col("p_partkey").alias("id"), F.expr("p_partkey div 3").alias("parent_id")).where("id <> parent_id")
     return readers.tree(spark, nodes, 1)

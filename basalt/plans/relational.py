@@ -49,7 +49,7 @@ def q_top_per_key(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "orders").select("o_custkey", "o_orderkey", k.alias("k")).where("k <= 3")
 
 
-@query("""WITH RECURSIVE t(node, parent, depth) AS (SELECT p_partkey, p_partkey // 2, 0 FROM part WHERE p_partkey = 1 UNION ALL SELECT p.p_partkey, p.p_partkey // 2, depth + 1 FROM part p JOIN t ON p.p_partkey // 2 = t.node WHERE p.p_partkey > 1 AND depth < 6) SELECT node, depth FROM t""")
+@query("""WITH RECURSIVE t(node, parent, depth) AS (SELECT p_partkey, p_partkey // 2, 0 FROM part WHERE p_partkey = 1 UNION ALL SELECT p.p_partkey, p.p_partkey // 2, depth + 1 FROM part p JOIN t ON p.p_partkey // 2 = t.node WHERE p.p_partkey > 1) SELECT node, depth FROM t""")
 def q_tree_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     nodes = table(spark, sf_dir, "part").select(F.col("p_partkey").alias("node"), F.expr("p_partkey div 2").alias("parent"))
     return readers.tree(spark, nodes, 1, "node", "parent").select(F.col("id").alias("node"), "depth")
