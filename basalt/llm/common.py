@@ -10,7 +10,10 @@ from pyspark.sql import functions as F
 
 #: The six ASCII white-space characters that part words.
 SPACE = r"[\x20\x09-\x0D]"
-ARROW_BATCH_BYTES = 8 << 20
+#: Arrow batches that Python workers get. All operators set the same bounds, as they are the session's; what wants smaller
+#: pieces cuts them itself.
+ARROW_BATCH_ROWS = 2000
+ARROW_BATCH_BYTES = 4 << 20
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -52,9 +55,9 @@ def stored(df: DataFrame, label: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
-def small_batches(spark: SparkSession, rows: int = 2000) -> None:
+def small_batches(spark: SparkSession) -> None:
     """Bounds the Arrow batches that Python workers get, in rows and bytes."""
-    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", rows)
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", ARROW_BATCH_ROWS)
     spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", ARROW_BATCH_BYTES)
 
 

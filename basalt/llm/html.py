@@ -33,6 +33,8 @@ from .common import small_batches
 FEATURES = 1 << 13
 TRAINING_PAGES = 400
 STEPS = 150
+#: Pages whose trees a task holds at once.
+BATCH_PAGES = 250
 KINDS = 3  # of edges: to an element, to a run in an element of running text, to another run
 
 _TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<(?P<close>/?)(?P<name>[a-zA-Z][^\s/>]*)(?P<rest>(?:[^>\"']|\"[^\"]*\"|'[^']*')*)>|<[!?][^>]*>", re.S)
@@ -479,14 +481,15 @@ def extract(htmls: list[str | None], w: Weights) -> list[str]:
 def main_text(pages: DataFrame, weights: Weights | None = None, html: str = "html") -> DataFrame:
     """page_id, url, text, n_chars of every page."""
     spark = pages.sparkSession
-    small_batches(spark, 500)
+    small_batches(spark)
     shared = spark.sparkContext.broadcast(weights or train(*labelled_pages()))
 
     def work(batches: Iterator) -> Iterator:
         import pyarrow as pa
 
         for batch in batches:
-            texts = extract(batch.column(2).to_pylist(), shared.value)
+            column = batch.column(2)
+            texts = [t for k in range(0, len(column), BATCH_PAGES) for t in extract(column.slice(k, BATCH_PAGES).to_pylist(), shared.value)]
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(texts, pa.string())], names=["page_id", "url", "text"])
 
     kind = pages.schema["page_id"].dataType.simpleString()

@@ -39,8 +39,8 @@ STEP = 16
 TOLERANCE = 1e-7
 #: Surviving pairs that a task holds before it turns them into a forest.
 HELD_PAIRS = 200_000
-#: Words of documents that a task turns into shingles at once, and rows that it gets at once.
-BATCH_WORDS, BATCH_ROWS = 1 << 17, 400
+#: Words of documents that a task turns into shingles at once.
+BATCH_WORDS = 1 << 17
 #: Members and shingles of a block in the exact stage.
 EXACT_BLOCK, EXACT_WORDS = 128, 1 << 16
 
@@ -356,7 +356,7 @@ def verified(members: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
 
 def jaccard_join(docs: DataFrame, threshold: float = THRESHOLD, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """doc_id, class_id, n_links of every document."""
-    small_batches(docs.sparkSession, BATCH_ROWS)
+    small_batches(docs.sparkSession)
     docs = docs.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text"))
     rows = stored(signed(docs), "signatures")
     classes = stored(rows.where("node is not null").groupBy("node").agg(F.min("doc_id").alias("first_id"), F.count(F.lit(1)).alias("n_docs"), F.first("bands").alias("bands"), F.first("signature").alias("signature")), "classes")

@@ -195,7 +195,7 @@ def fit(docs: DataFrame, labels: DataFrame, rows: int = TRAIN_ROWS, doc_id: str
 def scored(docs: DataFrame, model: Model, text: str = "text") -> DataFrame:
     """All columns of ``docs``, and score (a column of that name is replaced)."""
     spark = docs.sparkSession
-    small_batches(spark, BATCH_ROWS)
+    small_batches(spark)
     shared = spark.sparkContext.broadcast((model.gram_logits().astype(np.float32), model.offset()))
     docs = docs.drop("score")
 
@@ -204,8 +204,9 @@ def scored(docs: DataFrame, model: Model, text: str = "text") -> DataFrame:
 
         scorer = Scorer(*shared.value)
         for batch in batches:
-            texts = batch.column(batch.schema.get_field_index(text)).to_pylist()
-            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(scorer.score(texts), pa.float64())], names=[*batch.schema.names, "score"])
+            column = batch.column(batch.schema.get_field_index(text))
+            scores = [scorer.score(column.slice(k, BATCH_ROWS).to_pylist()) for k in range(0, len(column), BATCH_ROWS)]
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(np.concatenate([np.zeros(0), *scores]), pa.float64())], names=[*batch.schema.names, "score"])
 
     return docs.mapInArrow(work, T.StructType([*docs.schema.fields, T.StructField("score", T.DoubleType())]))
 

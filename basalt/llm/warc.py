@@ -1,16 +1,18 @@
 """WARC archives: writing records, revisits and continuation segments, and putting segmented records together again.
 
-Reading is a scan and one small shuffle. Each task parses whole archive files into records. Records that aren't segmented
-are complete. Continuation records are grouped by their origin's identifier, ordered by segment number, joined, and held
-against the total length that the last segment states; only then is the HTTP block parsed and its chunked transfer
-framing decoded. Only segments are shuffled. A group is one record, so it is as large as one payload and no larger.
+Each task parses whole archive files, once. A record that isn't segmented is complete there: its HTTP block is parsed, its
+chunked transfer framing decoded and its payload held against the stated length and digest in place, and only what it
+says goes on. Continuation records are grouped by their origin's identifier, ordered by segment number, joined, held
+against the total length that the last segment states, and then decoded and checked in the same way. Only segments are
+shuffled. A group is one record, so it is as large as one payload and no larger.
 
 Archives hold one gzip member a record. Tasks write files under names of their own and report them in a manifest table;
 only files in the manifest are read, so what a lost attempt wrote doesn't count.
 
-Defined results: a null payload is an empty one; payloads below ``REVISIT_BYTES`` never become revisits; rows that repeat
-an id are written one by one, the first response of equal payloads being the one with the smallest id (null last). A
-group with a missing segment, a second copy of one, or another total length raises an error that names its origin.
+Defined results: a null payload is an empty one, a null url an empty header; payloads below ``REVISIT_BYTES`` never become
+revisits; rows that repeat an id are written one by one, the first response of equal payloads being the one with the
+smallest id (null last); columns beside id, url and payload are left out, whatever their names. A group with a missing
+segment, a second copy of one, or another total length raises an error that names its origin.
 """
 
 from __future__ import annotations
@@ -27,13 +29,15 @@ from .common import file_system, shared_dir, small_batches, stored
 
 REVISIT_BYTES = 100
 #: Bytes of a record's block beyond which it goes on in continuation records, and of an archive file.
-SEGMENT_BYTES = 8 << 10
+SEGMENT_BYTES = 32 << 10
 FILE_BYTES = 64 << 20
+#: Bytes of segments or payloads that the reader holds before it passes them on.
+READ_BYTES = 1 << 20
 CHUNK_BYTES = 4 << 10
 DATE = "2024-01-01T00:00:00Z"
 PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
 CRLF = b"\r\n"
-RECORD = "archive string, record_id string, kind string, origin string, segment int, total long, url string, page string, digest string, refers string, length long, block binary"
+RECORD = "kind string, origin string, segment int, total long, url string, page string, digest string, refers string, length long, data binary"
 
 
 class Damaged(ValueError):
@@ -150,13 +154,16 @@ def reassembled(parts: list[tuple[int, int | None, bytes]], origin: str) -> byte
 def with_responses(pages: DataFrame, payload: str = "html", page_id: str = "page_id", least_bytes: int = REVISIT_BYTES) -> DataFrame:
     """page_id, url, payload (binary), digest, refers (the id of the response that the page repeats, or null).
 
-    The smallest id of each digest is found by partial sums; the pages then meet these rows in one join by digest, which
-    splits hot digests (only pages are on its large side).
+    The smallest id of each digest that occurs again is found by partial sums and stored. Pages then meet these rows by
+    digest. The table's size is known by then, so Spark moves it to the pages while it is below its broadcast threshold,
+    and payloads stay where they are; beyond it both sides are shuffled, and adaptive execution splits hot digests (all
+    pages are on one side).
     """
     pages = pages.select(F.col(page_id).alias("page_id"), F.coalesce(F.col("url"), F.lit("")).alias("url"), F.coalesce(F.col(payload), F.lit("")).cast("binary").alias("payload"))
     pages = pages.withColumn("digest", F.sha2("payload", 256))
     again = pages.where(F.octet_length("payload") >= least_bytes).groupBy("digest").agg(F.min("page_id").alias("_first"), F.count(F.lit(1)).alias("_n")).where("_n > 1")
-    out = pages.join(again.select(F.col("digest").alias("_d"), "_first"), F.col("digest") == F.col("_d"), "left")
+    again = stored(again.select(F.col("digest").alias("_d"), "_first"), "responses")
+    out = pages.join(again, F.col("digest") == F.col("_d"), "left")
     return out.select("page_id", "url", "payload", "digest", F.when(F.col("page_id") != F.col("_first"), F.col("_first")).alias("refers"))
 
 
@@ -169,9 +176,9 @@ def write(pages: DataFrame, path: str, segment_bytes: int = SEGMENT_BYTES, file_
         schema = pa.schema([("file", pa.string()), ("n_records", pa.int64())])
         sink, file, size, count = None, "", 0, 0
         for batch in batches:
-            for row in batch.to_pylist():
-                page = "" if row["page_id"] is None else str(row["page_id"])
-                for data in records(page, row["url"], row["payload"], row["digest"], None if row["refers"] is None else str(row["refers"]), segment_bytes):
+            for page_id, url, payload, digest, refers in zip(*batch.columns, strict=True):
+                page, first = ("" if x.as_py() is None else str(x.as_py()) for x in (page_id, refers))
+                for data in records(page, url.as_py(), payload.as_py(), digest.as_py(), first or None, segment_bytes):
                     if sink is None:
                         file = f"{path}/{uuid.uuid4().hex}.warc.gz"
                         fs, place = file_system(file)
@@ -187,12 +194,23 @@ def write(pages: DataFrame, path: str, segment_bytes: int = SEGMENT_BYTES, file_
             sink.close()
             yield pa.RecordBatch.from_pylist([{"file": file, "n_records": count}], schema=schema)
 
-    small_batches(pages.sparkSession, 500)
+    small_batches(pages.sparkSession)
     return stored(pages.mapInArrow(save, "file string, n_records long"), "archives")
 
 
-def scan(manifest: DataFrame, tasks: int | None = None) -> DataFrame:
-    """All records of the archives as they are: record_id, kind, origin (of a segmented record), segment, total, block."""
+def checked(block: bytes, digest: str, length: int, page: str) -> bytes:
+    """The payload of a whole response, held against what its record states."""
+    got = payload_of(block)
+    if f"sha256:{hashlib.sha256(got).hexdigest()}" != digest or len(got) != length:
+        raise Damaged(f"the payload of page {page} isn't the one that its record states")
+    return got
+
+
+def scan(manifest: DataFrame, payloads: bool = True, tasks: int | None = None) -> DataFrame:
+    """One row for each record. ``data`` is the payload of a whole response (with ``payloads``) or the block of a segment.
+
+    ``origin`` is set for segmented records only, first segments included.
+    """
 
     def load(batches: Iterator) -> Iterator:
         import pyarrow as pa
@@ -209,14 +227,16 @@ def scan(manifest: DataFrame, tasks: int | None = None) -> DataFrame:
             for file in batch.column(0).to_pylist():
                 fs, place = file_system(file)
                 with fs.open_input_stream(place, compression=None) as source:
-                    for f, block in parse(source):
-                        number = f.get("warc-segment-number")
-                        own = f["warc-record-id"]
-                        origin = f.get("warc-segment-origin-id") or (own if number else None)
-                        total = f.get("warc-segment-total-length")
-                        rows.append((file, own, f["warc-type"], origin, int(number) if number else None, int(total) if total else None, f.get("warc-target-uri"), f.get("x-page-id"), f.get("warc-payload-digest"), f.get("x-refers-to-page"), int(f["x-payload-length"]) if "x-payload-length" in f else None, block))
-                        size += len(block)
-                        if size >= 8 << 20 or len(rows) >= 5000:
+                    for f, data in parse(source):
+                        number, kind, digest, page = (f.get(k) for k in ("warc-segment-number", "warc-type", "warc-payload-digest", "x-page-id"))
+                        origin = f.get("warc-segment-origin-id") or (f["warc-record-id"] if number else None)
+                        total, length = (int(f[k]) if k in f else None for k in ("warc-segment-total-length", "x-payload-length"))
+                        if origin is None:
+                            data = checked(data, digest, length, page) if kind == "response" else None
+                            data = data if payloads else None
+                        rows.append((kind, origin, int(number) if number else None, total, f.get("warc-target-uri"), page, digest, f.get("x-refers-to-page"), length, data))
+                        size += len(data or b"")
+                        if size >= READ_BYTES or len(rows) >= 2000:
                             yield out()
                             rows, size = [], 0
         if rows:
@@ -226,50 +246,38 @@ def scan(manifest: DataFrame, tasks: int | None = None) -> DataFrame:
     return manifest.select("file").repartition(tasks or int(spark.conf.get("spark.sql.shuffle.partitions"))).mapInArrow(load, RECORD)
 
 
-def whole(found: DataFrame) -> DataFrame:
-    """Responses and revisits with whole blocks: what isn't segmented as it is, segments put together by origin."""
+def whole(found: DataFrame, payloads: bool = True) -> DataFrame:
+    """Responses and revisits: what isn't segmented as it is, segments put together by origin, decoded and checked."""
 
     def join(key, table):
         import pyarrow as pa
 
-        rows = table.to_pylist()
-        first = [r for r in rows if r["kind"] != "continuation"]
+        kind = table.column("kind").to_pylist()
+        first = [k for k, x in enumerate(kind) if x != "continuation"]
         if len(first) != 1:
             raise Damaged(f"{len(first)} first segments of {key[0].as_py()}")
-        block = reassembled([(r["segment"], r["total"], r["block"]) for r in rows], key[0].as_py())
-        return pa.Table.from_pylist([first[0] | {"block": block}], schema=table.schema)
+        (row,) = table.slice(first[0], 1).drop_columns(["data"]).to_pylist()
+        block = reassembled([*zip(*(table.column(c).to_pylist() for c in ("segment", "total", "data")), strict=True)], key[0].as_py())
+        got = checked(block, row["digest"], row["length"], row["page"]) if row["kind"] == "response" else None
+        return pa.Table.from_pylist([row | {"data": got if payloads else None}], schema=table.schema)
 
-    single = found.where("origin is null")
-    return single.unionByName(found.where("origin is not null").groupBy("origin").applyInArrow(join, RECORD))
+    return found.where("origin is null").unionByName(found.where("origin is not null").groupBy("origin").applyInArrow(join, RECORD))
 
 
-def read_pages(manifest: DataFrame, page_type: str = "long") -> DataFrame:
+def read_pages(manifest: DataFrame, page_type: str = "long", payloads: bool = True) -> DataFrame:
     """page_id, url, payload, payload_bytes, payload_digest, record_type, refers_to of every record.
 
-    Responses have their payload; it is held against the length and the digest that the record states. Revisits have what
-    their record states.
+    Responses have their payload, if ``payloads`` are asked for; it is held against the length and the digest that the
+    record states in any case. Revisits have what their record states. What the scan gives is stored, so that archives
+    are read and parsed once; without payloads that is a row of headers for each record, and the segments.
     """
-
-    def body(batches: Iterator) -> Iterator:
-        import pyarrow as pa
-
-        for batch in batches:
-            payload = []
-            for kind, block, digest, length, page in zip(*(batch.column(k).to_pylist() for k in range(5)), strict=True):
-                got = payload_of(block) if kind == "response" else None
-                if got is not None and (f"sha256:{hashlib.sha256(got).hexdigest()}" != digest or len(got) != length):
-                    raise Damaged(f"the payload of page {page} isn't the one that its record states")
-                payload.append(got)
-            yield pa.RecordBatch.from_arrays([batch.column(0), *batch.columns[2:], pa.array(payload, pa.binary())], names=[batch.schema.names[0], *batch.schema.names[2:], "payload"])
-
-    rows = whole(scan(manifest)).select("kind", "block", "digest", "length", "page", "url", "refers")
-    rows = rows.mapInArrow(body, "kind string, digest string, length long, page string, url string, refers string, payload binary")
+    rows = whole(stored(scan(manifest, payloads), "records"), payloads)
     number = lambda c: F.when(F.col(c) != "", F.col(c)).cast(page_type)
-    return rows.select(number("page").alias("page_id"), "url", "payload", F.col("length").alias("payload_bytes"), F.substring_index("digest", ":", -1).alias("payload_digest"), F.col("kind").alias("record_type"), number("refers").alias("refers_to"))
+    return rows.select(number("page").alias("page_id"), "url", F.col("data").alias("payload"), F.col("length").alias("payload_bytes"), F.substring_index("digest", ":", -1).alias("payload_digest"), F.col("kind").alias("record_type"), number("refers").alias("refers_to"))
 
 
 def round_trip(pages: DataFrame) -> DataFrame:
     """Writes all pages as archives to shared storage and gives what the archives say about each."""
     kind = pages.schema["page_id"].dataType.simpleString()
     archives = write(with_responses(pages), shared_dir(pages.sparkSession, "warc"))
-    return read_pages(archives, kind).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
+    return read_pages(archives, kind, payloads=False).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
