@@ -26,7 +26,7 @@ def words(text: Column) -> Column:
 
 
 def n_words(text: Column) -> Column:
-    return F.size(words(text)).cast("long")
+    return F.regexp_count(F.coalesce(text, F.lit("")), F.lit(r"[^\x20\x09-\x0D]+")).cast("long")
 
 
 def shared_dir(spark: SparkSession, label: str) -> str:

@@ -1,10 +1,14 @@
 """Quality rules and mixing of sources, against plain Python."""
 
+import math
 import random
 import re
+import struct
 from collections import Counter
 
+import numpy as np
 import pytest
+import xxhash
 from pyspark.sql import functions as F
 
 from basalt.llm import mixing, quality
@@ -46,7 +50,6 @@ def test_words(spark):
 
 
 def test_verdicts_against_plain_sums(spark):
-    import math
     import zlib
 
     r = random.Random(1)
@@ -109,15 +112,138 @@ def test_targets(spark, seed):
     assert got.keys() == want.keys() and all(abs(got[k] - want[k]) < 1e-6 * (1 + want[k]) for k in want)
 
 
-def test_permutation(spark):
-    for n in (1, 2, 7, 64, 1000):
-        df = spark.range(n).select(mixing.permuted(F.col("id"), F.lit(n).cast("long"), 5, F.lit(3)).alias("p"))
-        assert sorted(x["p"] for x in df.collect()) == list(range(n))
+def xx(*longs):
+    """Hash of whole numbers, as the engine's built-in gives it: each is hashed with the last hash as its seed."""
+    h = 42
+    for x in longs:
+        h = xxhash.xxh64_intdigest(struct.pack("<q", x), h)
+    return h - (1 << 64) if h >> 63 else h
+
+
+def plain_permuted(i, n, seed, kind, *keys, rounds=12):
+    a = math.isqrt(n)
+    b = n // a
+    for r in range(rounds):
+        if i < a * b:
+            x, y = divmod(i, b)
+            i = x * b + (y + xx(seed, kind, *keys, r, x) % b) % b if r % 2 == 0 else (x + xx(seed, kind, *keys, r, y) % a) % a * b + y
+        i = (i + xx(seed, kind, *keys, r) % n) % n
+    return i
+
+
+def plain_slots(targets, sizes, seed=0, block=mixing.BLOCK, shard_slots=mixing.SHARD_SLOTS):
+    """(shard, slot, source, number, block) of every slot: each slot's variate is looked up in the sources' intervals."""
+    order = [s for s in sorted(sizes, key=lambda s: (s is None, s or "")) if sizes[s]]
+    number = {s: i for i, s in enumerate(sorted(sizes, key=lambda s: (s is None, s or "")))}
+    blocks = {s: -(-sizes[s] // block) for s in order}
+    share = {s: math.floor(targets[s] * blocks[s] / sizes[s] * mixing.UNIT + 0.5) for s in order}
+    whole = sum(share.values())
+    total = math.floor(whole / mixing.UNIT + 0.5)
+    shards = max(1, -(-total // shard_slots))
+    edges = np.cumsum([share[s] for s in order])
+    used, out = Counter(), []
+    for k in range(-(-total // shards)):
+        n = shards if k < total // shards else total % shards
+        v = (xx(seed, 11, k) % mixing.UNIT + 0.5) / mixing.UNIT
+        for j in range(n):
+            s = order[int(np.searchsorted(edges, (j + v) / n * whole, "right"))]
+            at = used[s]
+            used[s] += 1
+            if at < 3 * blocks[s]:
+                out.append((plain_permuted(j, n, seed, 12, k), k, number[s], at, plain_permuted(at % blocks[s], blocks[s], seed, 13, number[s], at // blocks[s])))
+    return out
+
+
+def plain_taken(docs, targets, seed=0, block=mixing.BLOCK):
+    """Words taken of each row, over streams in the order that the running sums give; rows equal in all are told apart by order."""
+    sizes = Counter()
+    for _, s, n in docs:
+        sizes[s] += n
+    number = {s: i for i, s in enumerate(sorted(sizes, key=lambda s: (s is None, s or "")))}
+    times = Counter((s, b) for _, _, s, _, b in plain_slots(targets, sizes, seed, block))
+    groups = max(1, math.isqrt(len(docs)))
+    hashed = lambda d, n: (xx(n) if d is None else xx(d, n)) % groups
+    out, at = [], Counter()
+    for d, s, n in sorted(docs, key=lambda x: (number[x[1]], hashed(x[0], x[2]), x[0] is not None, x[0] or 0, x[2])):
+        out.append((d, s, n, sum(times[number[s], w // block] for w in range(at[s], at[s] + n))))
+        at[s] += n
+    return out
+
+
+@pytest.mark.parametrize("n", [1, 2, 3, 7, 64, 1000, 4099])
+def test_permutation(spark, n):
+    for keys in ((3,), (4, 1)):
+        df = spark.range(n).select(mixing.permuted(F.col("id"), F.lit(n).cast("long"), 5, 13, *(F.lit(k).cast("long") for k in keys)).alias("p"), "id")
+        got = {x["id"]: x["p"] for x in df.collect()}
+        assert sorted(got.values()) == list(range(n))
+        assert got == {i: plain_permuted(i, n, 5, 13, *keys) for i in range(n)}
+
+
+def test_permutations_look_random():
+    fixed = followed = 0
+    first = Counter()
+    for seed in range(60):
+        p = [plain_permuted(i, 101, seed, 13, 0, 0) for i in range(101)]
+        fixed += sum(i == x for i, x in enumerate(p))
+        followed += sum((b - a) % 101 == 1 for a, b in zip(p, p[1:], strict=False))
+        first.update(x * 10 // 101 for x in p[:20])
+    assert 35 < fixed < 90 and 35 < followed < 90  # 60 expected of both
+    assert sum((first[k] - 120) ** 2 / 120 for k in range(10)) < 30
+
+
+def test_counts_of_a_shard_are_multinomial():
+    """Over many seeds: means and (co)variances of the counts of one shard are those of independent draws."""
+    sizes = {"a": 6400, "b": 3200, "c": 6400}
+    targets = {"a": 8000.0, "b": 4000.0, "c": 4000.0}
+    seen = []
+    for seed in range(400):
+        count = Counter(s for shard, _, s, _, _ in plain_slots(targets, sizes, seed) if shard == 5)
+        seen.append([count[k] for k in range(3)])
+    x, p = np.array(seen), np.array([0.5, 0.25, 0.25])
+    n = mixing.SHARD_SLOTS
+    assert (x.sum(1) <= n).all() and np.abs(x.mean(0) - n * p).max() < 0.35
+    want = n * (np.diag(p) - np.outer(p, p))
+    assert np.abs(np.cov(x.T) - want).max() < 0.8
+
+
+def random_docs(seed=2):
+    r = random.Random(seed)
+    return [(i, r.choice(["a", "b", "c", None]), r.choice((0, 1, 5, 200))) for i in range(400)] + [(7, "a", 200), (7, "a", 200), (None, "a", 5), (None, "a", 5), (None, None, 70), (1000, "tiny", 3), (1001, "none", 0)]
+
+
+@pytest.mark.parametrize("seed", [0, 9])
+def test_mix_against_plain_python(spark, monkeypatch, seed):
+    docs = random_docs(seed)
+    sizes = Counter()
+    for _, s, n in docs:
+        sizes[s] += n
+    want = plain_taken(docs, plain_targets(sizes), seed)
+    monkeypatch.setattr(mixing, "RUN", 3)  # long runs take their own way
+    got = mixing.mixed(spark.createDataFrame(docs, "doc_id long, source string, size long"), seed).collect()
+    key = lambda x: tuple(map(str, x))
+    assert sorted(key((x["doc_id"], x["source"], x["size"], x["taken"])) for x in got) == sorted(map(key, want))
+
+
+def test_mix_of_many_sources(spark):
+    df = spark.range(100_000).selectExpr("id AS doc_id", "concat('s', id) AS source", "CASE WHEN id = 5 THEN 900000 ELSE 1 + id % 90 END AS size", "'clash' AS target", "'clash' AS start", "1 AS taken")
+    rows = mixing.mixed(df)
+    assert rows.columns == ["doc_id", "source", "size", "source_size", "target", "taken"]
+    r = rows.selectExpr("count(*) n", "sum(size) s", "sum(taken) t", "sum(target) g", "max(taken / size) m", "max(CASE WHEN doc_id = 5 THEN taken / target END) hot").first()
+    assert r["n"] == 100_000 and r["m"] <= 3 and abs(r["g"] / r["s"] - 1) < 1e-6 and abs(r["hot"] - 1) < 0.01
+    # Half of the sources stop at three times their one or two blocks; what a draw gives them beyond that is not taken.
+    assert 0.85 < r["t"] / r["s"] <= 1.01
+
+
+def test_copies_without_ids(spark):
+    """A third of all rows equal in everything: each gets a place, and reruns agree."""
+    df = spark.range(6000).selectExpr("CASE WHEN id % 3 = 0 THEN NULL ELSE id END AS doc_id", "CASE WHEN id % 3 = 0 THEN 'hot' ELSE concat('s', id % 4) END AS source", "CASE WHEN id % 3 = 0 THEN 40L ELSE id % 90 END AS size")
+    key = lambda rows: sorted((str(x["doc_id"]), x["source"], x["size"], x["taken"]) for x in rows.collect())
+    got = key(mixing.mixed(df))
+    assert len(got) == 6000 and all(t <= 3 * n for _, _, n, t in got) and got == key(mixing.mixed(df.repartition(7)))
 
 
 def test_mix(spark):
-    r = random.Random(2)
-    docs = [(i, r.choice(["a", "b", "c", None]), r.choice((0, 1, 5, 200))) for i in range(400)] + [(7, "a", 200), (7, "a", 200), (None, "a", 5), (1000, "tiny", 3)]
+    docs = random_docs()
     df = spark.createDataFrame(docs, "doc_id long, source string, size long")
     rows = mixing.mixed(df).collect()
     assert len(rows) == len(docs)
