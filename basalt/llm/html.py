@@ -11,7 +11,8 @@ come from a generator in this module, which writes pages of many layouts with a
 number of them (``TRAINING_PAGES``), drawn from a seed.
 
 Defined results: a null or empty page has an empty text; markup that is never closed, unknown tags and stray end tags
-give some tree, never an error; pages that repeat an id are read one by one. Texts are whole, blocks are joined by one
+give some tree, never an error; pages that repeat an id are read one by one; columns beside id, url and html are left out,
+whatever their names. Time is linear in a page's length, however deep its markup is. Texts are whole, blocks are joined by one
 line feed, and white space inside a block (line breaks included) is one space.
 """
 
@@ -21,6 +22,7 @@ import html as entities
 import random
 import re
 import zlib
+from collections import defaultdict
 from collections.abc import Iterator
 from dataclasses import dataclass, field
 
@@ -37,16 +39,25 @@ STEPS = 150
 BATCH_PAGES = 250
 KINDS = 3  # of edges: to an element, to a run in an element of running text, to another run
 
-_TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<(?P<close>/?)(?P<name>[a-zA-Z][^\s/>]*)(?P<rest>(?:[^>\"']|\"[^\"]*\"|'[^']*')*)>|<[!?][^>]*>", re.S)
-_ATTRIBUTE = re.compile(r"(class|id|role|hidden|style|aria-hidden|itemprop)(?:\s*=\s*(\"[^\"]*\"|'[^']*'|[^\s>]+))?", re.I)
+# A quote parts a value only right after an equals sign; a value whose quote never ends goes to the next space. What a tag
+# or comment leaves open at the end of the page ends with it. No group is entered twice, so matching takes linear time.
+_TOKEN = re.compile(
+    r"<!--(?:-?>|.*?(?:--!?>|\Z))|<(?P<close>/?)(?P<name>[a-zA-Z][^\s/>]*)(?P<rest>(?:[^>=]++|=\s*+(?>\"[^\"]*+\"|'[^']*+'|[^\s>]*+))*+)(?:>|\Z)|<(?:[!?]|/(?![a-zA-Z]))[^>]*(?:>|\Z)",
+    re.S,
+)
+_ATTRIBUTE = re.compile(r"([^\s/=]+)(?:\s*=\s*(\"[^\"]*\"|'[^']*'|[^\s]+))?")
+_NAMES = frozenset("class id role itemprop".split())
 _WORD = re.compile(r"[A-Z]+(?![a-z])|[A-Z]?[a-z]+|\d+")
 RAW = frozenset("script style textarea title xmp iframe noembed noframes".split())
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 INLINE = frozenset("a abbr acronym b bdi bdo big cite code data del dfn em font i ins kbd label mark q rp rt ruby s samp small span strike strong sub sup time tt u var wbr br img picture".split())
-NEVER = frozenset("head script style noscript template svg math object canvas audio video map iframe select option optgroup datalist textarea button title".split())
+#: Scripts, styles, form controls and drawings: text in them is never a run. All other text is, and the model decides.
+NEVER = frozenset("head script style noscript template svg canvas iframe select option optgroup datalist textarea button title".split())
 RUNNING = frozenset("p li dd dt td th blockquote pre h1 h2 h3 h4 h5 h6 figcaption".split())
 #: What an opening tag ends, and where the search for it stops.
 CLOSES = {"li": ({"li"}, {"ul", "ol", "menu"}), "dt": ({"dt", "dd"}, {"dl"}), "dd": ({"dt", "dd"}, {"dl"}), "tr": ({"tr", "td", "th"}, {"table"}), "td": ({"td", "th"}, {"tr", "table"}), "th": ({"td", "th"}, {"tr", "table"}), "option": ({"option"}, {"select"}), "tbody": ({"tr", "td", "th", "thead", "tbody"}, {"table"}), "body": ({"head"}, set())}
+#: Where the search for an open paragraph stops.
+KEEPS_P = ("td", "th", "button", "object")
 ENDS_P = frozenset("address article aside blockquote details div dl fieldset figure footer form h1 h2 h3 h4 h5 h6 header hr main menu nav ol p pre section table ul".split())
 
 
@@ -89,9 +100,9 @@ def _element_features(name: str, rest: str, parent: str) -> list[int]:
         names = ["bias", f"tag {name}", f"tag {name} in {parent}"]
         for attribute, value in _ATTRIBUTE.findall(rest) if rest else ():
             attribute = attribute.lower()
-            if attribute in ("class", "id", "role", "itemprop"):
-                names += [f"word {w.lower()}" for w in _WORD.findall(value)[:12]]
-            elif attribute == "hidden" or attribute == "aria-hidden" and "true" in value or "display:none" in value.replace(" ", ""):
+            if attribute in _NAMES:
+                names += [f"word {w.lower()}" for w in _WORD.findall(value)]
+            elif attribute == "hidden" or attribute == "aria-hidden" and "true" in value or attribute == "style" and "display:none" in value.replace(" ", ""):
                 names.append("hidden")
         got = [_feature(n) for n in dict.fromkeys(names)]
         if len(_element_cache) > 20_000:
@@ -109,13 +120,22 @@ def _run_features(text: str, tag: str, linked: int, depth: int) -> list[int]:
 
 
 def parse(html: str | None) -> Page:
-    """The tree of a page. Open elements are a stack of (name, node, whether text below counts)."""
+    """The tree of a page. Open elements are a stack of (name, node, whether text below counts), and the places of each name in it."""
     page = Page()
     html = html or ""
     stack: list[tuple[str, int, bool]] = [("", 0, True)]
+    places: dict[str, list[int]] = defaultdict(list)
     parts: list[str] = []
     linked, in_link = 0, 0
 
+    def last(names) -> int:
+        """The topmost open element of some names; 0 if there is none."""
+        return max((places[n][-1] for n in names if places[n]), default=0)
+
+    def shut(where: int) -> None:
+        while len(stack) > where:
+            places[stack.pop()[0]].pop()
+
     def flush() -> None:
         nonlocal linked
         if parts:
@@ -150,10 +170,9 @@ def parse(html: str | None) -> Page:
                 if name == "br":
                     parts.append(" ")
                 continue
-            where = next((k for k in range(len(stack) - 1, 0, -1) if stack[k][0] == name), 0)
-            if where:
+            if where := last((name,)):
                 flush()
-                del stack[where:]
+                shut(where)
                 in_link = 0
             elif name == "p":
                 flush()
@@ -169,23 +188,19 @@ def parse(html: str | None) -> Page:
             close = re.compile(rf"</{name}(?=[\s/>]|\Z)[^>]*>?", re.I).search(html, at)
             at = close.end() if close else end
             continue
-        if name in ENDS_P:
-            where = next((k for k in range(len(stack) - 1, 0, -1) if stack[k][0] == "p" or stack[k][0] in ("td", "th", "button", "object")), 0)
-            if where and stack[where][0] == "p":
-                del stack[where:]
+        if name in ENDS_P and (where := last(("p",))) > last(KEEPS_P):
+            shut(where)
         if name in CLOSES:
             closes, stops = CLOSES[name]
-            for k in range(len(stack) - 1, 0, -1):
-                if stack[k][0] in stops:
+            while (where := last(closes)) > last(stops):
+                shut(where)
+                if name not in ("tr", "tbody", "body"):
                     break
-                if stack[k][0] in closes:
-                    del stack[k:]
-                    if name not in ("tr", "tbody", "body"):
-                        break
         if name in VOID:
             continue
         parent = stack[-1]
         node = page.add(parent[1], 0, _element_features(name, m.group("rest"), parent[0])) if parent[2] else parent[1]
+        places[name].append(len(stack))
         stack.append((name, node, parent[2] and name not in NEVER))
     flush()
     return page
@@ -226,27 +241,29 @@ class Weights:
     pair: np.ndarray
 
 
-def marginals(f: Forest, w: Weights) -> tuple[np.ndarray, np.ndarray]:
-    """P(node holds main text), and P(parent's state, node's state) for every node with a parent, (n, 2, 2)."""
+def marginals(f: Forest, w: Weights, pairs: bool = True) -> tuple[np.ndarray, np.ndarray]:
+    """P(node holds main text), and, if ``pairs`` are wanted, P(parent's state, node's state) for every node with a parent, (n, 2, 2)."""
     n = len(f.parent)
     own = np.zeros((n, 2))
     own[:, 1] = np.bincount(f.owner, w.unary[f.feature], n)
     up = own.copy()  # a node's potential with all messages from below
     message = np.zeros((n, 2))
-    levels = [np.flatnonzero(f.depth == d) for d in range(f.depth.max() + 1)] if n else []
+    order = np.argsort(f.depth, kind="stable")
+    cuts = np.searchsorted(f.depth[order], np.arange(f.depth.max(initial=-1) + 2))
+    levels = [order[a:b] for a, b in zip(cuts[:-1], cuts[1:], strict=True)]
     for at in levels[:0:-1]:
         m = np.logaddexp(up[at, None, 0] + w.pair[f.kind[at], :, 0], up[at, None, 1] + w.pair[f.kind[at], :, 1])
         message[at] = m - m.max(1, keepdims=True)
         for s in (0, 1):
             np.add.at(up[:, s], f.parent[at], message[at, s])
     belief = up.copy()  # with the message from above as well
-    pair = np.zeros((n, 2, 2))
+    pair = np.zeros((n if pairs else 0, 2, 2))
     for at in levels[1:]:
         above = belief[f.parent[at]] - message[at]
-        joint = above[:, :, None] + w.pair[f.kind[at]] + up[at][:, None, :]
-        joint -= joint.max((1, 2), keepdims=True)
-        pair[at] = np.exp(joint)
-        pair[at] /= pair[at].sum((1, 2), keepdims=True)
+        if pairs:
+            joint = above[:, :, None] + w.pair[f.kind[at]] + up[at][:, None, :]
+            joint = np.exp(joint - joint.max((1, 2), keepdims=True))
+            pair[at] = joint / joint.sum((1, 2), keepdims=True)
         down = np.logaddexp(above[:, 0, None] + w.pair[f.kind[at], 0], above[:, 1, None] + w.pair[f.kind[at], 1])
         belief[at] = up[at] + down - down.max(1, keepdims=True)
     return 1 / (1 + np.exp(np.clip(belief[:, 0] - belief[:, 1], -500, 500))), pair
@@ -257,7 +274,7 @@ def train(pages: list[Page], labels: list[list[int]], steps: int = STEPS, rate:
     f = forest(pages)
     truth = np.zeros(len(f.parent), int)
     truth[f.run] = [x for page in labels for x in page]
-    for d in range(f.depth.max(), 0, -1):
+    for d in range(f.depth.max(initial=0), 0, -1):
         at = np.flatnonzero((f.depth == d) & (truth == 1))
         truth[f.parent[at]] = 1
     child = np.flatnonzero(f.parent >= 0)
@@ -473,7 +490,7 @@ def extract(htmls: list[str | None], w: Weights) -> list[str]:
     if not pages:
         return []
     f = forest(pages)
-    p, _ = marginals(f, w)
+    p, _ = marginals(f, w, pairs=False)
     keep = iter((p[f.run] > 0.5).tolist())
     return ["\n".join([text for _, text in page.runs if next(keep)]) for page in pages]
 

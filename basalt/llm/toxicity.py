@@ -16,8 +16,6 @@ toxic or any clean label everything scores 0; rows that repeat an id are scored
 
 from __future__ import annotations
 
-import zlib
-from array import array
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -42,19 +40,49 @@ STEADY = 0.05
 #: The averaged vector is scaled by as much before the softmax.
 GAIN = 8.0
 PRIOR_LOGIT = -4.0
-CACHED_WORDS = 200_000
+#: Words that one generation of a worker's cache holds, the longest of them, and words that are hashed at once.
+CACHED_WORDS = 100_000
+CACHED_CHARS = 64
+HASHED_WORDS = 20_000
 #: Rows that a task scores at once.
 BATCH_ROWS = 400
 HELD_OUT = 5
+_FACTOR = np.uint64(0x9E3779B97F4A7C15)
 _MARKS = str.maketrans(dict.fromkeys(".,;:!?|\"()[]{}", " "))
 
 
-def grams(word: str) -> list[int]:
-    """Buckets of a word's n-grams of 3 to 5 characters, ends marked, and of the word itself."""
-    w = f"<{word}>"
-    n = len(w)
-    found = {w} | {w[i : i + k] for k in (3, 4, 5) for i in range(n - k + 1)}
-    return [zlib.crc32(g.encode()) & (BUCKETS - 1) for g in found]
+def word_grams(words: list[str]) -> tuple[np.ndarray, np.ndarray]:
+    """Buckets of all words' n-grams of 3 to 5 characters, ends marked, and of the words themselves; and the word of each.
+
+    All words lie in one array of code points, "<one><two>..", so that a step hashes the n-grams of every word.
+    """
+    if not words:
+        return np.zeros(0, np.int64), np.zeros(0, np.int64)
+    c = np.frombuffer(f"<{'><'.join(words)}>".encode("utf-32-le", "surrogatepass"), np.uint32).astype(np.uint64)
+    size = np.fromiter(map(len, words), np.int64, len(words)) + 2
+    end = np.cumsum(size)
+    left = np.repeat(end, size) - np.arange(len(c))  # code points from here to the word's end
+    word = np.repeat(np.arange(len(words)), size)
+    buckets, owners = [], []
+    with np.errstate(over="ignore"):
+        h = c * _FACTOR
+        for k in range(2, 6):
+            h = (h[:-1] + c[k - 1 :]) * _FACTOR
+            if k >= 3:
+                at = np.flatnonzero(left[: len(h)] >= k)
+                buckets.append(_bucket(h[at] + np.uint64(k)))
+                owners.append(word[at])
+        # The power of a word's last code point is 1, of the one before it the factor, and so on.
+        power = np.ones(int(size.max()), np.uint64)
+        power[1:] = np.multiply.accumulate(np.full(len(power) - 1, _FACTOR, np.uint64))
+        buckets.append(_bucket(np.add.reduceat(c * power[left - 1], end - size) * _FACTOR + size.astype(np.uint64) * np.uint64(7)))
+        owners.append(np.arange(len(words)))
+    return np.concatenate(buckets), np.concatenate(owners)
+
+
+def _bucket(h: np.ndarray) -> np.ndarray:
+    h = (h ^ (h >> np.uint64(29))) * np.uint64(0xBF58476D1CE4E5B9)
+    return ((h ^ (h >> np.uint64(32))) & np.uint64(BUCKETS - 1)).astype(np.int64)
 
 
 def tokens(text: str | None) -> list[str]:
@@ -84,19 +112,18 @@ def _ranges(start: np.ndarray, size: np.ndarray) -> np.ndarray:
     return np.arange(ends[-1] if len(ends) else 0) + np.repeat(start - (ends - size), size)
 
 
-def train(texts: list[str], toxic: list[int], steps: int = STEPS, seed: int = 0) -> Model:
-    """Vectors and softmax by stochastic gradient descent over small groups of documents."""
+def train(texts: list[str], toxic: list[int], steps: int = STEPS, seed: int = 0, window_words: int = WINDOW) -> Model:
+    """Vectors and softmax by stochastic gradient descent over small groups of documents.
+
+    With ``window_words`` beyond the longest text the average of the whole bag goes into the softmax.
+    """
     vocabulary: dict[str, int] = {}
     docs = [(np.array([vocabulary.setdefault(w, len(vocabulary)) for w in ws], np.int64), float(y)) for ws, y in ((tokens(t), y) for t, y in zip(texts, toxic, strict=True)) if ws]
     y = np.array([d[1] for d in docs])
     if not len(y) or y.min() == y.max():
         return Model(np.zeros((BUCKETS, DIMENSIONS), np.float32), np.zeros((2, DIMENSIONS), np.float32), np.array([0.0, 60.0 if len(y) and y.max() else -60.0]))
-    flat, sizes = array("i"), array("i")
-    for w in vocabulary:
-        found = grams(w)
-        flat.extend(found)
-        sizes.append(len(found))
-    gram, gram_n = np.frombuffer(flat, np.int32), np.frombuffer(sizes, np.int32).astype(np.int64)
+    gram, of = word_grams(list(vocabulary))
+    gram, gram_n = gram[np.argsort(of, kind="stable")].astype(np.int32), np.bincount(of, minlength=len(vocabulary))
     gram_at = np.cumsum(gram_n) - gram_n
     weight = {1.0: 1.0, 0.0: min(1.0, 2 * y.sum() / (1 - y).sum())}
 
@@ -114,9 +141,9 @@ def train(texts: list[str], toxic: list[int], steps: int = STEPS, seed: int = 0)
             done += 1
             words = np.concatenate([d[0] for d in some])
             lengths = np.array([len(d[0]) for d in some])
-            windows = -(-lengths // WINDOW)
+            windows = -(-lengths // window_words)
             place = np.arange(len(words)) - np.repeat(np.cumsum(lengths) - lengths, lengths)
-            window = np.repeat(np.cumsum(windows) - windows, lengths) + place // WINDOW
+            window = np.repeat(np.cumsum(windows) - windows, lengths) + place // window_words
             doc = np.repeat(np.arange(len(some)), windows)
             size = np.bincount(window)
             used, word = np.unique(words, return_inverse=True)
@@ -143,34 +170,48 @@ def train(texts: list[str], toxic: list[int], steps: int = STEPS, seed: int = 0)
 
 
 class Scorer:
-    """Scores of whole texts; keeps a worker's words."""
+    """Scores of whole texts. Keeps a worker's words in two generations: when the newer one is full, the older one goes."""
 
-    def __init__(self, gram_logits: np.ndarray, offset: float):
-        self.gram_logits, self.offset = gram_logits, offset
+    def __init__(self, gram_logits: np.ndarray, offset: float, window_words: int = WINDOW):
+        self.gram_logits, self.offset, self.window = gram_logits.astype(np.float64), offset, window_words
         self.known: dict[str, float] = {}
+        self.older: dict[str, float] = {}
 
-    def word(self, w: str) -> float:
-        return float(self.gram_logits[grams(w)].mean())
+    def words(self, words: list[str]) -> np.ndarray:
+        """The mean logit of each word's n-grams."""
+        out = []
+        for k in range(0, len(words), HASHED_WORDS):
+            some = words[k : k + HASHED_WORDS]
+            gram, word = word_grams(some)
+            out.append(np.bincount(word, self.gram_logits[gram], len(some)) / np.bincount(word, minlength=len(some)))
+        return np.concatenate([np.zeros(0), *out])
 
     def score(self, texts: list[str | None]) -> np.ndarray:
         parts = [tokens(t) for t in texts]
         missing = set().union(*parts).difference(self.known) if parts else set()
         if len(self.known) + len(missing) > CACHED_WORDS:
-            self.known.clear()
+            self.older, self.known = self.known, {}
             missing = set().union(*parts)
-        self.known.update((w, self.word(w)) for w in missing)
+        again = missing & self.older.keys()
+        self.known.update((w, self.older[w]) for w in again)
+        new = list(missing - again)
+        self.known.update(zip(new, self.words(new).tolist(), strict=True))
         get = self.known.__getitem__
-        return np.array([self._text(np.fromiter(map(get, p), float, len(p))) for p in parts])
+        out = np.array([self._text(np.fromiter(map(get, p), float, len(p))) for p in parts])
+        for w in new:
+            if len(w) > CACHED_CHARS:
+                del self.known[w]
+        return out
 
     def _text(self, logits: np.ndarray) -> float:
         """The most toxic of the windows that start at every half window."""
-        n = len(logits)
+        n, window = len(logits), self.window
         if n == 0:
             best = 0.0
         else:
             sums = np.concatenate([[0.0], np.cumsum(logits)])
-            at = np.arange(0, max(1, n - WINDOW // 2), WINDOW // 2)
-            end = np.minimum(at + WINDOW, n)
+            at = np.arange(0, max(1, n - window // 2), window // 2)
+            end = np.minimum(at + window, n)
             best = ((sums[end] - sums[at]) / (end - at)).max()
         return 1 / (1 + np.exp(-min(max(best + self.offset, -60.0), 60.0)))
 

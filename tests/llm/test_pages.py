@@ -2,7 +2,9 @@
 
 import hashlib
 import io
+import math
 import random
+import time
 import zlib
 
 import numpy as np
@@ -60,6 +62,35 @@ def test_any_markup(weights, bad):
     assert isinstance(text, str)
 
 
+@pytest.mark.parametrize(
+    "page,runs",
+    [
+        ("<p title=it's>text one</p><p>don't stop</p><p>tail</p>", ["text one", "don't stop", "tail"]),
+        ('<p title="a>text one</p>', ["text one"]),
+        ('<p title="a>b" class=\'c>d\'>one</p>', ["one"]),
+        ("<p data-x=a/b>one</p><p a=1 b=\"2\">two</p>", ["one", "two"]),
+        ("<!-->one<!--->two<!-- x --!>three</ >four<?php x ?>five<!DOCTYPE x>six", ["onetwothreefourfivesix"]),
+        ("<p>one</p><p class=", ["one"]),
+        ("<p>a < b and c > d</p>", ["a < b and c > d"]),
+        ("<p>x<math>y</math></p><object>fallback</object>", ["xy", "fallback"]),
+    ],
+)
+def test_attributes(page, runs):
+    assert "".join(t for _, t in html.parse(page).runs) == "".join(runs)
+
+
+def test_all_words_of_an_attribute():
+    page = html.parse(f"<div class='{' '.join(f'u{k}' for k in range(40))} sidebar' title='class=ad'>x</div>")
+    assert html._feature("word sidebar") in page.features[1] and html._feature("word ad") not in page.features[1]
+
+
+@pytest.mark.parametrize("bad", ["<div>" * 100_000 + "x", "<p><table><td>" * 30_000, "<div><p>" * 50_000, "<p a='" * 50_000, "<p =\"x>\" " * 50_000, "<ul><li>" * 50_000, "<" * 200_000, "<!--" * 50_000, "</p>" * 100_000, "<a" * 100_000])
+def test_deep_and_long_markup_in_linear_time(weights, bad):
+    began = time.monotonic()
+    html.extract([bad], weights)
+    assert time.monotonic() - began < 30
+
+
 def test_blocks():
     assert [t for _, t in html.parse("<p>a<br>b<p>c <b>d</b>e<ul><li>x<li>y</ul><td>z").runs] == ["a b", "c de", "x", "y", "z"]
     assert [t for _, t in html.parse("<p>a&nbsp; b</p>").runs] == ["a b"]
@@ -67,7 +98,7 @@ def test_blocks():
 
 def test_main_text_of_a_table(spark, weights):
     rows = [(k, "u", p) for k, (p, _) in enumerate(PAGES.values())] + [(9, None, None), (9, "v", "")]
-    df = spark.createDataFrame(rows, "page_id long, url string, html string")
+    df = spark.createDataFrame(rows, "page_id long, url string, html string").selectExpr("*", "1 AS text", "2 AS n_chars")
     got = sorted((r["page_id"], r["text"], r["n_chars"]) for r in html.main_text(df, weights).collect())
     assert got == sorted([(k, t, len(t)) for k, (_, t) in enumerate(PAGES.values())] + [(9, "", 0), (9, "", 0)])
     assert html.main_text(df.limit(0), weights).count() == 0
@@ -123,6 +154,46 @@ def test_cut_archive():
         list(warc.parse(io.BytesIO(whole + whole[:-9])))
 
 
+def plain_buckets(word):
+    """Buckets of one word's n-grams, one by one."""
+    mask, factor = (1 << 64) - 1, int(toxicity._FACTOR)
+
+    def bucket(h):
+        h = ((h ^ h >> 29) * 0xBF58476D1CE4E5B9) & mask
+        return (h ^ h >> 32) & (toxicity.BUCKETS - 1)
+
+    def hashed(gram):
+        return sum(ord(c) * factor ** (len(gram) - i) for i, c in enumerate(gram))
+
+    w = f"<{word}>"
+    return [bucket((hashed(w[i : i + k]) + k) & mask) for k in (3, 4, 5) for i in range(len(w) - k + 1)] + [bucket((hashed(w) + 7 * len(w)) & mask)]
+
+
+def test_scores_against_plain_python():
+    r = np.random.default_rng(0)
+    logits, offset = r.normal(size=toxicity.BUCKETS), -1.5
+    scorer = toxicity.Scorer(logits, offset)
+    texts = [None, "", "a", "Ab ab AB, the (word) 日本 é", "stupid " * 9 + "x", " ".join(f"w{k}" for k in range(50)), "z" * 300 + " y"]
+
+    def score(text):
+        ws = [w for w, before in zip(toxicity.tokens(text), [None, *toxicity.tokens(text)], strict=False) if w != before]
+        each = [np.mean([logits[b] for b in plain_buckets(w)]) for w in ws]
+        best = max((np.mean(each[a : a + 8]) for a in range(0, max(1, len(each) - 4), 4)), default=0.0) if each else 0.0
+        return 1 / (1 + math.exp(-best - offset))
+
+    for _ in range(2):  # the second time from the cache
+        assert np.allclose(scorer.score(texts), [score(t) for t in texts], atol=1e-12)
+
+
+def test_cached_words_change_no_score(monkeypatch):
+    logits = np.random.default_rng(1).normal(size=toxicity.BUCKETS)
+    texts = [" ".join(f"w{(k * j) % 50}" for j in range(1, 30)) for k in range(40)]
+    want = toxicity.Scorer(logits, 0.0).score(texts)
+    monkeypatch.setattr(toxicity, "CACHED_WORDS", 7)
+    small = toxicity.Scorer(logits, 0.0)
+    assert np.array_equal(np.concatenate([small.score([t]) for t in texts]), want)
+
+
 GOOD = [f"{a}{b}{c}" for a in ("lo", "ma", "ti", "re") for b in ("ne", "do", "su", "vi") for c in ("n", "t", "ra", "lo")]
 BAD = ["stupid", "worthless", "pathetic"]
 
