@@ -1,19 +1,24 @@
 """Approximate nearest neighbours: a robust-pruned directed graph in each shard, searched by beams.
 
-Vectors are dealt into shards of about ``SHARD_ROWS`` by a hash. In a shard every vector gets neighbours by greedy search
-in the graph so far and by relaxed-distance pruning: the nearest candidate stays, and drops every other one that is
-closer to it, times ``ALPHA``, than to the vector itself. What stays points in diverse directions. Edges are added both
-ways, and a node with too many is pruned again. A query walks each shard's graph with a beam of ``BEAM`` nodes; the
-nearest of all shards remain. Cosines of what the beams found are computed from the original vectors in double
-precision, so only the choice of candidates is approximate.
+Vectors are dealt into shards by a hash. In a shard every vector gets neighbours by greedy search in the graph so far and
+by relaxed-distance pruning: the nearest candidate stays, and drops every other one that is closer to it, times
+``ALPHA``, than to the vector itself. What stays points in diverse directions. Edges are added both ways, and a node with
+too many is pruned again. A query walks each shard's graph with a beam of nodes; the nearest of all shards remain.
+Cosines of what the beams found are computed from the original vectors in double precision, so only the choice of
+candidates is approximate.
+
+Shards grow with the index, from ``SHARD_ROWS`` to ``MOST_SHARD_ROWS`` vectors or ``SHARD_BYTES``, and the beam with the
+root of a shard's size. A task holds one shard and its graph; queries come after the shard's vectors and are searched
+as they come, so its memory doesn't depend on their number.
 
 Equal vectors are indexed once: a query can meet at most k + 1 of the same vector, so each keeps its k + 1 smallest ids.
 
 Building goes through numpy in waves: all vectors of a wave search the same graph at once.
 
 Defined results: vectors that are null, of zero length, or that hold null or non-finite components take no part, as query
-or as candidate; vectors of another dimension than the query's are never its neighbours; with fewer than k other vectors
-all are given; ties go to the smaller id. Rows that repeat an id with the same vector count once.
+or as candidate, nor do rows without an id; vectors of another dimension than the query's are never its neighbours; with
+fewer than k other vectors all are given; ties go to the smaller id. Rows that repeat an id with the same vector count
+once. Columns beside id and vector are left out, whatever their names.
 """
 
 from __future__ import annotations
@@ -26,14 +31,19 @@ from pyspark.sql import functions as F
 
 from .common import small_batches, stored
 
-SHARD_ROWS = 4000
+SHARD_ROWS, MOST_SHARD_ROWS = 4000, 32_000
+#: Vectors of a shard in doubles, at most (but no fewer than a few hundred rows).
+SHARD_BYTES = 64 << 20
+#: Shards that an index has before they grow.
+SHARDS = 64
 DEGREE = 24
 BUILD_BEAM = 48
+#: Of a search in ``SHARD_ROWS`` vectors.
 BEAM = 96
 ALPHA = 1.2
 WAVE = 128
 #: Queries that one task searches a shard with at once.
-QUERY_BLOCK = 1024
+QUERY_BLOCK = 512
 
 
 def usable(vectors: DataFrame, vector: str = "embedding", key: str = "vec_id") -> DataFrame:
@@ -53,6 +63,7 @@ class Graph:
 
     def __init__(self, x: np.ndarray, degree: int = DEGREE, beam: int = BUILD_BEAM, alpha: float = ALPHA, seed: int = 0):
         self.x = x
+        self.visits = 0  # vectors that searches have compared with their queries
         n = len(x)
         self.edges = np.full((n, degree), -1, np.int32)
         self.start = int(np.argmax(x @ x.mean(0))) if n else 0
@@ -98,6 +109,7 @@ class Graph:
             r, c = np.nonzero(fresh)
             to = near[r, c]
             seen[alive[r], to] = True
+            self.visits += len(to)
             sim = np.full(near.shape, -np.inf, np.float32)
             sim[r, c] = np.einsum("ij,ij->i", queries[alive[r]], self.x[to])
             new = np.where(fresh, near, -1)
@@ -171,31 +183,39 @@ def distinct_vectors(vectors: DataFrame, ids: int) -> DataFrame:
     return rows.groupBy("h", "v").agg(F.sort_array(F.collect_set("vec_id")).alias("ids"))
 
 
-def search(vectors: DataFrame, queries: DataFrame, k: int = 5, shard_rows: int = SHARD_ROWS, vector: str = "embedding", key: str = "vec_id") -> DataFrame:
+def shard_count(rows: int, dim: int, shard_rows: int | None = None) -> int:
+    """How many shards an index of so many different vectors of at most ``dim`` components has."""
+    most = max(256, min(MOST_SHARD_ROWS, SHARD_BYTES // (8 * max(dim, 1))))
+    return max(1, -(-rows // (shard_rows or min(most, max(SHARD_ROWS, rows // SHARDS)))))
+
+
+def beam_of(rows: int) -> int:
+    """The beam that searches a shard of so many vectors."""
+    return max(BEAM, round(BEAM * (rows / SHARD_ROWS) ** 0.5))
+
+
+def search(vectors: DataFrame, queries: DataFrame, k: int = 5, shard_rows: int | None = None, vector: str = "embedding", key: str = "vec_id") -> DataFrame:
     """query_id, rank, vec_id, score: the k nearest found of each query, itself left out."""
     spark = vectors.sparkSession
     small_batches(spark)
     index = stored(distinct_vectors(usable(vectors, vector, key), k + 1), "vectors")
-    asked = stored(usable(queries, vector, key).dropDuplicates(["vec_id"]).select(F.col("vec_id").alias("query_id"), "v", F.size("v").alias("dim")), "queries")
-    dims = [r["dim"] for r in asked.select("dim").distinct().limit(1000).collect()]
-    shards = max(1, round(index.count() / shard_rows))
-    rows = index.where(F.size("v").isin(dims) if dims else F.lit(False)).select(F.pmod("h", F.lit(shards)).cast("int").alias("shard"), F.size("v").alias("dim"), F.lit(None).cast("long").alias("query_id"), "v", "ids")
-    # Every block of queries visits every shard; a shard's graph is built once, for all blocks.
+    asked = usable(queries, vector, key).dropDuplicates(["vec_id"]).select(F.col("vec_id").alias("query_id"), "v", F.size("v").alias("dim"))
+    held = index.agg(F.count(F.lit(1)).alias("n"), F.max(F.size("v")).alias("dim")).first()
+    shards = shard_count(held["n"], held["dim"] or 1, shard_rows)
+    rows = index.select(F.pmod("h", F.lit(shards)).cast("int").alias("shard"), F.size("v").alias("dim"), F.lit(None).cast("long").alias("query_id"), "v", "ids")
+    # Every query visits every shard; a shard's graph is built once, when its first query comes.
     visits = asked.select(F.explode(F.sequence(F.lit(0), F.lit(shards - 1))).alias("shard"), "dim", "query_id", "v", F.lit(None).cast("array<long>").alias("ids"))
 
     def work(batches: Iterator) -> Iterator:
-        held: list = []
+        at, shard = None, None
         for batch in batches:
             for key, part in _parts(batch):
-                if held and held[0][0] != key:
-                    yield from _searched(held, k)
-                    held = []
-                held.append((key, part))
-        if held:
-            yield from _searched(held, k)
+                if key != at:
+                    at, shard = key, Shard(key[1])
+                yield from shard.take(part, k)
 
     found = (
-        rows.unionByName(visits).repartition(shards, "shard").sortWithinPartitions("shard", "dim", F.col("query_id").asc_nulls_first())
+        rows.unionByName(visits).repartitionById(shards, "shard").sortWithinPartitions("shard", "dim", F.col("query_id").asc_nulls_first())
         .mapInArrow(work, "query_id long, vec_id long, score double")
     )
     order = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
@@ -215,41 +235,47 @@ def _matrix(column, dim: int) -> np.ndarray:
     return column.flatten().to_numpy(zero_copy_only=False).reshape(-1, dim)
 
 
-def _searched(held: list, k: int) -> Iterator:
-    """Builds a shard's graph and searches it for all its queries, block by block."""
-    import pyarrow as pa
-    import pyarrow.compute as pc
-
-    (_, dim), parts = held[0][0], [p for _, p in held]
-    vectors, ids, q, v = [], [], [], []
-    for p in parts:
-        asks = p.column(2).is_valid()
-        own, other = p.filter(pc.invert(asks)), p.filter(asks)
-        vectors.append(_matrix(own.column(3), dim))
-        ids += own.column(4).to_pylist()
-        q.append(other.column(2).to_numpy(zero_copy_only=False))
-        v.append(_matrix(other.column(3), dim))
-    x, q, v = np.concatenate(vectors), np.concatenate(q), np.concatenate(v)
-    if not len(x) or not len(q):
-        return
-    graph = Graph(unit(x))
-    norms = np.sqrt((x * x).sum(1))
-    for a in range(0, len(q), QUERY_BLOCK):
-        some = v[a : a + QUERY_BLOCK]
-        lengths = np.sqrt((some * some).sum(1))
-        beams, _ = graph.search(unit(some), BEAM)
+class Shard:
+    """A shard's vectors of one dimension, their graph, and the search of queries as they come."""
+
+    def __init__(self, dim: int):
+        self.dim, self.vectors, self.ids, self.graph = dim, [], [], None
+
+    def take(self, part, k: int) -> Iterator:
+        """Adds vectors (rows without a query's id, which come first); answers queries."""
+        import pyarrow.compute as pc
+
+        asks = part.column(2).is_valid()
+        own = part.filter(pc.invert(asks))
+        if own.num_rows:
+            self.vectors.append(_matrix(own.column(3), self.dim))
+            self.ids += own.column(4).to_pylist()
+        asked = part.filter(asks)
+        if asked.num_rows and self.vectors:
+            if self.graph is None:
+                self.x = np.concatenate(self.vectors)
+                self.vectors = [self.x]
+                self.norms = np.sqrt((self.x * self.x).sum(1))
+                self.graph = Graph(unit(self.x))
+            for a in range(0, asked.num_rows, QUERY_BLOCK):
+                some = asked.slice(a, QUERY_BLOCK)
+                yield from self._answers(some.column(2).to_pylist(), _matrix(some.column(3), self.dim), k)
+
+    def _answers(self, names: list[int], v: np.ndarray, k: int) -> Iterator:
+        import pyarrow as pa
+
+        lengths = np.sqrt((v * v).sum(1))
+        beams, _ = self.graph.search(unit(v), beam_of(len(self.x)))
         rows = []
-        for i, (query, beam) in enumerate(zip(q[a : a + QUERY_BLOCK].tolist(), beams, strict=True)):
+        for i, (query, beam) in enumerate(zip(names, beams, strict=True)):
             beam = beam[beam >= 0]
-            score = (x[beam] * some[i]).sum(1) / (norms[beam] * lengths[i])
-            out = sorted((-s, other) for node, s in zip(beam.tolist(), score.tolist(), strict=True) for other in ids[node] if other != query)[:k] if len(beam) <= 2 * k else _best(beam, score, ids, query, k)
-            rows += [(query, other, -s) for s, other in out]
+            score = (self.x[beam] * v[i]).sum(1) / (self.norms[beam] * lengths[i])
+            rows += [(query, other, -s) for s, other in _best(beam, score, self.ids, query, k)]
         if rows:
             yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), (pa.int64(), pa.int64(), pa.float64()), strict=True)], names=["query_id", "vec_id", "score"])
 
 
 def _best(beam: np.ndarray, score: np.ndarray, ids: list, query: int, k: int) -> list[tuple[float, int]]:
     """The k best by cosine, then id; one more node than k covers the query itself, equal scores come along."""
-    least = np.partition(score, len(score) - k - 1)[len(score) - k - 1]
-    near = np.flatnonzero(score >= least)
+    near = np.flatnonzero(score >= np.partition(score, len(score) - k - 1)[len(score) - k - 1]) if len(score) > k else np.arange(len(score))
     return sorted((-s, other) for node, s in zip(beam[near].tolist(), score[near].tolist(), strict=True) for other in ids[node] if other != query)[:k]

@@ -151,6 +151,41 @@ def test_recall(spark):
     assert g.edges.shape == (500, nearest.DEGREE) and (g.edges < 500).all() and all(len(set(e[e >= 0])) == (e >= 0).sum() for e in g.edges)
 
 
+def test_recall_of_a_large_shard():
+    """20,000 vectors without any structure, the hardest case, in one shard."""
+    x = np.random.default_rng(4).normal(size=(20_000, 24)).astype(np.float32)
+    x /= np.linalg.norm(x, axis=1, keepdims=True)
+    g = nearest.Graph(x)
+    q = x[::100]
+    g.visits = 0
+    found, _ = g.search(q, nearest.beam_of(len(x)))
+    truth = np.argsort(-(q @ x.T), axis=1)[:, 1:6]
+    assert np.mean([len(set(a) & set(b)) / 5 for a, b in zip(found.tolist(), truth.tolist(), strict=True)]) >= 0.9
+    assert g.visits / len(q) < 0.4 * len(x)
+
+
+def test_shards_grow_with_the_index():
+    assert [nearest.shard_count(n, 64) for n in (0, 1, 4000, 4001, 256_000)] == [1, 1, 1, 2, 64]
+    assert 30_000 < 10**9 / nearest.shard_count(10**9, 64) <= 32_000
+    assert 8 * 4096 * 10**9 / nearest.shard_count(10**9, 4096) <= nearest.SHARD_BYTES
+
+
+def test_queries_in_many_batches(spark, monkeypatch):
+    """All rows ask, in Arrow batches and blocks much smaller than their number; other columns have the result's names."""
+    monkeypatch.setattr(nearest, "small_batches", lambda s: s.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", 17))
+    x = np.random.default_rng(5).normal(size=(300, 4))
+    df = spark.createDataFrame([(i, [float(y) for y in v], "a", -1) for i, v in enumerate(x)], "vec_id long, embedding array<double>, shard string, rank int")
+    got = {}
+    for row in nearest.search(df, df, 3, shard_rows=100).collect():
+        got.setdefault(row["query_id"], {})[row["rank"]] = row["vec_id"]
+    u = x / np.linalg.norm(x, axis=1, keepdims=True)
+    s = u @ u.T
+    np.fill_diagonal(s, -9)
+    want = np.argsort(-s, axis=1)[:, :3]
+    assert np.mean([[got[i][k + 1] == want[i][k] for k in range(3)] for i in range(300)]) > 0.95
+    spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
+
+
 def test_pruning_loses_less_than_the_bands():
     agree = 0.8 + 0.2 / 256
     alive, lost = np.ones(1), 0.0
