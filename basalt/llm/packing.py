@@ -6,18 +6,22 @@ count for each length, whatever the corpus, and solves the instance over these c
 1. Martello-Toth dominance reduction, from the longest piece down: a piece that nothing fits beside stands alone; one
    that leaves room for one more piece at most, or whose largest partner fills the sequence exactly, is fixed with that
    partner; so is one that leaves room for two at most, if its largest partner is no shorter than any two that fit.
+   If two fit, it is fixed with its largest partner and the largest piece that then fits, provided these two dominate
+   every other pair: the longer of a pair fits in the place of the one and the shorter in that of the other, or both in
+   the place of the longer one.
 2. Best-fit decreasing over what remains, on runs of equal sequences instead of single ones.
 
 The solution is a list of patterns with multiplicities (a few for each length). Pieces of one length are numbered by
 sums over partitions, and number r of a length looks up its pattern, sequence and offset.
 
 Defined results: a null or empty text is its end token alone; documents that repeat an id are packed like any others;
-only documents longer than a sequence are cut, the first piece being the shorter one; an empty table gives no rows.
+only documents longer than a sequence are cut, the first piece being the shorter one; an empty table gives no rows;
+columns beside id and text are left out, whatever their names.
 """
 
 from __future__ import annotations
 
-from collections import defaultdict
+from collections import Counter, defaultdict
 from collections.abc import Iterator
 
 import numpy as np
@@ -54,10 +58,26 @@ def reduce_dominated(counts: dict[int, int], capacity: int = CAPACITY) -> tuple[
                 times = left[n] // 2 if best == n else min(left[n], left[best])
                 _fix(fixed, left, ((n, 2),) if best == n else ((n, 1), (best, 1)), times)
                 continue
-            break
+            if len(small) > 2 and sum(small) <= room:  # three fit
+                break
+            third = max((m for m in others if m <= room - best and others[m] > (m == best)), default=0)
+            if not third or not _dominates(others, room, best, third):
+                break
+            # What is fixed takes pieces away and adds none, so the pattern holds until one of its lengths runs out.
+            need = Counter((n, best, third))
+            _fix(fixed, left, tuple(sorted(need.items(), reverse=True)), min(left[m] // k for m, k in need.items()))
     return fixed, left
 
 
+def _dominates(counts: dict[int, int], room: int, a: int, b: int) -> bool:
+    """Whether every pair r >= s that fits in the room has s <= b, or r + s <= a; a is the largest piece that fits."""
+    for s in (m for m in counts if m > b):
+        for r in (m for m in counts if s <= m <= room - s and m + s > a):
+            if r != s or counts[r] > 1:
+                return False
+    return True
+
+
 def _fix(fixed: list[Pattern], left: dict[int, int], parts: tuple[tuple[int, int], ...], times: int) -> None:
     fixed.append((times, parts))
     for n, k in parts:
@@ -166,8 +186,12 @@ def pack(docs: DataFrame, tokenizer: str = "byte_bpe_50k.json", capacity: int =
     by_part = stored(pieces.groupBy("length", "part").agg(F.count(F.lit(1)).alias("n")), "lengths")
     counts = {r["length"]: r["n"] for r in by_part.groupBy("length").agg(F.sum("n").alias("n")).collect()}  # one row a length
     tables = spark.sparkContext.broadcast(lookup_tables(solve(counts, capacity)))
+    # One row a part, with the ranks that its pieces of each length start from: a part's pieces meet it by part, so no task
+    # gets all pieces of a length.
     before = Window.partitionBy("length").orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
     bases = by_part.select(F.col("length").alias("_l"), F.col("part").alias("_p"), F.coalesce(F.sum("n").over(before), F.lit(0)).alias("base"))
+    bases = bases.groupBy("_p").agg(F.map_from_entries(F.collect_list(F.struct("_l", "base"))).alias("_of"))
+    bases = stored(bases.select("_p", F.transform(F.sequence(F.lit(1).cast("long"), F.lit(capacity).cast("long")), lambda n: F.element_at("_of", n)).alias("_bases")), "bases")
 
     def place(batches: Iterator) -> Iterator:
         import pyarrow as pa
@@ -184,5 +208,5 @@ def pack(docs: DataFrame, tokenizer: str = "byte_bpe_50k.json", capacity: int =
             yield pa.RecordBatch.from_arrays([*batch.columns[:5], pa.array(sequence), pa.array(offset)], names=[*batch.schema.names[:5], "sequence_id", "offset"])
 
     kind = pieces.schema["doc_id"].dataType.simpleString()
-    ranked = pieces.join(bases, (F.col("length") == F.col("_l")) & (F.col("part") == F.col("_p"))).select("doc_id", "piece", "start", "length", "ids_crc32", (F.col("rank") + F.col("base")).alias("rank"))
+    ranked = pieces.join(bases, F.col("part") == F.col("_p")).select("doc_id", "piece", "start", "length", "ids_crc32", (F.col("rank") + F.get("_bases", (F.col("length") - 1).cast("int"))).alias("rank"))
     return ranked.mapInArrow(place, f"doc_id {kind}, piece int, start long, length long, ids_crc32 long, sequence_id long, offset long")

@@ -103,6 +103,34 @@ def check_places(rows):
     return len(by)
 
 
+def test_triples_are_fixed():
+    # Two fit beside 500, the largest partner is 300, and no other pair has a longer second piece.
+    fixed, left = packing.reduce_dominated({500: 4, 300: 4, 190: 4}, 1000)
+    assert fixed[0] == (2, ((500, 2),))  # it fills the sequence
+    fixed, left = packing.reduce_dominated({510: 4, 300: 4, 185: 4}, 1000)
+    assert (4, ((510, 1), (300, 1), (185, 1))) in fixed and not left
+    # 250 and 240 fit beside 510 as 300 and 150 do, and neither pair dominates the other.
+    fixed, left = packing.reduce_dominated({510: 1, 300: 1, 250: 1, 240: 1, 150: 1}, 1000)
+    assert not any(dict(parts).get(510) for _, parts in fixed)
+
+
+@pytest.mark.parametrize("seed", range(300))
+def test_reduction_loses_no_sequence(seed):
+    """Against exhaustive search: what is fixed and the best packing of the rest are as few sequences as the best of all."""
+    r = random.Random(seed)
+    capacity = r.choice((10, 17, 30, 100))
+    low = r.choice((1, capacity // 5, capacity // 4, capacity // 3))
+    lengths = [r.randint(max(1, low), r.choice((capacity, capacity // 2 + 1))) for _ in range(r.randint(1, 9))]
+    fixed, left = packing.reduce_dominated(counts(lengths), capacity)
+    rest = [n for n, c in left.items() for _ in range(c)]
+    assert sum(t for t, _ in fixed) + (exact(rest, capacity) if rest else 0) == exact(lengths, capacity)
+
+
+def test_pack_with_clashing_columns(spark):
+    df = spark.createDataFrame([(1, "a b", 9, 9, "x"), (2, None, 9, 9, "y")], "doc_id long, text string, length int, part int, offset string")
+    assert packing.pack(df).columns == ["doc_id", "piece", "start", "length", "ids_crc32", "sequence_id", "offset"] and packing.pack(df).count() == 2
+
+
 def test_pack_of_odd_rows(spark):
     assert packing.pack(spark.createDataFrame([], "doc_id long, text string")).count() == 0
     rows = [(1, "a b c")] * 700 + [(None, None)] * 50
