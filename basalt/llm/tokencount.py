@@ -1,15 +1,16 @@
 """Token counts by a two-tier lookup on the map side.
 
 First tier: a broadcast table of frequent pre-tokens and their numbers of tokens, at most ``TABLE_ENTRIES`` entries of at
-most ``TABLE_CHARS`` characters, taken from a bounded sample of documents (``SAMPLE_ROWS``). Second tier: a cache in each
-worker that encodes what the table lacks, once. Neither tier changes a count; a pre-token that neither holds is encoded.
-No pre-token is shuffled.
+most ``TABLE_CHARS`` characters. Every task counts the pre-tokens of all its documents in a summary of bounded size and
+gives its heavy hitters; sums of these make the table. Second tier: a cache in each worker that encodes what the table
+lacks, once. Neither tier changes a count; a pre-token that neither holds is encoded. No pre-token is shuffled: what a
+task sends are at most ``TASK_ENTRIES`` sums, however many documents it reads.
 
 The pieces of the vocabulary hold no space sign after another character, so a text's count is the sum over its parts
 between single spaces. Texts with other runs of spaces, or with the space sign itself, are encoded whole.
 
 Defined results: null and empty texts have 0 tokens; rows that repeat an id are counted one by one; an empty table gives
-no rows. The parts of a text are all of it, however long.
+no rows; columns beside id and text are left out, whatever their names. The parts of a text are all of it, however long.
 """
 
 from __future__ import annotations
@@ -26,8 +27,8 @@ MODEL = "piece_bpe_32k.model"
 LIMIT = 4096
 TABLE_ENTRIES = 1 << 15
 TABLE_CHARS = 24
-SAMPLE_ROWS = 1500
-SAMPLE_CHARS = 20_000
+#: Entries that a task's summary ends with, and that it may reach before rare ones go.
+TASK_ENTRIES, SUMMARY_ENTRIES = 1 << 13, 1 << 17
 CACHED_PARTS = 500_000
 CACHED_CHARS = 64
 SPACE_SIGN = "▁"
@@ -49,14 +50,32 @@ def whole(text: str) -> bool:
     return text.startswith(" ") or text.endswith(" ") or "  " in text or SPACE_SIGN in text
 
 
-def frequent_lengths(docs: DataFrame, name: str = MODEL, entries: int = TABLE_ENTRIES, rows: int = SAMPLE_ROWS, text: str = "text") -> dict[str, int]:
-    """The first tier: lengths of the most frequent pre-tokens of a bounded sample of texts of bounded length."""
-    sample = docs.where(F.length(text) <= SAMPLE_CHARS).select(text).limit(rows).collect()
-    seen: Counter[str] = Counter()
-    for (t,) in sample:
-        if not whole(t):
-            seen.update(p for p in t.split(" ") if len(p) <= TABLE_CHARS)
-    parts = sorted(p for p, _ in seen.most_common(entries))
+def heavy_hitters(docs: DataFrame, text: str = "text") -> DataFrame:
+    """part, n: the most frequent pre-tokens of each task over all its documents, with their counts there."""
+
+    def work(batches: Iterator) -> Iterator:
+        import pyarrow as pa
+
+        seen: Counter[str] = Counter()
+        for batch in batches:
+            some: Counter[str] = Counter()
+            for t in batch.column(0).to_pylist():
+                if t and not whole(t):
+                    some.update(t.split(" "))
+            seen.update({p: n for p, n in some.items() if len(p) <= TABLE_CHARS})
+            if len(seen) > SUMMARY_ENTRIES:
+                seen = Counter(dict(seen.most_common(SUMMARY_ENTRIES // 2)))
+        top = [(p, n) for p, n in seen.most_common(TASK_ENTRIES) if n > 1]
+        if top:
+            yield pa.RecordBatch.from_arrays([pa.array([p for p, _ in top], pa.string()), pa.array([n for _, n in top], pa.int64())], names=["part", "n"])
+
+    return docs.select(text).mapInArrow(work, "part string, n long")
+
+
+def frequent_lengths(docs: DataFrame, name: str = MODEL, entries: int = TABLE_ENTRIES, text: str = "text") -> dict[str, int]:
+    """The first tier: lengths of the most frequent pre-tokens of all documents."""
+    top = heavy_hitters(docs, text).groupBy("part").agg(F.sum("n").alias("n")).orderBy(F.desc("n"), "part").limit(entries).collect()
+    parts = sorted(r["part"] for r in top)
     return dict(zip(parts, map(len, model(name).encode(parts, num_threads=1)), strict=True)) if parts else {}
 
 

@@ -216,3 +216,14 @@ def test_no_piece_has_an_inner_space():
     sp = sentencepiece.SentencePieceProcessor(model_file=tokenizer_path("piece_bpe_32k.model"))
     pieces = [sp.id_to_piece(i) for i in range(sp.get_piece_size())]
     assert not [p for p in pieces if "▁" in p.lstrip("▁")]
+
+
+def test_frequent_parts_of_all_rows(spark, monkeypatch):
+    """The first tier counts every document, the last one as the first; few entries are kept on the way."""
+    rows = [(k, " ".join(f"rare{k}x{j}" for j in range(20)) + " the of " + ("late " * (k > 1500)) + "y" * 30) for k in range(2000)] + [(9, None), (9, "")]
+    df = spark.createDataFrame(rows, "doc_id long, text string").coalesce(1)
+    monkeypatch.setattr(tokencount, "SUMMARY_ENTRIES", 100)
+    got = {r["part"]: r["n"] for r in tokencount.heavy_hitters(df).collect()}
+    assert (got["the"], got["of"], got["late"]) == (2000, 2000, 499) and all(len(p) <= tokencount.TABLE_CHARS for p in got)
+    assert set(tokencount.frequent_lengths(df, entries=3)) == {"the", "of", "late"}
+    assert tokencount.frequent_lengths(df.limit(0)) == {}
