@@ -137,31 +137,37 @@ def slots(shares: DataFrame, seed: int = 0, block: int = BLOCK, shard_slots: int
 
     # Long runs are parted and dealt to tasks before they become slots.
     rows = rows.withColumn("_j", F.explode(F.sequence(F.col("_from"), F.col("_to") - 1, long(RUN))))
-    rows = rows.select("source_no", "slot", "_blocks", "_j", F.least(F.col("_to") - F.col("_j"), long(RUN)).alias("_n"), (F.col("_first") + F.col("_j") - F.col("_from")).alias("_first"))
+    a, b = sides(F.col("_blocks"))
+    rows = rows.select("source_no", "slot", "_blocks", a.alias("_a"), b.alias("_b"), "_j", F.least(F.col("_to") - F.col("_j"), long(RUN)).alias("_n"), (F.col("_first") + F.col("_j") - F.col("_from")).alias("_first"))
     rows = rows.repartition(max(1, -(-total // TASK_SLOTS)), "source_no", "slot", "_j").withColumn("_i", F.explode(F.sequence(long(0), F.col("_n") - 1)))
     rows = rows.withColumn("number", F.col("_first") + F.col("_i")).where(F.col("number") < F.col("_blocks") * most_times)
     rows = rows.withColumn("_strata", strata).withColumn("_pass", F.expr("number div _blocks"))
     shard = permuted(F.col("_j") + F.col("_i"), F.col("_strata"), seed, _SHARDS, F.col("slot"))
-    block_no = permuted(F.pmod("number", "_blocks"), F.col("_blocks"), seed, _BLOCKS, F.col("source_no"), F.col("_pass"))
+    block_no = permuted(F.pmod("number", "_blocks"), F.col("_blocks"), seed, _BLOCKS, F.col("source_no"), F.col("_pass"), ab=(F.col("_a"), F.col("_b")))
     return rows.select(shard.alias("shard"), "slot", "source_no", "number", block_no.alias("block_no"))
 
 
-def permuted(index: Column, n: Column, seed: int, kind: int, *keys: Column, rounds: int = 12) -> Column:
+def sides(n: Column) -> tuple[Column, Column]:
+    """floor(sqrt(n)) and how often it goes into n."""
+    a = F.floor(F.sqrt(n))
+    return a, F.call_function("div", n, a)
+
+
+def permuted(index: Column, n: Column, seed: int, kind: int, *keys: Column, ab: tuple[Column, Column] | None = None, rounds: int = 8) -> Column:
     """A pseudorandom permutation of 0 .. n - 1, evaluated at one index.
 
     With a = floor(sqrt(n)) and b = n div a, the indices below a x b are pairs (x, y). Every round is a half of a Feistel
     network on pairs, x or y in turn moved on by a keyed hash of the other, modulo a or b; the fewer than a indices that
     are no pair stay. Then all indices are moved on by a keyed number modulo n, so that others are left out in the next
-    round. Each step is a permutation for any n.
+    round. Each step is a permutation for any n. ``ab`` are the two sides, where a column has them.
     """
+    a, b = ab or sides(n)
 
     def one(i: Column, r: Column) -> Column:
         hashed = lambda *x: _hash(seed, kind, *keys, r, *x)
-        a = F.floor(F.sqrt(n))
-        b = F.floor(n / a)
-        x, y = F.floor(i / b), F.pmod(i, b)
+        x, y = F.call_function("div", i, b), i % b
         pair = F.when(r % 2 == 0, x * b + F.pmod(y + F.pmod(hashed(x), b), b)).otherwise(F.pmod(x + F.pmod(hashed(y), a), a) * b + y)
-        return F.pmod(F.when(i < a * b, pair).otherwise(i) + F.pmod(hashed(), n), n)
+        return (F.when(i < a * b, pair).otherwise(i) + F.pmod(hashed(), n)) % n
 
     return F.aggregate(F.sequence(F.lit(0).cast("long"), F.lit(rounds - 1).cast("long")), index, one)
 
@@ -181,9 +187,10 @@ def mixed(docs: DataFrame, seed: int = 0, block: int = BLOCK, shard_slots: int =
         full.select("source_no", "start", end.alias("_end"), F.explode(F.sequence(F.floor(start / block), F.floor((end - 1) / block))).alias("block_no"))
         .withColumn("overlap", F.least("_end", (F.col("block_no") + 1) * block) - F.greatest("start", F.col("block_no") * block))
     )
-    taken = pieces.join(times, ["source_no", "block_no"]).groupBy("source_no", "start").agg(F.sum(F.col("overlap") * F.col("times")).alias("taken"))
+    # Both sides of these joins grow with the corpus: never broadcast, however small one looks.
+    taken = pieces.hint("merge").join(times, ["source_no", "block_no"]).groupBy("source_no", "start").agg(F.sum(F.col("overlap") * F.col("times")).alias("taken"))
     columns = ["doc_id", "source", "size", "source_size", "target"]
-    found = full.join(taken, ["source_no", "start"], "left").select(*columns, F.coalesce("taken", F.lit(0)).cast("long").alias("taken"))
+    found = full.hint("merge").join(taken, ["source_no", "start"], "left").select(*columns, F.coalesce("taken", F.lit(0)).cast("long").alias("taken"))
     return found.unionByName(each(rows.where("size = 0 or size is null")).select(*columns, F.lit(0).cast("long").alias("taken")))
 
 
