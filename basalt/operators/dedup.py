@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import difflib
+from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
@@ -14,6 +15,7 @@ from ..storage import stored
 from .retrieval import dot
 
 BLOCK = 1024
+PIVOTS = 1024
 
 
 def first_wins(rows: DataFrame, key: Column, *order: Column) -> DataFrame:
@@ -23,26 +25,43 @@ def first_wins(rows: DataFrame, key: Column, *order: Column) -> DataFrame:
 
 
 def similar_pairs(vectors: DataFrame, threshold: float, key: str = "id", vector: str = "vector", block: int = BLOCK) -> DataFrame:
-    """a, b, similarity of all pairs a < b of unit vectors with a cosine of at least the threshold, exactly.
+    """a, b, similarity of all pairs a < b of unit vectors of one dimension with a cosine of at least the threshold, exactly.
 
-    Vectors are dealt into blocks by a hash; each pair of blocks is one cell, whose pairs are a matrix product.
+    Every vector has its home with the nearest of at most ``PIVOTS`` pivots (vectors with the smallest hashes), and visits
+    each pivot whose angle is at most twice the threshold's angle above that of its home: by the triangle inequality it
+    meets there all vectors that are similar to it. What is far apart never meets. A cell with many members is dealt over
+    pairs of blocks, whose pairs are a matrix product. A pair counts in the home of its smaller id.
     """
-    blocks = max(1, -(-vectors.count() // block))
-    rows = vectors.select(F.col(key).alias("id"), F.col(vector).cast("array<double>").alias("v")).where("v is not null").withColumn("block", F.pmod(F.xxhash64("id"), F.lit(blocks)).cast("int"))
-    cells = rows.withColumn("_o", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1)))).select("id", "v", "block", F.least("block", "_o").alias("x"), F.greatest("block", "_o").alias("y"))
+    rows = vectors.select(F.col(key).alias("id"), F.col(vector).cast("array<double>").alias("v")).where("v is not null")
+    pivots = [r["v"] for r in rows.orderBy(F.xxhash64("id"), "id").limit(max(1, min(PIVOTS, rows.count() // block))).collect()]
+    angle = float(np.arccos(np.clip(threshold, -1, 1)))
+
+    def visits(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        p = np.array(pivots)
+        for pdf in batches:
+            if len(pdf):
+                far = np.arccos(np.clip(np.stack(pdf["v"].to_numpy()) @ p.T, -1, 1))
+                home = far.argmin(1)
+                i, cell = np.nonzero(far <= far[np.arange(len(far)), home][:, None] + 2 * angle + 1e-6)
+                yield pd.DataFrame({"id": pdf["id"].to_numpy()[i], "v": pdf["v"].to_numpy()[i], "cell": cell, "home": home[i] == cell})
+
+    kind = vectors.schema[key].dataType.simpleString()
+    met = stored(rows.mapInPandas(visits, f"id {kind}, v array<double>, cell int, home boolean"), "visits")
+    sizes = met.groupBy("cell").agg(F.ceil(F.count(F.lit(1)) / block).cast("int").alias("blocks"), F.max("home").alias("_any")).where("_any")
+    met = met.join(F.broadcast(sizes), "cell").withColumn("block", F.pmod(F.xxhash64("id"), F.col("blocks")).cast("int"))  # a row a pivot
+    cells = met.withColumn("_o", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))).select("cell", "id", "v", "home", "block", F.least("block", "_o").alias("x"), F.greatest("block", "_o").alias("y"))
 
     def pairs(cell: tuple, rows: pd.DataFrame) -> pd.DataFrame:
-        ids, own = rows["id"].to_numpy(), rows["block"].to_numpy()
+        ids, own, home = rows["id"].to_numpy(), rows["block"].to_numpy(), rows["home"].to_numpy()
         m = np.stack(rows["v"].to_numpy())
         sim = m @ m.T
-        keep = (sim >= threshold) & (ids[:, None] < ids[None, :])
-        if cell[0] != cell[1]:
+        keep = (sim >= threshold) & (ids[:, None] < ids[None, :]) & home[:, None]
+        if cell[1] != cell[2]:
             keep &= own[:, None] != own[None, :]
         i, j = np.nonzero(keep)
         return pd.DataFrame({"a": ids[i], "b": ids[j], "similarity": sim[i, j]})
 
-    kind = vectors.schema[key].dataType.simpleString()
-    return cells.groupBy("x", "y").applyInPandas(pairs, f"a {kind}, b {kind}, similarity double")
+    return cells.groupBy("cell", "x", "y").applyInPandas(pairs, f"a {kind}, b {kind}, similarity double")
 
 
 def greedy(vectors: DataFrame, threshold: float = 0.9, key: str = "id", vector: str = "vector") -> DataFrame:

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions import dates as D
 from ..functions import text as T
+from .numbering import numbered
 
 # Weights of the keyword score and of tiers and fits.
 TIER_BONUS = {"A": 5, "B": 4, "C": 0}
@@ -89,8 +90,8 @@ def match_notices(rows: DataFrame, key: str, title: str, wanted_key: int | None,
 
 
 def batched_fallback(rows: DataFrame, order: Column, size: int = 50, share: float = 0.6, least: int = 10) -> DataFrame:
-    """Of each batch of so many rows in order, the first max(least, share) stay."""
-    out = rows.withColumn("_n", F.row_number().over(Window.orderBy(order))).withColumn("batch", F.floor((F.col("_n") - 1) / size).cast("int"))
+    """Of each batch of so many rows in order, the first max(least, share) stay. Rows are numbered by ranges, not in one task."""
+    out = numbered(rows, order, name="_n").withColumn("batch", F.floor((F.col("_n") - 1) / size).cast("int"))
     in_batch = Window.partitionBy("batch")
     out = out.withColumn("_b", F.row_number().over(in_batch.orderBy("_n"))).withColumn("_c", F.count(F.lit(1)).over(in_batch))
     return out.where(F.col("_b") <= F.greatest(F.lit(least), F.floor(F.col("_c") * share))).drop("_n", "_b", "_c")

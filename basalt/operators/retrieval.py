@@ -26,26 +26,34 @@ def bm25(docs: DataFrame, query: list[str], key: str = "doc_id", fields: dict[st
     """key, score of the documents that hold at least ``least`` query terms: the best weighted field of each counts.
 
     One pass counts the few query terms in each document (no postings of other terms are made), one aggregate gives
-    document frequencies and average lengths, and its single row is broadcast.
+    document frequencies and average lengths, and its single row is broadcast. A document is parted into terms once in
+    each pass: the counts of a field are one value, and a generator, below which no filter moves, drops what has no hit.
     """
     fields = fields or {"text": 1.0}
     query = list(dict.fromkeys(query))
-    counted = docs.select(key, *[T.terms(F.coalesce(F.col(f), F.lit(""))).alias(f"_t_{f}") for f in fields])
-    counts = [F.size(_equal(F.col(f"_t_{f}"), q)).alias(f"_tf_{f}_{i}") for f in fields for i, q in enumerate(query)]
-    counted = counted.select(key, *[F.size(f"_t_{f}").alias(f"_dl_{f}") for f in fields], *counts)
-    stats = counted.agg(F.count(F.lit(1)).alias("_n"), *[F.avg(f"_dl_{f}").alias(f"_avg_{f}") for f in fields], *[F.sum((F.col(f"_tf_{f}_{i}") > 0).cast("int")).alias(f"_df_{f}_{i}") for f in fields for i in range(len(query))])
+    counts = {f: _counts(T.terms(F.coalesce(F.col(f), F.lit(""))), query) for f in fields}
+    every = docs.select(*[c.alias(f"_c_{f}") for f, c in counts.items()])
+    stats = every.agg(F.count(F.lit(1)).alias("_n"), *[F.avg(F.get(f"_c_{f}", F.lit(0))).alias(f"_avg_{f}") for f in fields], *[F.sum((F.get(f"_c_{f}", F.lit(i + 1)) > 0).cast("int")).alias(f"_df_{f}_{i}") for f in fields for i in range(len(query))])
 
     def part(f: str, i: int) -> Column:
-        tf, df = F.col(f"_tf_{f}_{i}").cast("double"), F.col(f"_df_{f}_{i}").cast("double")
+        tf, df = F.get(F.col(f"_c_{f}"), F.lit(i + 1)).cast("double"), F.col(f"_df_{f}_{i}").cast("double")
         idf = F.log(1.0 + (F.col("_n") - df + 0.5) / (df + 0.5))
-        return F.when(tf > 0, idf * tf * (k1 + 1) / (tf + k1 * (1 - b + b * F.col(f"_dl_{f}") / F.col(f"_avg_{f}")))).otherwise(0.0)
+        return F.when(tf > 0, idf * tf * (k1 + 1) / (tf + k1 * (1 - b + b * F.get(F.col(f"_c_{f}"), F.lit(0)) / F.col(f"_avg_{f}")))).otherwise(0.0)
 
-    hit = [sum((F.col(f"_tf_{f}_{i}") for f in fields), F.lit(0)) > 0 for i in range(len(query))]
-    found = counted.where(sum((h.cast("int") for h in hit), F.lit(0)) >= least).join(F.broadcast(stats))
+    def hits(c: Column) -> Column:
+        return sum(((sum((F.get(c[f"_c_{f}"], F.lit(i + 1)) for f in fields), F.lit(0)) > 0).cast("int") for i in range(len(query))), F.lit(0)) >= least
+
+    one = F.array(F.struct(*[c.alias(f"_c_{f}") for f, c in counts.items()]))
+    found = docs.select(key, F.explode(F.filter(one, hits)).alias("_c")).select(key, "_c.*").join(F.broadcast(stats))  # one row
     scores = [w * sum((part(f, i) for i in range(len(query))), F.lit(0.0)) for f, w in fields.items()]
     return found.select(key, (F.greatest(*scores) if len(scores) > 1 else scores[0]).alias("score"))
 
 
+def _counts(terms: Column, query: list[str]) -> Column:
+    """The number of a text's terms, and of those that equal each query term; the terms are bound once."""
+    return F.get(F.transform(F.array(terms), lambda ws: F.array(F.size(ws), *[F.size(_equal(ws, q)) for q in query])), F.lit(0))
+
+
 def _equal(words: Column, term: str) -> Column:
     return F.filter(words, lambda w: w == term)
 

@@ -105,8 +105,7 @@ SELECT g.room, g.slot_no, arg_min(b.event_id, {{'f': b.first, 'e': b.event_id}})
 def q_availability(spark: SparkSession, sf_dir: str) -> DataFrame:
     b = bookings(spark, sf_dir)
     times = [(0, "2024-01-10 09:00:00", "2024-01-10 09:05:00"), (1, "2024-01-10 10:00:00", "2024-01-10 10:30:00"), (2, "2024-01-11 23:50:00", "2024-01-12 00:20:00")]
-    slots = spark.createDataFrame(times, "slot_id int, f string, l string").select("slot_id", F.col("f").cast("timestamp_ntz").alias("first"), F.col("l").cast("timestamp_ntz").alias("last"))
-    return O.availability(b.select("room").distinct(), slots, b)
+    return O.availability(b.select("room").distinct(), times, b)
 
 
 _PEOPLE = "e AS (SELECT event_id, ts AS first, 'u' || (user_id % 50) || '@x.org' AS organizer_email, 'User ' || (user_id % 50) AS organizer_name, ['u' || ((user_id + 1) % 50) || '@x.org', 'U' || ((user_id + 2) % 50) || '@x.org'] AS attendees FROM events)"

@@ -16,10 +16,15 @@ def shared_dir(spark: SparkSession, label: str) -> str:
     return path
 
 
+def remove(spark: SparkSession, path: str) -> None:
+    """Deletes a folder; one that isn't there is no error."""
+    where = spark._jvm.org.apache.hadoop.fs.Path(path)
+    where.getFileSystem(spark._jsc.hadoopConfiguration()).delete(where, True)
+
+
 def _remove(spark: SparkSession, path: str) -> None:
     try:
-        where = spark._jvm.org.apache.hadoop.fs.Path(path)
-        where.getFileSystem(spark._jsc.hadoopConfiguration()).delete(where, True)
+        remove(spark, path)
     except Exception:  # the session has ended
         pass
 

@@ -16,6 +16,7 @@ from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from ..functions import text as T
 from ..operators import operations as O
+from ..storage import remove
 
 EVENT = "source string, event_id string, event_type string, team string, channel string, thread string, page string, version int, text string, subtype string, bot string, ts timestamp"
 
@@ -97,6 +98,7 @@ def project(changes: DataFrame, path: str, checkpoint: str, key: str = "event_id
     """Applies changes to a table, the last one of each key in a batch: upserts, and deletes where ``gone`` holds.
 
     Each batch writes a new version of the table beside the last one, and a batch that runs again writes the same one.
+    Versions that no later batch reads are removed, so two remain.
     """
 
     def apply(batch: DataFrame, number: int) -> None:
@@ -107,6 +109,8 @@ def project(changes: DataFrame, path: str, checkpoint: str, key: str = "event_id
             old = spark.read.parquet(f"{path}/version={number - 1}")
             kept = old.join(last.select(key), key, "left_anti").unionByName(kept)
         kept.write.mode("overwrite").parquet(f"{path}/version={number}")
+        if number > 1:
+            remove(spark, f"{path}/version={number - 2}")
 
     return changes.writeStream.foreachBatch(apply).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
 

@@ -2,6 +2,8 @@
 
 from datetime import date, datetime
 
+import numpy as np
+import pytest
 from pyspark.sql import functions as F
 
 from basalt.functions import dates as D
@@ -10,6 +12,8 @@ from basalt.operators import chunking as K
 from basalt.operators import dedup, feeds
 from basalt.operators import evaluation as E
 from basalt.operators import merge as M
+from basalt.operators.numbering import numbered
+from basalt.operators.operations import resolved_people
 from basalt.operators import retrieval as R
 from basalt.sources import readers as S
 
@@ -105,3 +109,33 @@ def test_descriptions_and_blocks(spark):
     blocks = F.array(*[F.struct(F.lit(y).alias("y"), F.lit(x).alias("x"), F.lit(t).alias("text")) for y, x, t in ((2.0, 1.0, "c"), (1.01, 5.0, "b"), (1.04, 1.0, "a"))])
     assert one(spark, S.ordered_blocks(blocks)) == "a\nb\nc" and one(spark, S.confidence(F.lit("short"))) == 0.3
     assert S.has_rows(spark, "no_such_table") is False
+
+
+@pytest.mark.parametrize("threshold", [0.5, 0.9, 0.99])
+def test_similar_pairs_over_pivots(spark, threshold):
+    """Clusters, copies and noise over many homes and blocks: the pairs are those of brute force."""
+    r = np.random.default_rng(3)
+    centres = r.normal(size=(12, 6))
+    v = np.concatenate([centres[r.integers(0, 12, 150)] + 0.2 * r.normal(size=(150, 6)), np.repeat(centres[:1], 40, 0), r.normal(size=(60, 6))])
+    v /= np.linalg.norm(v, axis=1, keepdims=True)
+    df = spark.createDataFrame([(i, [float(y) for y in x]) for i, x in enumerate(v)] + [(999, None)], "id long, vector array<double>")
+    got = {(x["a"], x["b"]): x["similarity"] for x in dedup.similar_pairs(df, threshold, block=16).collect()}
+    sim = v @ v.T
+    want = {(i, j) for i in range(250) for j in range(i + 1, 250) if sim[i, j] >= threshold}
+    near = {(i, j) for i in range(250) for j in range(i + 1, 250) if abs(sim[i, j] - threshold) < 1e-9}
+    assert set(got) - near == want - near and all(abs(got[p] - sim[p]) < 1e-9 for p in got)
+
+
+def test_numbers_over_ranges(spark):
+    df = spark.range(1000).selectExpr("(id * 7919) % 1000 AS k", "CASE WHEN id % 10 = 0 THEN NULL ELSE id % 3 END AS g").repartition(5)
+    got = [tuple(x) for x in numbered(df, F.col("g"), F.col("k")).orderBy("number").collect()]
+    assert [x[2] for x in got] == list(range(1, 1001)) and [x[:2] for x in got] == sorted((x[:2] for x in got), key=lambda x: (x[1] is not None, x[1] or 0, x[0]))
+    assert numbered(df.limit(0), F.col("k")).count() == 0
+
+
+def test_parts_of_names(spark):
+    """Names meet users by their first characters; what lies in several user names, or is too short, stays open."""
+    users = spark.createDataFrame([("1", "Ann Lee", "a@x"), ("2", "Joanne Li", "j@x"), ("3", "Bo", "b@x"), ("4", "Zoe Zimmermann", ""), ("5", None, "n@x")], "user_id string, user_name string, email string")
+    names = spark.createDataFrame([(n,) for n in ("ann", "ann l", "li", "bo", "b", "zimmermann", "JOANNE", "xyz", "", None)], "name string")
+    got = {x["name"]: x["email"] for x in resolved_people(names, users).collect()}
+    assert got == {"ann": None, "ann l": "a@x", "li": "j@x", "bo": "b@x", "b": None, "zimmermann": None, "JOANNE": "j@x", "xyz": None, "": None, None: None}
