@@ -56,7 +56,7 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
     docs = keyed(docs)
     first = jaccard_join(docs, doc_id="_key").where("doc_id = class_id").select(F.col("doc_id").alias("_key")).distinct()
     alone = F.when(n_words(F.col("text")) == 0, F.monotonically_increasing_id())
-    return docs.withColumn("_alone", alone).join(first, "_key", "left_semi").dropDuplicates(["_key", "_alone"]).select(*COLUMNS)
+    return docs.withColumn("_alone", alone).hint("merge").join(first, "_key", "left_semi").dropDuplicates(["_key", "_alone"]).select(*COLUMNS)
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -68,7 +68,8 @@ def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     docs = keyed(docs)
     rows = docs.select(F.col("_key").alias("doc_id"), "source", "text")
     times = copies(mixed(stored(sized(rows), "sizes"))).where("copies > 0").groupBy(F.col("doc_id").alias("_key")).agg(F.sum("copies").alias("copies"))
-    taken = docs.join(times, "_key").dropDuplicates(["_key"]).withColumn("_", F.explode(F.sequence(F.lit(1), F.col("copies").cast("int"))))
+    # Both sides are shuffled by key, which serves the join and the rows that are equal: texts move once.
+    taken = docs.hint("merge").join(times, "_key").dropDuplicates(["_key"]).withColumn("_", F.explode(F.sequence(F.lit(1), F.col("copies").cast("int"))))
     return taken.select(*COLUMNS)
 
 
