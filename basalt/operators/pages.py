@@ -237,14 +237,11 @@ def content_with_links(html: Column, base: Column) -> Column:
     return run(html, base)
 
 
-def fixpoint(text: str, pattern: re.Pattern, most: int = 20) -> str:
-    """A text without a pattern, removed until nothing changes."""
-    for _ in range(most):
-        shorter = pattern.sub("", text)
-        if shorter == text:
-            break
+def fixpoint(text: str, pattern: re.Pattern) -> str:
+    """A text without a pattern, removed until nothing changes. Every round but the last shortens the text."""
+    while len(shorter := pattern.sub("", text)) < len(text):
         text = shorter
-    return " ".join(text.split(" ")).strip()
+    return text.strip()
 
 
 def without_nested(text: Column, pattern: str = r"\([^()]*\)") -> Column:
