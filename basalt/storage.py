@@ -8,14 +8,28 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 
 
-def shared_dir(spark: SparkSession, label: str) -> str:
-    """A new folder below ``spark.checkpoint.dir``, or below the warehouse where that isn't set; removed at the end."""
+_made: list[str] = []
+
+
+def made_dir(spark: SparkSession, label: str) -> str:
+    """A new folder below ``spark.checkpoint.dir``, or below the warehouse where that isn't set; removed by ``clear`` or at the end."""
     base = spark.conf.get("spark.checkpoint.dir", None) or f"{spark.conf.get('spark.sql.warehouse.dir')}/checkpoints"
-    path = f"{base.rstrip('/')}/rounds-{label}-{uuid.uuid4().hex}"
+    path = f"{base.rstrip('/')}/{label}-{uuid.uuid4().hex}"
+    _made.append(path)
     atexit.register(_remove, spark, path)
     return path
 
 
+def shared_dir(spark: SparkSession, label: str) -> str:
+    return made_dir(spark, f"rounds-{label}")
+
+
+def clear(spark: SparkSession) -> None:
+    """Removes all folders made so far: for long sessions, between queries whose results have been read or written."""
+    while _made:
+        remove(spark, _made.pop())
+
+
 def remove(spark: SparkSession, path: str) -> None:
     """Deletes a folder; one that isn't there is no error."""
     where = spark._jvm.org.apache.hadoop.fs.Path(path)
