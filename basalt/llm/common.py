@@ -2,12 +2,12 @@
 
 from __future__ import annotations
 
-import atexit
-import uuid
-
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..session import ship
+from ..storage import made_dir
+
 #: The six ASCII white-space characters that part words.
 SPACE = r"[\x20\x09-\x0D]"
 #: Arrow batches that Python workers get. All operators set the same bounds, as they are the session's; what wants smaller
@@ -34,18 +34,7 @@ def shared_dir(spark: SparkSession, label: str) -> str:
 
     Only where the setting is absent (one machine, as in tests) a folder below the warehouse is used.
     """
-    base = spark.conf.get("spark.checkpoint.dir", None) or f"{spark.conf.get('spark.sql.warehouse.dir')}/checkpoints"
-    path = f"{base.rstrip('/')}/basalt-{label}-{uuid.uuid4().hex}"
-    atexit.register(_remove, spark, path)
-    return path
-
-
-def _remove(spark: SparkSession, path: str) -> None:
-    try:
-        where = spark._jvm.org.apache.hadoop.fs.Path(path)
-        where.getFileSystem(spark._jsc.hadoopConfiguration()).delete(where, True)
-    except Exception:  # the session has ended
-        pass
+    return made_dir(spark, f"basalt-{label}")
 
 
 def stored(df: DataFrame, label: str) -> DataFrame:
@@ -56,7 +45,8 @@ def stored(df: DataFrame, label: str) -> DataFrame:
 
 
 def small_batches(spark: SparkSession) -> None:
-    """Bounds the Arrow batches that Python workers get, in rows and bytes."""
+    """Bounds the Arrow batches that Python workers get, in rows and bytes, and sees to it that workers have the package."""
+    ship(spark)
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", ARROW_BATCH_ROWS)
     spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", ARROW_BATCH_BYTES)
 

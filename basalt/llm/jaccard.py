@@ -18,6 +18,7 @@ Results per document: ``class_id``, the smallest doc_id that it is linked with d
 Defined results: null texts and texts without words link with nothing (class_id is their own id); rows with equal texts
 link with each other, also under one id; ids are 64-bit hashes of the sets, so two different sets are taken for one with
 a probability of about n^2 / 2^65. A null doc_id counts in n_links, and is a class_id only where a class has no other.
+Columns beside id and text are left out, whatever their names; an empty table gives no rows.
 """
 
 from __future__ import annotations
@@ -41,6 +42,8 @@ TOLERANCE = 1e-7
 HELD_PAIRS = 200_000
 #: Words of documents that a task turns into shingles at once.
 BATCH_WORDS = 1 << 17
+#: Tasks over which the rows of one group are dealt where they meet the group's row.
+SALTS = 16
 #: Members and shingles of a block in the exact stage.
 EXACT_BLOCK, EXACT_WORDS = 128, 1 << 16
 
@@ -262,6 +265,13 @@ def _dealt(members: DataFrame, group: str, size: str, *extra: str) -> DataFrame:
     return out.select(F.xxhash64(group, F.least("block", "_other"), F.greatest("block", "_other")).alias("cell"), "node", "block", (F.col("block") == F.col("_other")).alias("own"), *extra)
 
 
+def salted(rows: DataFrame, groups: DataFrame, key: str, how: str = "inner") -> DataFrame:
+    """Rows (with ``node``) joined with one row of each group: the rows of a group are dealt over ``SALTS`` tasks."""
+    each = groups.withColumnRenamed(key, "_key").withColumn("_salt2", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+    rows = rows.withColumn("_salt", F.pmod(F.xxhash64("node"), F.lit(SALTS)).cast("int"))
+    return rows.join(each, (F.col(key) == F.col("_key")) & (F.col("_salt") == F.col("_salt2")), how).drop("_key", "_salt", "_salt2")
+
+
 def candidates(classes: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
     """Edges (a, b), b < a, that span all pairs which share a band and survive pruning."""
     rows = classes.select("node", F.explode("bands").alias("band"))
@@ -326,8 +336,10 @@ def _overlaps(value: np.ndarray, member: np.ndarray, n: int) -> np.ndarray:
 
 def verified(members: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
     """node, root, n_docs, w (word hashes) -> rows (node, other, links): a forest's edges, and numbers of linked documents."""
-    sizes = members.groupBy("root").agg(F.greatest(F.ceil(F.count(F.lit(1)) / EXACT_BLOCK), F.ceil(F.sum(F.size("w")) / EXACT_WORDS)).alias("blocks")).select(F.col("root").alias("_root"), "blocks")
-    cells = _dealt(members.join(sizes, F.col("root") == F.col("_root")), "root", "blocks", "n_docs", "w")
+    sizes = members.groupBy("root").agg(F.greatest(F.ceil(F.count(F.lit(1)) / EXACT_BLOCK), F.ceil(F.sum(F.size("w")) / EXACT_WORDS)).alias("blocks"))
+    # Only groups of several blocks are looked up, few rows; members of one group meet them in ``SALTS`` places.
+    blocks = salted(members, stored(sizes.where("blocks > 1"), "sizes"), "root", "left").withColumn("blocks", F.coalesce("blocks", F.lit(1)))
+    cells = _dealt(blocks, "root", "blocks", "n_docs", "w")
 
     def work(batches: Iterator) -> Iterator:
         import pyarrow as pa
@@ -368,10 +380,10 @@ def jaccard_join(docs: DataFrame, threshold: float = THRESHOLD, doc_id: str = "d
     found = stored(verified(stored(_right_texts(texts), "members"), threshold), "links")
     links = found.where("links > 0").groupBy("node").agg(F.sum("links").alias("links"))
     exact = components(found.where("node != other").select(F.col("node").alias("a"), F.col("other").alias("b")))
-    named = classes.select("node", "first_id", "n_docs").join(exact, "node", "left").join(links, "node", "left").withColumn("root", F.coalesce("root", "node"))
-    named = stored(named, "named")
-    ids = named.groupBy("root").agg(F.min("first_id").alias("class_id"))
-    named = named.join(ids, "root").select(F.col("node").alias("_node"), "class_id", (F.col("n_docs") - 1 + F.coalesce("links", F.lit(0))).cast("long").alias("n_links"))
+    named = stored(classes.select("node", "first_id", "n_docs").join(exact, "node", "left").join(links, "node", "left"), "named")
+    linked, alone = named.where("root is not null"), named.where("root is null").withColumn("class_id", F.col("first_id"))
+    ids = linked.groupBy("root").agg(F.min("first_id").alias("class_id"))
+    named = salted(linked, ids, "root").unionByName(alone).select(F.col("node").alias("_node"), "class_id", (F.col("n_docs") - 1 + F.coalesce("links", F.lit(0))).cast("long").alias("n_links"))
     out = rows.select("doc_id", "node").join(named, F.col("node") == F.col("_node"), "left")
     return out.select("doc_id", F.coalesce("class_id", "doc_id").alias("class_id"), F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"))
 

@@ -7,8 +7,9 @@ built-in expressions: no Python runs on executors.
 Log ratios are rounded to integers (in 1/10,000 nats), so that sums don't depend on the order of rows.
 
 Defined results: null or blank text has no words and fails the base rule; without any trusted document every ratio is
-0 and the base rule decides alone; repeated rows are judged one by one and counted as often as they occur; columns
-beside the id and the text pass through untouched.
+0 and the base rule decides alone; repeated rows are judged one by one and counted as often as they occur; an empty
+table gives no rows. Columns beside the id and the text pass through, but those with the name of an output (the base
+figures, ratio_sum, n_ngrams, kept) are replaced by it.
 """
 
 from __future__ import annotations
@@ -60,17 +61,17 @@ def _let(value: Column, body) -> Column:
 
 
 def base_rules(docs: DataFrame, text: str = "text") -> DataFrame:
-    """Adds ``_words``, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words and base_failed."""
+    """Adds ``_quality_words``, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words and base_failed."""
     t = F.coalesce(F.col(text), F.lit(""))
     lines = F.filter(F.split(t, "\n"), lambda x: F.regexp_replace(x, SPACE, "") != "")
-    out = docs.withColumn("_words", words(F.col(text)))
-    out = out.withColumn("_pairs", F.transform(F.col("_words"), lambda w: F.crc32(w.cast("binary"))))
+    out = docs.withColumn("_quality_words", words(F.col(text)))
+    out = out.withColumn("_quality_hashes", F.transform(F.col("_quality_words"), lambda w: F.crc32(w.cast("binary"))))
     return (
-        out.withColumn("n_words", F.size("_words").cast("long"))
+        out.withColumn("n_words", F.size("_quality_words").cast("long"))
         .withColumn("word_chars", F.length(F.regexp_replace(t, f"{SPACE}+", "")).cast("long"))
         .withColumn("n_symbols", (F.length(t) - F.length(F.translate(t, SYMBOLS, ""))).cast("long"))
         .withColumn("n_dup_lines", _let(lines, lambda a: F.size(a) - F.size(F.array_distinct(a))).cast("long"))
-        .withColumn("n_repeat_words", repeated_positions(F.col("_words")))
+        .withColumn("n_repeat_words", repeated_positions(F.col("_quality_words")))
         .withColumn("base_failed", (F.col("n_words") < MIN_WORDS) | (100 * F.col("n_repeat_words") > MAX_REPEAT_PERCENT * F.col("n_words")))
     )
 
@@ -117,10 +118,10 @@ def quality(docs: DataFrame, labels: DataFrame, threshold: float = THRESHOLD, bu
     """All columns of ``docs``, the base figures, ``ratio_sum`` (in 1/10,000 nats over all n-grams), n_ngrams and kept."""
     table = log_ratios(docs, trusted_ids(labels, trusted_rows, doc_id), buckets, text=text, doc_id=doc_id)
     known = F.split(F.lit(",".join(map(str, table))), ",").cast("array<int>")
-    out = base_rules(docs, text).withColumn("_b", _buckets(F.col("_pairs"), buckets))
+    out = base_rules(docs, text).withColumn("_quality_buckets", _buckets(F.col("_quality_hashes"), buckets))
     return (
-        out.withColumn("n_ngrams", F.size("_b").cast("long"))
-        .withColumn("ratio_sum", F.aggregate("_b", F.lit(0).cast("long"), lambda a, b: a + F.get(known, b)))
+        out.withColumn("n_ngrams", F.size("_quality_buckets").cast("long"))
+        .withColumn("ratio_sum", F.aggregate("_quality_buckets", F.lit(0).cast("long"), lambda a, b: a + F.get(known, b)))
         .withColumn("kept", ~F.col("base_failed") & (F.col("ratio_sum") >= F.lit(round(threshold * SCALE)) * (F.col("n_ngrams") + PRIOR_NGRAMS)))
-        .drop("_words", "_pairs", "_b")
+        .drop("_quality_words", "_quality_hashes", "_quality_buckets")
     )

@@ -168,7 +168,9 @@ def write(docs: DataFrame, path: str, tokenizer: str = "byte_bpe_50k.json", shar
             sink.close()
             yield pa.RecordBatch.from_pylist([{"shard": shard, "file": file, "n_docs": len(writer.docs), "n_ids": writer.n_ids}], schema=pa.schema([("shard", pa.int32()), ("file", pa.string()), ("n_docs", pa.int64()), ("n_ids", pa.int64())]))
 
-    ordered = docs.select("doc_id", "text").repartitionByRange(shards, F.col("doc_id").asc_nulls_first()).sortWithinPartitions(F.col("doc_id").asc_nulls_first(), F.col("text").asc_nulls_first())
+    # Rows of one id (or none) go on in the order of a hash of their text, so that a range may end among them.
+    order = [F.col("doc_id").asc_nulls_first(), F.xxhash64("text").asc()]
+    ordered = docs.select("doc_id", "text").repartitionByRange(shards, *order).sortWithinPartitions(*order, F.col("text").asc_nulls_first())
     manifest = stored(ordered.mapInArrow(save, "shard int, file string, n_docs long, n_ids long"), "manifest")
     before = Window.orderBy("shard").rowsBetween(Window.unboundedPreceding, -1)  # one row for each file
     return manifest.withColumn("base", F.coalesce(F.sum("n_ids").over(before), F.lit(0)).cast("long"))

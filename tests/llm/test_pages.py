@@ -303,3 +303,32 @@ def test_mix_sources_by_row(spark, small):
         assert abs(sum(x[2] == s for x in out) - want[s]) < 0.1 * want[s]
     without = sum(x[0] is None for x in out) / len(out)
     assert abs(without - sum(x[0] is None for x in rows) / len(rows)) < 0.1
+
+
+def test_pipeline_of_nothing_and_of_odd_columns(spark, tmp_path):
+    """Every stage of an empty table is empty; columns beside those of documents are left out, whatever their names."""
+    import corpus_pipeline as p
+
+    schema = "doc_id long, text string, lang string, source string, n_chars int"
+    spark.createDataFrame([], schema).write.parquet(str(tmp_path / "documents.parquet"))
+    spark.createDataFrame([], "doc_id long, quality int, toxic int").write.parquet(str(tmp_path / "labels.parquet"))
+    assert p.run(spark, str(tmp_path)).count() == 0
+    docs = spark.createDataFrame([(1, " ".join(f"w{k}" for k in range(30)), "en", "s", 9, "x", 1, 2.0), (None, None, None, None, None, None, None, None)], f"{schema}, _key string, kept int, score double")
+    for name, stage in p.STAGES[:4]:
+        out = stage(spark, docs, str(tmp_path))
+        assert out.columns == list(p.COLUMNS), name
+        assert out.count() <= 3
+
+
+@pytest.mark.parametrize("name", ["op6_warc_archives", "op7_quality_rules", "op8_jaccard_join"])
+def test_registered_sql(spark, small, name):
+    import duckdb
+
+    from basalt.llm import queries
+    from tests.test_oracle import TABLES, rows
+
+    con = duckdb.connect()
+    for t in TABLES:
+        con.execute(f"CREATE VIEW {t} AS SELECT * FROM '{small}/{t}.parquet'")
+    got, want = queries.QUERIES[name](spark, small).toPandas(), con.execute(queries.ORACLES[name]).df()
+    assert sorted(got.columns) == sorted(want.columns) and rows(got) == rows(want)

@@ -197,3 +197,19 @@ def test_pruning_loses_less_than_the_bands():
         lost += alive[:least].sum()
         alive[:least] = 0
     assert lost < (1 - 0.8**jaccard.ROWS) ** jaccard.BANDS
+
+
+def test_one_group_of_half_the_rows(spark, monkeypatch):
+    """The members of one large component are dealt over tasks, and get its smallest id all the same."""
+    monkeypatch.setattr(jaccard, "EXACT_BLOCK", 8)
+    monkeypatch.setattr(jaccard, "SALTS", 3)
+    r = random.Random(4)
+    ws = [f"w{i}" for i in range(150)]
+    other = [(1000 + k, " ".join(f"x{k}y{j}" for j in range(30))) for k in range(60)]
+    check(spark, [(k, near(r, ws, r.randint(0, 2))) for k in range(60)] + other)
+
+
+def test_links_with_clashing_columns(spark):
+    df = spark.createDataFrame([(1, "a b c d e f", 7, "n"), (2, "a b c d e f", 8, "m"), (3, None, 9, None)], "doc_id long, text string, class_id int, node string")
+    got = jaccard.jaccard_join(df)
+    assert got.columns == ["doc_id", "class_id", "n_links"] and sorted(map(tuple, got.collect())) == [(1, 1, 1), (2, 1, 1), (3, 3, 0)]

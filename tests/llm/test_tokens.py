@@ -227,3 +227,15 @@ def test_frequent_parts_of_all_rows(spark, monkeypatch):
     assert (got["the"], got["of"], got["late"]) == (2000, 2000, 499) and all(len(p) <= tokencount.TABLE_CHARS for p in got)
     assert set(tokencount.frequent_lengths(df, entries=3)) == {"the", "of", "late"}
     assert tokencount.frequent_lengths(df.limit(0)) == {}
+
+
+def test_one_id_over_many_shards(spark):
+    """Two thirds of the rows without an id: their range may end among them, and starts stay gapless."""
+    df = spark.range(600).selectExpr("CASE WHEN id % 3 > 0 THEN NULL ELSE id END AS doc_id", "concat('t', id % 50, ' ', id) AS text", "1 AS start", "'x' AS ids_crc32")
+    path = tokenfile.shared_dir(spark, "hot")
+    manifest = tokenfile.write(df, path, shards=6)
+    got = tokenfile.read(manifest).orderBy("start").collect()
+    assert [r["start"] for r in got] == list(np.cumsum([0] + [r["n_tokens"] for r in got[:-1]]))
+    ids = [r["doc_id"] for r in got]
+    assert ids == [None] * 400 + sorted(i for i in ids if i is not None)
+    assert max(r["n_docs"] for r in manifest.collect()) < 300
