@@ -24,7 +24,7 @@ grams AS (SELECT rid, h % {BUCKETS} AS b FROM hs UNION ALL SELECT rid, (h * 31 +
 trusted AS (SELECT DISTINCT doc_id FROM labels WHERE quality = 1 AND doc_id IS NOT NULL),
 counts AS (SELECT b, count(*) AS raw, count(t.doc_id) AS target FROM grams JOIN docs USING (rid) LEFT JOIN trusted t ON docs.doc_id = t.doc_id GROUP BY b),
 sums AS (SELECT sum(raw)::DOUBLE AS raw_all, sum(target)::DOUBLE AS target_all FROM counts),
-ratio AS (SELECT b, CASE WHEN target_all = 0 THEN 0 ELSE round((ln((target + {SMOOTHING}::DOUBLE) / (raw + {SMOOTHING}::DOUBLE)) + ln((raw_all + {SMOOTHING * BUCKETS}::DOUBLE) / (target_all + {SMOOTHING * BUCKETS}::DOUBLE))) * {SCALE}) END::BIGINT AS v FROM counts, sums),
+ratio AS (SELECT b, CASE WHEN target_all = 0 THEN 0 ELSE round(ln((target + {SMOOTHING}::DOUBLE) / (raw * target_all / raw_all + {SMOOTHING}::DOUBLE)) * {SCALE}) END::BIGINT AS v FROM counts, sums),
 judged AS (SELECT rid, sum(v) AS s, count(*) AS n FROM grams JOIN ratio USING (b) GROUP BY rid),
 failed AS (SELECT *, n_words < {MIN_WORDS} OR 100 * n_repeat_words > 20 * n_words AS base_failed FROM base)
 SELECT doc_id, n_words, word_chars, n_symbols, (len(ls) - len(list_distinct(ls)))::BIGINT AS n_dup_lines, n_repeat_words, base_failed,

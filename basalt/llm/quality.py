@@ -1,8 +1,10 @@
 """Quality rules: hashed n-gram log-likelihood ratio between a trusted target and the raw corpus.
 
 Two multinomials over hashed word n-grams (one and two words) are counted, one over every document and one over
-trusted documents. A document's verdict is the mean log ratio of its n-grams against a fixed threshold. All of it is
-built-in expressions: no Python runs on executors.
+trusted documents. The log ratio of an n-gram is that of its count in trusted documents to the count that it would have
+there at the raw corpus's rate, both with the same pseudo-count, so that what is rare in the raw corpus says little if
+trusted documents lack it. A document's verdict is the mean log ratio of its n-grams against a fixed threshold. All of it
+is built-in expressions: no Python runs on executors.
 
 Log ratios are rounded to integers (in 1/10,000 nats), so that sums don't depend on the order of rows.
 
@@ -14,12 +16,13 @@ figures, ratio_sum, n_ngrams, kept) are replaced by it.
 
 from __future__ import annotations
 
+import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .common import SPACE, words
 
-BUCKETS = 1 << 14
+BUCKETS = 1 << 18
 SCALE = 10_000
 #: Mean log ratio, in nats, from which a document is kept; the mean counts PRIOR_NGRAMS more n-grams of ratio 0, so that
 #: a few rare words don't decide on a short text.
@@ -27,7 +30,7 @@ THRESHOLD = -0.08
 PRIOR_NGRAMS = 60
 #: Most trusted documents that the target multinomial is fitted on; taken in the order of a hash of their ids.
 TRUSTED_ROWS = 20_000
-SMOOTHING = 1.0
+SMOOTHING = 16.0
 MIN_WORDS = 10
 MAX_REPEAT_PERCENT = 20
 SHINGLE = 5
@@ -98,20 +101,19 @@ def log_ratios(docs: DataFrame, trusted: DataFrame, buckets: int = BUCKETS, smoo
         .select(F.explode(_buckets(F.col("_h"), buckets)).alias("b"), F.col("_trusted").isNotNull().cast("long").alias("t"))
         .groupBy("b").agg(F.count(F.lit(1)).alias("raw"), F.sum("t").alias("target"))
     )
-    counts = {r["b"]: (r["raw"], r["target"]) for r in rows.collect()}
-    return ratios_of(counts, buckets, smoothing)
+    counts = rows.toArrow()
+    raw, target = (np.zeros(buckets, np.int64) for _ in range(2))
+    at = counts.column("b").to_numpy()
+    raw[at], target[at] = counts.column("raw").to_numpy(), counts.column("target").to_numpy()
+    return ratios_of(raw, target, smoothing).tolist()
 
 
-def ratios_of(counts: dict[int, tuple[int, int]], buckets: int, smoothing: float) -> list[int]:
-    """Rounded log ratios of smoothed bucket probabilities, trusted over raw."""
-    import math
-
-    raw_all, target_all = (sum(c[k] for c in counts.values()) for k in (0, 1))
+def ratios_of(raw: np.ndarray, target: np.ndarray, smoothing: float) -> np.ndarray:
+    """Rounded log ratios of each bucket's trusted count to the one expected at the raw rate; 0 without trusted n-grams."""
+    raw_all, target_all = float(raw.sum()), float(target.sum())
     if not target_all:
-        return [0] * buckets
-    shift = math.log((raw_all + smoothing * buckets) / (target_all + smoothing * buckets))
-    value = lambda raw, target: round((math.log((target + smoothing) / (raw + smoothing)) + shift) * SCALE)
-    return [value(*counts.get(b, (0, 0))) for b in range(buckets)]
+        return np.zeros(len(raw), np.int64)
+    return np.rint(np.log((target + smoothing) / (raw * target_all / raw_all + smoothing)) * SCALE).astype(np.int64)
 
 
 def quality(docs: DataFrame, labels: DataFrame, threshold: float = THRESHOLD, buckets: int = BUCKETS, trusted_rows: int = TRUSTED_ROWS, text: str = "text", doc_id: str = "doc_id") -> DataFrame:

@@ -68,8 +68,8 @@ def test_verdicts_against_plain_sums(spark):
         raw.update(buckets(t))
         if i in trusted:
             target.update(buckets(t))
-    shift = math.log((raw.total() + n) / (target.total() + n))
-    ratio = lambda b: round((math.log((target[b] + 1) / (raw[b] + 1)) + shift) * quality.SCALE)
+    c = quality.SMOOTHING
+    ratio = lambda b: round(math.log((target[b] + c) / (raw[b] * target.total() / raw.total() + c)) * quality.SCALE)
     want = {}
     for i, t in docs:
         s = sum(map(ratio, buckets(t)))
