@@ -373,10 +373,9 @@ def jaccard_join(docs: DataFrame, threshold: float = THRESHOLD, doc_id: str = "d
     rows = stored(signed(docs), "signatures")
     classes = stored(rows.where("node is not null").groupBy("node").agg(F.min("doc_id").alias("first_id"), F.count(F.lit(1)).alias("n_docs"), F.first("bands").alias("bands"), F.first("signature").alias("signature")), "classes")
     groups = components(candidates(classes, threshold))
-    # Stored, so that its size is known: texts stay where they are while it is below Spark's broadcast threshold.
-    wanted = stored(groups.join(classes.select("node", "first_id", "n_docs"), "node"), "wanted")
+    wanted = groups.join(classes.select("node", "first_id", "n_docs"), "node")
     # A class's text is that of its first id; as ids may repeat, its set's key is compared, and one row of each stays.
-    texts = docs.join(wanted, docs["doc_id"].eqNullSafe(F.col("first_id"))).select("node", "root", "n_docs", word_hashes(F.col("text")).alias("w"))
+    texts = docs.hint("merge").join(wanted, docs["doc_id"].eqNullSafe(F.col("first_id"))).select("node", "root", "n_docs", word_hashes(F.col("text")).alias("w"))
     found = stored(verified(stored(_right_texts(texts), "members"), threshold), "links")
     links = found.where("links > 0").groupBy("node").agg(F.sum("links").alias("links"))
     exact = components(found.where("node != other").select(F.col("node").alias("a"), F.col("other").alias("b")))

@@ -22,7 +22,8 @@ from pyspark.sql import functions as F
 
 from .common import SPACE, words
 
-BUCKETS = 1 << 18
+#: As many as Spark's generated hash map holds in a task: with more the counting takes half as long again.
+BUCKETS = 1 << 16
 SCALE = 10_000
 #: Mean log ratio, in nats, from which a document is kept; the mean counts PRIOR_NGRAMS more n-grams of ratio 0, so that
 #: a few rare words don't decide on a short text.

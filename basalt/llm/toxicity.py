@@ -11,7 +11,8 @@ characters, in the order of a hash of the id; rows held out (crc32 of the id mod
 text is scored as a whole.
 
 Defined results: null and blank texts get the score of an empty window, the prior, which is below one half; without any
-toxic or any clean label everything scores 0; rows that repeat an id are scored one by one.
+toxic or any clean label everything scores 0; rows that repeat an id are scored one by one; an empty table gives no rows.
+``toxicity`` leaves out columns beside id and text; ``scored`` keeps all, and replaces one named score.
 """
 
 from __future__ import annotations

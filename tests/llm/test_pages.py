@@ -234,7 +234,7 @@ def test_held_out_labels_are_never_read(spark):
 
 
 def test_toxicity_without_labels(spark):
-    docs = spark.createDataFrame([(1, "a b"), (1, "a b")], "doc_id long, text string")
+    docs = spark.createDataFrame([(1, "a b", 9.0, 1), (1, "a b", 9.0, 0)], "doc_id long, text string, score double, predicted int")
     none = spark.createDataFrame([], "doc_id long, quality int, toxic int")
     assert [r["predicted"] for r in toxicity.toxicity(docs, none).collect()] == [0, 0]
     assert toxicity.toxicity(docs.limit(0), none).count() == 0
