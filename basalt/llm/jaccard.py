@@ -144,6 +144,7 @@ def _flat(lists) -> tuple[np.ndarray, np.ndarray]:
 
 def _bounded(batches: Iterator, column: int) -> Iterator:
     """Batches in parts of at most ``BATCH_WORDS`` list values (a longer list is a part of its own)."""
+    import pyarrow as pa
     import pyarrow.compute as pc
 
     for batch in batches:
@@ -153,6 +154,7 @@ def _bounded(batches: Iterator, column: int) -> Iterator:
         for a, b in zip(cuts[:-1], cuts[1:], strict=True):
             if b > a:
                 yield batch.slice(a, b - a)
+        pa.default_memory_pool().release_unused()
 
 
 def word_hashes(text: Column) -> Column:
@@ -196,6 +198,8 @@ def _groups(batches: Iterator, key: str, rows: int = 8_000) -> Iterator:
             if cut:
                 yield whole.slice(0, cut)
             held = whole.slice(cut).to_batches()
+            del whole
+            pa.default_memory_pool().release_unused()
     if held:
         yield pa.Table.from_batches(held)
 
@@ -269,7 +273,7 @@ def salted(rows: DataFrame, groups: DataFrame, key: str, how: str = "inner") ->
     """Rows (with ``node``) joined with one row of each group: the rows of a group are dealt over ``SALTS`` tasks."""
     each = groups.withColumnRenamed(key, "_key").withColumn("_salt2", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
     rows = rows.withColumn("_salt", F.pmod(F.xxhash64("node"), F.lit(SALTS)).cast("int"))
-    return rows.join(each, (F.col(key) == F.col("_key")) & (F.col("_salt") == F.col("_salt2")), how).drop("_key", "_salt", "_salt2")
+    return (rows.hint("merge") if how == "inner" else rows).join(each, (F.col(key) == F.col("_key")) & (F.col("_salt") == F.col("_salt2")), how).drop("_key", "_salt", "_salt2")
 
 
 def candidates(classes: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
