@@ -67,7 +67,13 @@ def q_purge(spark: SparkSession, sf_dir: str) -> DataFrame:
     return M.purge(jobs(spark, sf_dir), {"completed": 3, "failed": 7, "queued": -1}, AS_OF).groupBy("status").agg(F.count(F.lit(1)).alias("n"))
 
 
-@query()
+@query("""WITH RECURSIVE e AS (SELECT user_id AS job_id, ['claim', 'fail', 'complete', 'timeout'][event_id % 4 + 1] AS name, floor(epoch(ts))::DOUBLE AS t FROM events), r AS (SELECT *, row_number() OVER (PARTITION BY job_id ORDER BY t, name) AS i FROM e),
+f AS (SELECT DISTINCT job_id, 0::BIGINT AS i, 'queued' AS status, 0 AS attempts, 0.0::DOUBLE AS next_run, NULL::DOUBLE AS locked FROM e UNION ALL
+SELECT job_id, i, CASE act WHEN 'claim' THEN 'processing' WHEN 'complete' THEN 'completed' WHEN 'last' THEN 'failed' WHEN 'again' THEN 'queued' WHEN 'timeout' THEN 'queued' ELSE status END, attempts + (act = 'claim')::INT,
+CASE WHEN act = 'again' THEN t + least(300, greatest(5, 5 * pow(2, attempts - 1))) ELSE next_run END, CASE act WHEN 'claim' THEN t WHEN '' THEN locked END FROM (
+SELECT r.job_id, r.i, r.t, f.status, f.attempts, f.next_run, f.locked, CASE WHEN name = 'claim' AND status = 'queued' AND t >= next_run THEN 'claim' WHEN name = 'complete' AND status = 'processing' THEN 'complete'
+WHEN name = 'fail' AND status = 'processing' AND attempts >= 3 THEN 'last' WHEN name = 'fail' AND status = 'processing' THEN 'again' WHEN name = 'timeout' AND status = 'processing' AND t - locked > 900 THEN 'timeout' ELSE '' END AS act FROM f JOIN r ON r.job_id = f.job_id AND r.i = f.i + 1))
+SELECT job_id, status, attempts, next_run FROM f QUALIFY row_number() OVER (PARTITION BY job_id ORDER BY i DESC) = 1""")
 def q_job_fold(spark: SparkSession, sf_dir: str) -> DataFrame:
     name = F.element_at(F.array(*map(F.lit, ("claim", "fail", "complete", "timeout"))), (F.col("event_id") % 4 + 1).cast("int"))
     events = table(spark, sf_dir, "events").select(F.col("user_id").alias("job_id"), name.alias("name"), F.unix_seconds(F.col("ts").cast("timestamp")).cast("double").alias("at"))

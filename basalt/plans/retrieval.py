@@ -176,7 +176,12 @@ def q_sim_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
     return dedup.similar_pairs(vectors(spark, sf_dir), 0.4, "vec_id", "embedding").select("a", "b", F.round("similarity", 4).alias("similarity"))
 
 
-@query()
+@query("""WITH RECURSIVE v AS (SELECT vec_id, embedding::DOUBLE[] AS e, row_number() OVER (ORDER BY vec_id) AS i FROM embeddings),
+p AS (SELECT a.vec_id AS a, b.vec_id AS b, list_sum(list_transform(list_zip(a.e, b.e), lambda x: x[1] * x[2])) AS s FROM v a JOIN v b ON a.vec_id < b.vec_id), q AS (SELECT * FROM p WHERE s >= 0.35),
+n AS (SELECT v.vec_id, v.i, coalesce(list(q.a) FILTER (q.a IS NOT NULL), []) AS near FROM v LEFT JOIN q ON q.b = v.vec_id GROUP BY v.vec_id, v.i),
+g(i, kept) AS (SELECT 0::BIGINT, []::BIGINT[] UNION ALL SELECT n.i, CASE WHEN list_has_any(near, kept) THEN kept ELSE list_append(kept, vec_id) END FROM g JOIN n ON n.i = g.i + 1),
+k AS (SELECT unnest(kept) AS a FROM g WHERE i = (SELECT max(i) FROM g)), best AS (SELECT b, arg_max(a, {'s': s, 'o': -a}) AS duplicate_of, max(s) AS s FROM q SEMI JOIN k USING (a) GROUP BY b)
+SELECT v.vec_id, k.a IS NOT NULL AS kept, CASE WHEN k.a IS NULL THEN duplicate_of END AS duplicate_of, CASE WHEN k.a IS NULL THEN round(s, 4) END AS similarity FROM v LEFT JOIN k ON k.a = v.vec_id LEFT JOIN best ON best.b = v.vec_id""")
 def q_greedy_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = vectors(spark, sf_dir)
     return dedup.greedy(rows, 0.35, "vec_id", "embedding").withColumn("similarity", F.round("similarity", 4))
