@@ -123,8 +123,13 @@ def train(texts: list[str], toxic: list[int], steps: int = STEPS, seed: int = 0,
     y = np.array([d[1] for d in docs])
     if not len(y) or y.min() == y.max():
         return Model(np.zeros((BUCKETS, DIMENSIONS), np.float32), np.zeros((2, DIMENSIONS), np.float32), np.array([0.0, 60.0 if len(y) and y.max() else -60.0]))
-    gram, of = word_grams(list(vocabulary))
-    gram, gram_n = gram[np.argsort(of, kind="stable")].astype(np.int32), np.bincount(of, minlength=len(vocabulary))
+    known, grams, sizes = list(vocabulary), [], []
+    for k in range(0, len(known), HASHED_WORDS):
+        some = known[k : k + HASHED_WORDS]
+        found, of = word_grams(some)
+        grams.append(found[np.argsort(of, kind="stable")].astype(np.int32))
+        sizes.append(np.bincount(of, minlength=len(some)))
+    gram, gram_n = np.concatenate(grams), np.concatenate(sizes)
     gram_at = np.cumsum(gram_n) - gram_n
     weight = {1.0: 1.0, 0.0: min(1.0, 2 * y.sum() / (1 - y).sum())}
 
