@@ -257,6 +257,13 @@ def test_mix(spark):
     assert sorted(map(key, rows)) == sorted(map(key, mixing.mixed(df).collect()))
 
 
+def test_mix_with_clashing_columns(spark):
+    plain = spark.createDataFrame([(k, f"s{k % 3}", 40 + k) for k in range(60)] + [(None, None, 5), (7, "s1", 47)], "doc_id long, source string, size long")
+    wide = plain.selectExpr("*", "'x' AS source_size", "'x' AS target", "'x' AS taken", "'x' AS source_no", "'x' AS start", "'x' AS copies")
+    key = lambda df: sorted(str(tuple(x)) for x in df.collect())
+    assert mixing.mixed(wide).columns == mixing.mixed(plain).columns and key(mixing.mixed(wide)) == key(mixing.mixed(plain))
+
+
 def test_mix_of_nothing(spark):
     schema = "doc_id long, source string, size long"
     assert mixing.mixed(spark.createDataFrame([], schema)).count() == 0

@@ -130,6 +130,13 @@ def test_archives_of_odd_rows(spark):
     assert got == [("3", "response", "None"), ("3", "response", "None"), ("5", "revisit", "3"), ("None", "response", "None")]
 
 
+def test_archives_with_clashing_columns(spark):
+    plain = spark.createDataFrame([(1, "u", "q" * 200), (2, None, "q" * 200), (3, "v", None)], "page_id long, url string, html string")
+    wide = plain.selectExpr("*", "'x' AS payload", "7 AS payload_bytes", "'x' AS payload_digest", "'x' AS record_type", "7 AS refers_to", "'x' AS data")
+    assert sorted(map(tuple, warc.round_trip(wide).collect())) == sorted(map(tuple, warc.round_trip(plain).collect()))
+    assert warc.round_trip(wide).columns == warc.round_trip(plain).columns
+
+
 def test_chunked():
     for n in (0, 1, 4096, 4097, 20_000):
         body = bytes(i % 251 for i in range(n))

@@ -132,6 +132,15 @@ def test_copies_and_ties(spark):
     assert got == [0, 1, 3, 4, 5]
 
 
+def test_search_with_clashing_columns(spark):
+    plain = spark.createDataFrame([(k, [float(k), 1.0]) for k in range(1, 9)] + [(20, None), (21, [0.0, 0.0]), (None, [1.0, 1.0])], "vec_id long, embedding array<double>")
+    wide = plain.selectExpr("*", "'x' AS query_id", "'x' AS rank", "'x' AS score", "'x' AS shard", "'x' AS ids")
+    got, want = (nearest.search(df, df.where("vec_id in (2, 20, 21)"), 3) for df in (wide, plain))
+    assert got.columns == want.columns
+    rows = sorted(map(tuple, got.collect()))
+    assert rows == sorted(map(tuple, want.collect())) and {r[0] for r in rows} == {2}
+
+
 def test_recall(spark):
     r = np.random.default_rng(1)
     centres = r.normal(size=(10, 32))

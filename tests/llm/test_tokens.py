@@ -78,6 +78,14 @@ def test_round_trip_of_odd_rows(spark):
     assert [(r["doc_id"], r["start"]) for r in got] == [(None, 0), (-1, 2), (5, 3), (5, 5)]
 
 
+def test_files_and_counts_with_clashing_columns(spark):
+    plain = spark.createDataFrame([(1, "a b"), (2, None), (2, "c")], "doc_id long, text string")
+    wide = plain.selectExpr("*", "'x' AS start", "'x' AS n_tokens", "'x' AS ids_crc32", "'x' AS ids", "'x' AS n_bytes", "'x' AS over_limit", "'x' AS base")
+    for operator in (tokenfile.round_trip, tokencount.token_counts):
+        assert sorted(map(tuple, operator(wide).collect())) == sorted(map(tuple, operator(plain).collect()))
+        assert operator(wide).columns == operator(plain).columns
+
+
 def test_pack(spark, docs, ids):
     rows = packing.pack(docs).collect()
     for r in rows:
