@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from .collocations import LEAST, MAX_N, TOP, UNKNOWN
 from .jaccard import THRESHOLD as SIMILAR
 from .quality import BUCKETS, MIN_WORDS, PRIOR_NGRAMS, SCALE, SMOOTHING, THRESHOLD
 
@@ -41,3 +42,20 @@ pairs AS (SELECT a.doc_id AS a, b.doc_id AS b, count(*) AS k FROM sh a JOIN sh b
 links AS (SELECT a, b FROM pairs JOIN n x ON x.doc_id = a JOIN n y ON y.doc_id = b WHERE k >= {SIMILAR} * (x.n + y.n - k)),
 reach(a, b) AS (SELECT doc_id, doc_id FROM documents UNION SELECT r.a, l.b FROM reach r JOIN links l ON r.b = l.a)
 SELECT doc_id, (SELECT min(b) FROM reach WHERE a = doc_id) AS class_id, (SELECT count(*) FROM links WHERE a = doc_id) AS n_links FROM documents"""
+
+COLLOCATIONS = rf"""WITH p AS (SELECT coalesce(lang, '{UNKNOWN}') AS lang, unnest(string_split_regex(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[.,;:!?\x0A-\x0D]')) AS piece FROM documents),
+a AS (SELECT lang, list_filter(string_split_regex(piece, '[\x20\x09]+'), lambda w: w <> '') AS ws FROM p),
+m AS (SELECT unnest(range(1, {MAX_N} + 1)) AS k),
+g AS (SELECT lang, k, ws, unnest(range(1, len(ws) - k + 2)) AS i FROM a, m WHERE len(ws) >= k),
+f AS (SELECT lang, k, array_to_string(ws[i:i + k - 1], ' ') AS phrase, count(*) AS f FROM g GROUP BY ALL),
+n AS (SELECT lang, sum(f)::BIGINT AS n FROM f WHERE k = 1 GROUP BY lang),
+c AS (SELECT lang, k, phrase, string_split(phrase, ' ') AS ws, f AS a FROM f WHERE k >= 2 AND f >= {LEAST}),
+s AS (SELECT lang, ws, a, j, unnest(range(1, k - j + 2)) AS i FROM (SELECT *, unnest(range(2, k)) AS j FROM c)),
+inside AS (SELECT lang, array_to_string(ws[i:i + j - 1], ' ') AS phrase, max(a) AS longer FROM s GROUP BY ALL),
+kept AS (SELECT c.* FROM c LEFT JOIN inside USING (lang, phrase) WHERE longer IS NULL OR 100 * longer < 50 * a),
+cuts AS (SELECT *, unnest(range(1, k)) AS cut FROM kept),
+parts AS (SELECT *, array_to_string(ws[:cut], ' ') AS lp, array_to_string(ws[cut + 1:], ' ') AS rp FROM cuts),
+scored AS (SELECT p.lang, p.phrase, p.a, cut, x.f AS l, y.f AS r, (1000000::HUGEINT * p.a * p.a // (x.f::HUGEINT * y.f))::BIGINT AS score FROM parts p JOIN f x ON x.lang = p.lang AND x.phrase = lp JOIN f y ON y.lang = p.lang AND y.phrase = rp),
+best AS (SELECT lang, phrase, a, l, r, score FROM scored QUALIFY row_number() OVER (PARTITION BY lang, phrase ORDER BY score, cut) = 1),
+ranked AS (SELECT *, row_number() OVER (PARTITION BY lang ORDER BY score DESC, a DESC, encode(phrase)) AS rank FROM best)
+SELECT lang, rank, phrase, a, l, r, n, score FROM ranked JOIN n USING (lang) WHERE rank <= {TOP}"""

@@ -327,7 +327,7 @@ def test_pipeline_of_nothing_and_of_odd_columns(spark, tmp_path):
         assert out.count() <= 3
 
 
-@pytest.mark.parametrize("name", ["op6_warc_archives", "op7_quality_rules", "op8_jaccard_join"])
+@pytest.mark.parametrize("name", ["op6_warc_archives", "op7_quality_rules", "op8_jaccard_join", "op11_collocations"])
 def test_registered_sql(spark, small, name):
     import duckdb
 
