@@ -18,7 +18,8 @@ Results per document: ``class_id``, the smallest doc_id that it is linked with d
 Defined results: null texts and texts without words link with nothing (class_id is their own id); rows with equal texts
 link with each other, also under one id; ids are 64-bit hashes of the sets, so two different sets are taken for one with
 a probability of about n^2 / 2^65. A null doc_id counts in n_links, and is a class_id only where a class has no other.
-Columns beside id and text are left out, whatever their names; an empty table gives no rows.
+Rows of one id, or without any, cost what rows with ids of their own cost. Texts are read whole, however long. Columns
+beside id and text are left out, whatever their names; an empty table gives no rows.
 """
 
 from __future__ import annotations
@@ -162,7 +163,7 @@ def word_hashes(text: Column) -> Column:
 
 
 def signed(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
-    """doc_id, node (the key of its set; null without words), bands, signature (a byte of each MinHash value)."""
+    """doc_id, text_key (a hash of the text), node (the key of its set; null without words), bands, signature (a byte of each MinHash value)."""
 
     def work(batches: Iterator) -> Iterator:
         import pyarrow as pa
@@ -176,10 +177,10 @@ def signed(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataF
             low = np.ascontiguousarray(sig.astype(np.uint8))
             lists = pa.ListArray.from_arrays(pa.array(np.arange(n + 1, dtype=np.int32) * BANDS), pa.array(bands(sig).reshape(-1)))
             node = pa.array(set_keys(value, doc, n), mask=empty)
-            yield pa.RecordBatch.from_arrays([batch.column(0), node, lists, pa.array([x.tobytes() for x in low], pa.binary())], names=["doc_id", "node", "bands", "signature"])
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(2), node, lists, pa.array([x.tobytes() for x in low], pa.binary())], names=["doc_id", "text_key", "node", "bands", "signature"])
 
     kind = docs.schema[doc_id].dataType.simpleString()
-    return docs.select(doc_id, word_hashes(F.col(text)).alias("w")).mapInArrow(work, f"doc_id {kind}, node long, bands array<long>, signature binary")
+    return docs.select(doc_id, word_hashes(F.col(text)).alias("w"), F.xxhash64(text).alias("text_key")).mapInArrow(work, f"doc_id {kind}, text_key long, node long, bands array<long>, signature binary")
 
 
 def _groups(batches: Iterator, key: str, rows: int = 8_000) -> Iterator:
@@ -375,11 +376,11 @@ def jaccard_join(docs: DataFrame, threshold: float = THRESHOLD, doc_id: str = "d
     small_batches(docs.sparkSession)
     docs = docs.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text"))
     rows = stored(signed(docs), "signatures")
-    classes = stored(rows.where("node is not null").groupBy("node").agg(F.min("doc_id").alias("first_id"), F.count(F.lit(1)).alias("n_docs"), F.first("bands").alias("bands"), F.first("signature").alias("signature")), "classes")
+    first = F.min(F.struct(F.col("doc_id").isNull().alias("absent"), "doc_id", "text_key")).alias("first")
+    classes = rows.where("node is not null").groupBy("node").agg(first, F.count(F.lit(1)).alias("n_docs"), F.first("bands").alias("bands"), F.first("signature").alias("signature"))
+    classes = stored(classes.select("node", F.col("first.doc_id").alias("first_id"), F.col("first.text_key").alias("first_text"), "n_docs", "bands", "signature"), "classes")
     groups = components(candidates(classes, threshold))
-    wanted = groups.join(classes.select("node", "first_id", "n_docs"), "node")
-    # A class's text is that of its first id; as ids may repeat, its set's key is compared, and one row of each stays.
-    texts = docs.hint("merge").join(wanted, docs["doc_id"].eqNullSafe(F.col("first_id"))).select("node", "root", "n_docs", word_hashes(F.col("text")).alias("w"))
+    texts = class_texts(docs, groups.join(classes.select("node", "first_id", "first_text", "n_docs"), "node"))
     found = stored(verified(stored(_right_texts(texts), "members"), threshold), "links")
     links = found.where("links > 0").groupBy("node").agg(F.sum("links").alias("links"))
     exact = components(found.where("node != other").select(F.col("node").alias("a"), F.col("other").alias("b")))
@@ -391,8 +392,18 @@ def jaccard_join(docs: DataFrame, threshold: float = THRESHOLD, doc_id: str = "d
     return out.select("doc_id", F.coalesce("class_id", "doc_id").alias("class_id"), F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"))
 
 
+def class_texts(docs: DataFrame, wanted: DataFrame) -> DataFrame:
+    """node, root, n_docs, w of the rows of each class's first id and text: of one class a row, unless rows repeat.
+
+    Ids may be null or shared by any number of rows, so rows meet classes by id and text. A row's text is of one class, so
+    there are never more rows than documents.
+    """
+    same = docs["doc_id"].eqNullSafe(F.col("first_id")) & (F.xxhash64(docs["text"]) == F.col("first_text"))
+    return docs.hint("merge").join(wanted, same).select("node", "root", "n_docs", word_hashes(F.col("text")).alias("w"))
+
+
 def _right_texts(texts: DataFrame) -> DataFrame:
-    """Rows whose text has the node's set, one of each node."""
+    """Rows whose text has the node's set (hashes of two texts may agree), one of each node."""
 
     at = texts.columns.index("w")
 

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from .collocations import LEAST, MAX_N, TOP, UNKNOWN
 from .jaccard import THRESHOLD as SIMILAR
+from .lexical import K, LENGTH, SATURATION
 from .quality import BUCKETS, MIN_WORDS, PRIOR_NGRAMS, SCALE, SMOOTHING, THRESHOLD
 
 _WORDS = r"""
@@ -33,7 +34,7 @@ SELECT doc_id, n_words, word_chars, n_symbols, (len(ls) - len(list_distinct(ls))
 
 WARC = """WITH p AS (SELECT page_id, coalesce(html, '') AS h FROM pages), d AS (SELECT page_id, octet_length(encode(h))::BIGINT AS payload_bytes, sha256(h) AS payload_digest FROM p),
 f AS (SELECT *, min(page_id) OVER (PARTITION BY payload_digest) AS first_id FROM d)
-SELECT page_id, payload_bytes, payload_digest, CASE WHEN payload_bytes >= 100 AND page_id <> first_id THEN 'revisit' ELSE 'response' END AS record_type, CASE WHEN payload_bytes >= 100 AND page_id <> first_id THEN first_id END AS refers_to FROM f"""
+SELECT page_id, payload_bytes, payload_digest, CASE WHEN payload_bytes >= 100 AND page_id IS DISTINCT FROM first_id THEN 'revisit' ELSE 'response' END AS record_type, CASE WHEN payload_bytes >= 100 AND page_id IS DISTINCT FROM first_id THEN first_id END AS refers_to FROM f"""
 
 JACCARD = rf"""WITH RECURSIVE {_WORDS},
 sh AS (SELECT DISTINCT doc_id, CASE WHEN len(ws) < 5 THEN array_to_string(ws, ' ') ELSE array_to_string(ws[i:i + 4], ' ') END AS g FROM (SELECT doc_id, ws, unnest(range(1, greatest(len(ws) - 4, 1) + 1)) AS i FROM arrays WHERE len(ws) > 0)),
@@ -59,3 +60,15 @@ scored AS (SELECT p.lang, p.phrase, p.a, cut, x.f AS l, y.f AS r, (1000000::HUGE
 best AS (SELECT lang, phrase, a, l, r, score FROM scored QUALIFY row_number() OVER (PARTITION BY lang, phrase ORDER BY score, cut) = 1),
 ranked AS (SELECT *, row_number() OVER (PARTITION BY lang ORDER BY score DESC, a DESC, encode(phrase)) AS rank FROM best)
 SELECT lang, rank, phrase, a, l, r, n, score FROM ranked JOIN n USING (lang) WHERE rank <= {TOP}"""
+
+_TERMS = r"regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+')"
+LEXICAL = rf"""WITH d AS (SELECT row_number() OVER () AS rid, doc_id, {_TERMS} AS ts FROM documents),
+i AS (SELECT row_number() OVER () AS item, item_id, {_TERMS} AS ts FROM benchmark),
+q AS (SELECT item, term, count(*) AS q FROM (SELECT item, unnest(ts) AS term FROM i) GROUP BY ALL),
+sums AS (SELECT count(*)::BIGINT AS n_docs, sum(len(ts))::BIGINT AS n_terms FROM d WHERE len(ts) > 0),
+tf AS (SELECT rid, term, count(*)::BIGINT AS tf FROM (SELECT rid, unnest(ts) AS term FROM d) GROUP BY ALL),
+w AS (SELECT term, floor(1000 * ln((2 * n_docs + 2)::DOUBLE / (2 * count(*) + 1)::DOUBLE))::BIGINT AS w FROM tf, sums GROUP BY term, n_docs),
+m AS (SELECT rid, 100 - {LENGTH} + {LENGTH} * len(ts)::BIGINT * n_docs // n_terms AS m FROM d, sums),
+scored AS (SELECT item, rid, sum(q * w * (1000000000 * tf // (1000 * tf + {SATURATION} * m)))::BIGINT AS score FROM q JOIN w USING (term) JOIN tf USING (term) JOIN m USING (rid) GROUP BY item, rid),
+ranked AS (SELECT item, doc_id, score, row_number() OVER (PARTITION BY item ORDER BY score DESC, doc_id NULLS LAST, rid) AS rank FROM scored JOIN d USING (rid) WHERE score > 0)
+SELECT item_id, rank::INT AS rank, doc_id, score FROM ranked JOIN i USING (item) WHERE rank <= {K}"""

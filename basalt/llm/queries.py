@@ -86,6 +86,12 @@ def op12_vector_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pack_examples(table(spark, sf_dir, "documents").select("doc_id", "text"))
 
 
-ALL = (op1_token_output, op2_best_fit_packing, op3_token_counts, op4_main_text, op5_nearest, op6_warc_archives, op7_quality_rules, op8_jaccard_join, op9_mix_sources, op10_toxicity, op11_collocations, op12_vector_packing)
+def op13_lexical_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .lexical import search
+
+    return search(table(spark, sf_dir, "documents").select("doc_id", "text"), table(spark, sf_dir, "benchmark").select("item_id", "text"))
+
+
+ALL = (op1_token_output, op2_best_fit_packing, op3_token_counts, op4_main_text, op5_nearest, op6_warc_archives, op7_quality_rules, op8_jaccard_join, op9_mix_sources, op10_toxicity, op11_collocations, op12_vector_packing, op13_lexical_search)
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in ALL}
-ORACLES: dict[str, str] = {"op6_warc_archives": oracles.WARC, "op7_quality_rules": oracles.QUALITY, "op8_jaccard_join": oracles.JACCARD, "op11_collocations": oracles.COLLOCATIONS}
+ORACLES: dict[str, str] = {"op6_warc_archives": oracles.WARC, "op7_quality_rules": oracles.QUALITY, "op8_jaccard_join": oracles.JACCARD, "op11_collocations": oracles.COLLOCATIONS, "op13_lexical_search": oracles.LEXICAL}

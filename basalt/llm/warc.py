@@ -10,9 +10,9 @@ Archives hold one gzip member a record. Tasks write files under names of their o
 only files in the manifest are read, so what a lost attempt wrote doesn't count.
 
 Defined results: a null payload is an empty one, a null url an empty header; payloads below ``REVISIT_BYTES`` never become
-revisits; rows that repeat an id are written one by one, the first response of equal payloads being the one with the
-smallest id (null last); columns beside id, url and payload are left out, whatever their names. A group with a missing
-segment, a second copy of one, or another total length raises an error that names its origin.
+revisits; rows that repeat an id are written one by one, the responses of equal payloads being all rows of their smallest
+id, which the others revisit (a row without an id too, unless none has one: then all are responses); texts are written
+whole, however long; columns beside id, url and payload are left out, whatever their names. A group with a missing segment, a second copy of one, or another total length raises an error that names its origin.
 """
 
 from __future__ import annotations
@@ -164,7 +164,7 @@ def with_responses(pages: DataFrame, payload: str = "html", page_id: str = "page
     again = pages.where(F.octet_length("payload") >= least_bytes).groupBy("digest").agg(F.min("page_id").alias("_first"), F.count(F.lit(1)).alias("_n")).where("_n > 1")
     again = stored(again.select(F.col("digest").alias("_d"), "_first"), "responses")
     out = pages.join(again, F.col("digest") == F.col("_d"), "left")
-    return out.select("page_id", "url", "payload", "digest", F.when(F.col("page_id") != F.col("_first"), F.col("_first")).alias("refers"))
+    return out.select("page_id", "url", "payload", "digest", F.when(~F.col("page_id").eqNullSafe(F.col("_first")), F.col("_first")).alias("refers"))
 
 
 def write(pages: DataFrame, path: str, segment_bytes: int = SEGMENT_BYTES, file_bytes: int = FILE_BYTES) -> DataFrame:

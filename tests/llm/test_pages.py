@@ -127,7 +127,9 @@ def test_archives_of_odd_rows(spark):
     schema = "page_id long, url string, html string"
     assert warc.round_trip(spark.createDataFrame([], schema)).count() == 0
     got = sorted((str(r["page_id"]), r["record_type"], str(r["refers_to"])) for r in warc.round_trip(spark.createDataFrame([(3, None, "q" * 200), (3, "u", "q" * 200), (None, "u", "q" * 200), (5, "u", "q" * 200)], schema)).collect())
-    assert got == [("3", "response", "None"), ("3", "response", "None"), ("5", "revisit", "3"), ("None", "response", "None")]
+    assert got == [("3", "response", "None"), ("3", "response", "None"), ("5", "revisit", "3"), ("None", "revisit", "3")]
+    got = sorted((str(r["page_id"]), r["record_type"], str(r["refers_to"])) for r in warc.round_trip(spark.createDataFrame([(None, "u", "q" * 200), (None, "v", "q" * 200), (7, "u", "r" * 99), (8, "u", "r" * 99)], schema)).collect())
+    assert got == [("7", "response", "None"), ("8", "response", "None"), ("None", "response", "None"), ("None", "response", "None")]
 
 
 def test_archives_with_clashing_columns(spark):
@@ -327,7 +329,7 @@ def test_pipeline_of_nothing_and_of_odd_columns(spark, tmp_path):
         assert out.count() <= 3
 
 
-@pytest.mark.parametrize("name", ["op6_warc_archives", "op7_quality_rules", "op8_jaccard_join", "op11_collocations"])
+@pytest.mark.parametrize("name", ["op6_warc_archives", "op7_quality_rules", "op8_jaccard_join", "op11_collocations", "op13_lexical_search"])
 def test_registered_sql(spark, small, name):
     import duckdb
 

@@ -2,9 +2,11 @@
 
 import random
 import re
+from collections import Counter
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from basalt.llm import jaccard, nearest
 
@@ -88,6 +90,22 @@ def test_repeated_rows_and_ids(spark):
     assert jaccard.jaccard_join(spark.createDataFrame([], "doc_id long, text string")).count() == 0
 
 
+@pytest.mark.parametrize("shared", [None, 7])
+def test_many_rows_of_one_id(spark, shared):
+    """Rows meet the classes of their own text only, not all classes of their id."""
+    r = random.Random(4)
+    texts = []
+    for _ in range(400):
+        ws = [f"v{r.randrange(10**6)}" for _ in range(60)]
+        texts += [" ".join(ws), " ".join([*ws[:-1], "end"])]
+    docs = spark.createDataFrame([(shared, t) for t in texts] + [(shared, texts[0])] * 50, "doc_id long, text string").repartition(4)
+    rows = jaccard.signed(docs).where("node is not null")
+    wanted = rows.groupBy("node").agg(F.first("doc_id").alias("first_id"), F.first("text_key").alias("first_text"), F.count(F.lit(1)).alias("n_docs")).withColumn("root", F.col("node"))
+    assert wanted.count() == 800 and jaccard.class_texts(docs, wanted).count() == 850
+    got = Counter(map(tuple, jaccard.jaccard_join(docs).collect()))
+    assert got == {(shared, shared, 1): 798, (shared, shared, 51): 52}
+
+
 def test_large_group_in_blocks(spark, monkeypatch):
     """Groups that are dealt over many cells give the same links."""
     monkeypatch.setattr(jaccard, "BLOCK", 8)
