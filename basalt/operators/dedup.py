@@ -90,21 +90,31 @@ def greedy(vectors: DataFrame, threshold: float = 0.9, key: str = "id", vector:
 def either_key(rows: DataFrame, group: str, order: str, first: str, second: str) -> DataFrame:
     """In each group, in order, rows whose first or second key a kept row had before go; blank keys never match.
 
-    A dropped row blocks nothing, so a group is folded row by row: groups are lists of one page or one feed.
+    Decided in rounds over all groups at once: the rows that come first under both of their keys stay, those that share a key
+    with one of them go, and the others are looked at again. Each round takes minima by key and joins them, so neither a
+    group nor a key has to fit in a task. There are as many rounds as the longest chain of rows of which each waits for the
+    one before; a dropped row blocks nothing. Rows that are equal in the order go by the hash of their columns.
     """
-
-    def fold(pdf: pd.DataFrame) -> pd.DataFrame:
-        seen: tuple[set, set] = (set(), set())
-        keep = []
-        for a, b in zip(pdf.sort_values(order)[first], pdf.sort_values(order)[second], strict=True):
-            new = not (a and a in seen[0]) and not (b and b in seen[1])
-            keep.append(new)
-            if new:
-                seen[0].add(a)
-                seen[1].add(b)
-        return pdf.sort_values(order)[keep]
-
-    return rows.groupBy(group).applyInPandas(fold, rows.schema)
+    place = F.struct(F.col(order).isNull().alias("late"), F.col(order).alias("at"), F.xxhash64(*rows.columns).alias("hash"), F.monotonically_increasing_id().alias("row"))
+    blank = lambda c: F.when(F.col(c).cast("string") != "", F.col(c))
+    open_ = stored(rows.select("*", F.struct(F.col(group).isNull().alias("absent"), F.col(group).alias("id")).alias("_g"), blank(first).alias("_1"), blank(second).alias("_2"), place.alias("_at")), "open")
+    kept = []
+    while not open_.isEmpty():
+        for k in ("_1", "_2"):
+            least = open_.where(F.col(k).isNotNull()).groupBy("_g", k).agg(F.min("_at").alias(f"_min{k}"))
+            open_ = open_.join(least, ["_g", k], "left")
+        leads = (F.col("_1").isNull() | (F.col("_at") == F.col("_min_1"))) & (F.col("_2").isNull() | (F.col("_at") == F.col("_min_2")))
+        marked = stored(open_.withColumn("_leads", leads), "marked")
+        stay = marked.where("_leads")
+        kept.append(stay.select(*rows.columns))
+        open_ = marked.where("not _leads").drop("_leads", "_min_1", "_min_2")
+        for k in ("_1", "_2"):
+            open_ = open_.join(stay.where(F.col(k).isNotNull()).select("_g", k).distinct(), ["_g", k], "left_anti")
+        open_ = stored(open_, "open")
+    out = rows.limit(0)
+    for one in kept:
+        out = out.unionByName(one)
+    return out
 
 
 def distinct_structs(values: Column, *fields: str) -> Column:

@@ -66,6 +66,28 @@ def latency(rows: DataFrame, value: str, *keys: str) -> DataFrame:
     return rows.groupBy(*keys).agg(F.count(v).alias("n"), r(F.min(v)).alias("min"), r(F.percentile(v, F.lit(0.5))).alias("p50"), r(F.percentile(v, F.lit(0.95))).alias("p95"), r(F.max(v)).alias("max"), r(F.avg(v)).alias("mean"), r(F.sum(v)).alias("total"))
 
 
+#: Size of a quantile sketch; its ranks are off by less than SKETCH_ERROR (of all values), with 99 % confidence.
+SKETCH_K, SKETCH_ERROR = 800, 0.005
+
+
+def latency_sketches(rows: DataFrame, value: str, day: Column, *keys: str, k: int = SKETCH_K) -> DataFrame:
+    """For each day and key: n, least, most, total and a quantile sketch; what is kept of a day's values, whatever their number.
+
+    Null values don't count; a key without any has no row.
+    """
+    v = F.col(value).cast("double")
+    found = rows.where(v.isNotNull()).groupBy(day.alias("day"), *keys)
+    return found.agg(F.count(v).alias("n"), F.min(v).alias("least"), F.max(v).alias("most"), F.sum(v).alias("total"), F.kll_sketch_agg_double(v, F.lit(k)).alias("sketch"))
+
+
+def merged_latency(sketches: DataFrame, *keys: str, k: int = SKETCH_K) -> DataFrame:
+    """n, min, p50, p95, max, mean and total (3 digits) over days, from their sketches: p50 and p95 within ``SKETCH_ERROR``, the others exact."""
+    r = lambda c: F.round(c, 3)
+    merged = sketches.groupBy(*keys).agg(F.sum("n").alias("n"), F.min("least").alias("min"), F.max("most").alias("max"), F.sum("total").alias("total"), F.kll_merge_agg_double("sketch", F.lit(k)).alias("_s"))
+    at = lambda q: r(F.kll_sketch_get_quantile_double("_s", F.lit(q)))
+    return merged.select(*keys, "n", r("min").alias("min"), at(0.5).alias("p50"), at(0.95).alias("p95"), r("max").alias("max"), r(F.col("total") / F.col("n")).alias("mean"), r("total").alias("total"))
+
+
 def strategy_report(jobs: DataFrame, strategy: str = "strategy") -> DataFrame:
     """Per strategy: jobs, errors, inference p50/p95 without errors, p50 of waits above zero, jobs per second of the wall time."""
     fine = F.col("error").isNull() | (F.col("error") == "")

@@ -58,6 +58,16 @@ def q_latency_percentiles(spark: SparkSession, sf_dir: str) -> DataFrame:
     return E.latency(table(spark, sf_dir, "events"), "value", "event_type")
 
 
+@query("""SELECT event_type, count(value) AS n, round(min(value), 3) AS min, round(max(value), 3) AS max, round(avg(value), 3) AS mean, round(sum(value), 3) AS total, true AS p50_near, true AS p95_near FROM events GROUP BY event_type""")
+def q_latency_sketches(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Latencies kept by day as sketches and merged; whether their quantiles lie within the stated error is asked of all values."""
+    e = table(spark, sf_dir, "events")
+    merged = E.merged_latency(E.latency_sketches(e, "value", F.to_date("ts"), "event_type"), "event_type")
+    of = e.select(F.col("event_type").alias("_t"), "value").join(merged, F.col("_t") == F.col("event_type"))
+    near = lambda c, q: (F.avg((F.round("value", 3) < F.col(c)).cast("int")) <= q + E.SKETCH_ERROR) & (F.avg((F.round("value", 3) <= F.col(c)).cast("int")) >= q - E.SKETCH_ERROR)
+    return of.groupBy("event_type", "n", "min", "max", "mean", "total").agg(near("p50", 0.5).alias("p50_near"), near("p95", 0.95).alias("p95_near"))
+
+
 @query("""WITH j AS (SELECT event_type AS strategy, value / 10 AS inference_sec, (event_id % 5) / 10.0::DOUBLE AS wait_sec, 60.0::DOUBLE AS wall_sec, CASE WHEN event_id % 9 = 0 THEN 'x' END AS error FROM events)
 SELECT strategy, count(*) AS n_jobs, count(error) AS n_errors, round(quantile_cont(inference_sec, 0.5) FILTER (error IS NULL), 3) AS p50, round(quantile_cont(inference_sec, 0.95) FILTER (error IS NULL), 3) AS p95, round(quantile_cont(wait_sec, 0.5) FILTER (wait_sec > 0), 3) AS wait_p50, round(count(*) / max(wall_sec), 3) AS per_second FROM j GROUP BY strategy""")
 def q_strategy_report(spark: SparkSession, sf_dir: str) -> DataFrame:

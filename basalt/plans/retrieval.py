@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import text as T
-from ..operators import dedup
+from ..operators import dedup, postings
 from ..operators import retrieval as R
 from .registry import query, table
 
@@ -217,4 +217,27 @@ def q_min_max(spark: SparkSession, sf_dir: str) -> DataFrame:
     return dedup.min_max(rows, "x", "score").select("doc_id", F.round("score", 6).alias("score"))
 
 
+_FIELD_SQL = """WITH d AS (SELECT doc_id, string_split(text, chr(10))[1] AS title, source AS tags, text FROM documents),
+tk AS (SELECT doc_id, f, regexp_extract_all(lower(coalesce(CASE f WHEN 0 THEN title WHEN 1 THEN tags ELSE text END, '')), '[\\p{L}\\p{N}]+') AS ws FROM d, (SELECT unnest([0, 1, 2]) AS f)),
+q AS (SELECT DISTINCT item_id AS query, unnest(regexp_extract_all(lower(text || ' src' || item_id % 20), '[\\p{L}\\p{N}]+')) AS term FROM benchmark),
+st AS (SELECT f, count(*)::DOUBLE AS n, avg(len(ws)) AS avgdl FROM tk GROUP BY f),
+tf AS (SELECT doc_id, f, term, count(*)::DOUBLE AS tf, any_value(dl)::DOUBLE AS dl FROM (SELECT doc_id, f, len(ws) AS dl, unnest(ws) AS term FROM tk) SEMI JOIN q USING (term) GROUP BY ALL),
+df AS (SELECT f, term, count(*)::DOUBLE AS df FROM tf GROUP BY ALL), bl AS (SELECT term, max(df) AS df FROM df GROUP BY term),
+w AS (SELECT doc_id, f, term, tf * 2.2::DOUBLE / (tf + 1.2::DOUBLE * (0.25::DOUBLE + 0.75::DOUBLE * dl / avgdl)) AS w, ln(1.0::DOUBLE + (n - df.df + 0.5::DOUBLE) / (df.df + 0.5::DOUBLE)) AS idf, ln(1.0::DOUBLE + (n - bl.df + 0.5::DOUBLE) / (bl.df + 0.5::DOUBLE)) AS idfc
+  FROM tf JOIN df USING (f, term) JOIN bl USING (term) JOIN st USING (f)),
+bf AS (SELECT query, doc_id, f, sum(w * idf) * CASE f WHEN 0 THEN 5.0::DOUBLE WHEN 1 THEN 4.0::DOUBLE ELSE 2.0::DOUBLE END AS s FROM q JOIN w USING (term) GROUP BY query, doc_id, f),
+cf AS (SELECT query, doc_id, term, max(w * idfc * CASE f WHEN 0 THEN 3.0::DOUBLE WHEN 1 THEN 3.0::DOUBLE ELSE 1.0::DOUBLE END) AS s FROM q JOIN w USING (term) GROUP BY query, doc_id, term),
+sc AS (SELECT query, doc_id, round(b.s + c.s, 6) AS score FROM (SELECT query, doc_id, max(s) AS s FROM bf GROUP BY ALL) b JOIN (SELECT query, doc_id, sum(s) AS s FROM cf GROUP BY ALL) c USING (query, doc_id))
+SELECT query, doc_id, score, row_number() OVER (PARTITION BY query ORDER BY score DESC, doc_id)::INT AS rank FROM sc QUALIFY rank <= 25"""
+
+
+@query(_FIELD_SQL)
+def q_fields_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every item of the benchmark as a question over titles, tags and texts, through the index."""
+    docs = table(spark, sf_dir, "documents").select("doc_id", F.split_part("text", F.lit("\n"), F.lit(1)).alias("title"), F.col("source").alias("tags"), "text")
+    index = postings.build(docs, {"title": 5.0, "tags": 4.0, "text": 2.0}, {"title": 3.0, "tags": 3.0, "text": 1.0})
+    asked = table(spark, sf_dir, "benchmark").select(F.col("item_id").alias("query"), F.concat("text", F.lit(" src"), (F.col("item_id") % 20).cast("string")).alias("text"))
+    return postings.search(index, asked, R.CANDIDATES).withColumnRenamed("key", "doc_id")
+
+
 __all__ = ["T"]

@@ -1,4 +1,5 @@
-"""Streams: normalised ingest, idempotent enqueue, debouncing, change projection, job state machine, counted triggers.
+"""Streams: normalised ingest, idempotent enqueue, debouncing, job state machine, counted triggers. Timed leases and projections
+have modules of their own.
 
 State is bounded by watermarks; where an unbounded horizon is asked for (a source's event ids), the target table's keys
 are the guarantee and the stream's state only spares work. Micro-batches write in foreachBatch, keyed by batch, so that a
@@ -16,7 +17,7 @@ from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from ..functions import text as T
 from ..operators import operations as O
-from ..storage import remove
+from . import admission
 
 EVENT = "source string, event_id string, event_type string, team string, channel string, thread string, page string, version int, text string, subtype string, bot string, ts timestamp"
 
@@ -44,18 +45,16 @@ def unique(events: DataFrame, delay: str = "1 hour", at: str = "ts") -> DataFram
     return events.withWatermark(at, delay).dropDuplicatesWithinWatermark(["source", "source_event_id"])
 
 
-def enqueue(events: DataFrame, path: str, checkpoint: str):
-    """Appends new jobs to a table: the stream drops near repeats, the table's keys all others. Gives the started query."""
+def enqueue(events: DataFrame, path: str, checkpoint: str, buckets: int = admission.BUCKETS, bits: int = admission.BITS, seen: Callable[[dict], None] | None = None):
+    """Appends new jobs to a table: the stream drops near repeats, the table's keys all others. Gives the started query.
+
+    Of the rows of a key the first by time stays. Keys are kept beside the table, in buckets behind filters, so a batch reads
+    those that it may repeat and not the table.
+    """
 
     def write(batch: DataFrame, number: int) -> None:
-        spark = batch.sparkSession
-        rows = batch.dropDuplicates(["source", "source_event_id"]).withColumn("status", F.lit("queued")).withColumn("attempt_count", F.lit(0)).withColumn("batch", F.lit(number))
-        try:
-            known = spark.read.parquet(path).where(F.col("batch") != number).select("source", "source_event_id")
-            rows = rows.join(known, ["source", "source_event_id"], "left_anti")
-        except Exception as e:
-            if "PATH_NOT_FOUND" not in str(e) and "UNABLE_TO_INFER_SCHEMA" not in str(e):
-                raise
+        rows = admission.admit(batch, path, number, buckets=buckets, bits=bits, seen=seen)
+        rows = rows.withColumn("status", F.lit("queued")).withColumn("attempt_count", F.lit(0)).withColumn("batch", F.lit(number))
         rows.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("batch").parquet(path)
 
     return unique(normalised(events)).writeStream.foreachBatch(write).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
@@ -94,27 +93,6 @@ def job_states(events: DataFrame, max_attempts: int = O.MAX_ATTEMPTS) -> DataFra
     return events.groupBy("job_id").applyInPandasWithState(step, "job_id long, status string, attempts int, at double", "status string, attempts int, next_run double, locked double", "append", GroupStateTimeout.NoTimeout)
 
 
-def project(changes: DataFrame, path: str, checkpoint: str, key: str = "event_id", order: str = "changed_at", gone: str = "deleted"):
-    """Applies changes to a table, the last one of each key in a batch: upserts, and deletes where ``gone`` holds.
-
-    Each batch writes a new version of the table beside the last one, and a batch that runs again writes the same one.
-    Versions that no later batch reads are removed, so two remain.
-    """
-
-    def apply(batch: DataFrame, number: int) -> None:
-        spark = batch.sparkSession
-        last = batch.groupBy(key).agg(F.max_by(F.struct(*[c for c in batch.columns if c != key]), order).alias("c")).select(key, "c.*")
-        kept = last.where(~F.col(gone))
-        if number > 0:
-            old = spark.read.parquet(f"{path}/version={number - 1}")
-            kept = old.join(last.select(key), key, "left_anti").unionByName(kept)
-        kept.write.mode("overwrite").parquet(f"{path}/version={number}")
-        if number > 1:
-            remove(spark, f"{path}/version={number - 2}")
-
-    return changes.writeStream.foreachBatch(apply).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
-
-
 def counted(messages: DataFrame, every: int, key: str = "session") -> DataFrame:
     """A row at every n-th user message of a session; the state is one count a session."""
 
@@ -142,13 +120,24 @@ def in_memory(stream: DataFrame, name: str, checkpoint: str | None = None, mode:
 Handler = Callable[[DataFrame], None]
 
 
-def dispatched(jobs: DataFrame, handlers: dict[tuple[str, str], Handler], checkpoint: str, every: str = "1 second"):
-    """Routes each micro-batch's jobs by (source, event_type) to handlers that write by key."""
+def dispatched(jobs: DataFrame, handlers: dict[tuple[str, str], Handler], checkpoint: str, every: str = "1 second", others: Handler | None = None):
+    """Routes each micro-batch's jobs by (source, event_type) to handlers that write by key.
+
+    Jobs that no handler is for go to ``others``; without it they stop the stream, as they would be lost.
+    """
 
     def route(batch: DataFrame, number: int) -> None:
         batch.persist()
+        mine = F.lit(False)
         for (source, kind), handle in handlers.items():
-            handle(batch.where((F.col("source") == source) & (F.col("event_type") == kind)))
+            one = F.col("source").eqNullSafe(source) & F.col("event_type").eqNullSafe(kind)
+            handle(batch.where(one))
+            mine = mine | one
+        rest = batch.where(~mine)
+        if others:
+            others(rest)
+        elif some := rest.select("source", "event_type").first():
+            raise ValueError(f"no handler for {some['source']}, {some['event_type']}")
         batch.unpersist()
 
     return jobs.writeStream.foreachBatch(route).option("checkpointLocation", checkpoint).trigger(processingTime=every).start()

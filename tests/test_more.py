@@ -139,3 +139,24 @@ def test_parts_of_names(spark):
     names = spark.createDataFrame([(n,) for n in ("ann", "ann l", "li", "bo", "b", "zimmermann", "JOANNE", "xyz", "", None)], "name string")
     got = {x["name"]: x["email"] for x in resolved_people(names, users).collect()}
     assert got == {"ann": None, "ann l": "a@x", "li": "j@x", "bo": "b@x", "b": None, "zimmermann": None, "JOANNE": "j@x", "xyz": None, "": None, None: None}
+
+
+def test_latency_sketches(spark):
+    """Merging days gives what one pass gives, within the stated error of the ranks; everything but the quantiles is exact."""
+    import random
+
+    from basalt.operators import evaluation as E
+
+    r = random.Random(3)
+    rows = [(f"k{i % 3}", i % 40, r.lognormvariate(1, 1 + i % 3)) for i in range(60_000)] + [("k0", 1, None), ("only null", 2, None)]
+    df = spark.createDataFrame(rows, "k string, day int, v double").repartition(5)
+    by_day = E.latency_sketches(df, "v", F.col("day"), "k")
+    assert by_day.count() == 3 * 40 and by_day.agg(F.max(F.length("sketch"))).first()[0] < 20_000
+    once = {x["k"]: x for x in E.merged_latency(E.latency_sketches(df, "v", F.lit(0), "k"), "k").collect()}
+    for x in E.merged_latency(by_day, "k").collect():
+        values = sorted(v for k, _, v in rows if k == x["k"] and v is not None)
+        assert (x["n"], x["min"], x["max"]) == (len(values), round(values[0], 3), round(values[-1], 3))
+        assert abs(x["mean"] - sum(values) / len(values)) < 2e-3 and abs(x["total"] - sum(values)) < 1e-2
+        for c, q in (("p50", 0.5), ("p95", 0.95)):
+            for y in (x, once[x["k"]]):
+                assert abs(sum(v <= y[c] for v in values) / len(values) - q) < E.SKETCH_ERROR + 1e-3

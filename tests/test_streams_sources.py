@@ -58,16 +58,6 @@ def test_counted(spark, tmp_path):
     assert sorted(r["turns"] for r in streams.in_memory(streams.counted(stream, 2), "counted").collect()) == [2, 4]
 
 
-def test_projection(spark, tmp_path):
-    schema = "event_id string, subject string, deleted boolean, changed_at long"
-    put(tmp_path / "in/a.json", [{"event_id": "1", "subject": "a", "deleted": False, "changed_at": 1}, {"event_id": "2", "subject": "b", "deleted": False, "changed_at": 1}, {"event_id": "1", "subject": "c", "deleted": False, "changed_at": 2}])
-    read = lambda: spark.readStream.schema(schema).json(str(tmp_path / "in"))
-    streams.drain(streams.project(read(), str(tmp_path / "t"), str(tmp_path / "c")))
-    put(tmp_path / "in/b.json", [{"event_id": "2", "subject": "", "deleted": True, "changed_at": 3}, {"event_id": "3", "subject": "d", "deleted": False, "changed_at": 3}])
-    streams.drain(streams.project(read(), str(tmp_path / "t"), str(tmp_path / "c")))
-    assert sorted((r["event_id"], r["subject"]) for r in spark.read.parquet(str(tmp_path / "t/version=1")).collect()) == [("1", "c"), ("3", "d")]
-
-
 def test_json_sources(spark, tmp_path):
     (tmp_path / "x.jsonl").write_text('{"a": 1}\n\nnot json\n{"a": 2}\n')
     path = str(tmp_path / "x.jsonl")
