@@ -2,5 +2,5 @@
 
 from __future__ import annotations
 
-from . import conversation, corpus, evaluation, landed, operations, pages, relational, retrieval, state  # noqa: F401
+from . import conversation, corpus, derived, evaluation, landed, operations, pages, relational, retrieval, state  # noqa: F401
 from .registry import ORACLES, QUERIES  # noqa: F401

@@ -122,35 +122,6 @@ def q_referenced(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "pages").select("page_id", F.size(P.referenced(either, F.col("html"))).alias("n"))
 
 
-@query("SELECT event_id FROM events WHERE event_id % 5 <> 0 AND event_id % 3 <> 2 AND event_id % 7 <> 0")
-def q_admission(spark: SparkSession, sf_dir: str) -> DataFrame:
-    e = F.col("event_id")
-    rows = table(spark, sf_dir, "events").select("event_id", F.when(e % 5 == 0, " ").otherwise("hi").alias("text"), F.when(e % 3 == 0, "file_share").when(e % 3 == 2, "edited").alias("subtype"), F.when(e % 7 == 0, "B1").alias("bot"))
-    return streams.admitted(rows).select("event_id")
-
-
-@query("SELECT event_id, CASE WHEN event_id % 3 = 0 THEN 'P' || user_id || ':page:' || event_id % 4 WHEN event_id % 3 = 1 THEN 'E' || event_id ELSE NULL END AS known, event_id % 3 = 2 AS hashed, 't:' || user_id || ':-' AS conversation_key FROM events")
-def q_event_keys(spark: SparkSession, sf_dir: str) -> DataFrame:
-    e, null = F.col("event_id"), F.lit(None).cast("string")
-    rows = table(spark, sf_dir, "events").select(e.alias("n"), F.when(e % 3 == 1, F.concat(F.lit("E"), e.cast("string"))).alias("event_id"), F.lit("page").alias("event_type"), F.when(e % 3 == 0, F.concat(F.lit("P"), _s("user_id"))).alias("page"), (e % 4).cast("int").alias("version"), F.lit("t").alias("team"), _s("user_id").alias("channel"), null.alias("thread"), F.lit("chat").alias("source"), F.lit("x").alias("text"), F.col("ts").cast("timestamp").alias("ts"))
-    hashed = F.length("source_event_id") == 64
-    return streams.normalised(rows).select(F.col("n").alias("event_id"), F.when(~hashed, F.col("source_event_id")).alias("known"), hashed.alias("hashed"), "conversation_key")
-
-
-@query("SELECT event_id, event_id % 2 = 0 AS event_ok, event_id % 3 <> 0 AS booking_ok FROM events")
-def q_valid_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
-    e = F.col("event_id")
-    long = F.concat(F.repeat(F.lit("A"), F.when(e % 2 == 0, 80).otherwise(79)), F.lit("..."))
-    booking = F.concat(F.when(e % 3 == 0, "00000000").otherwise("1a2b3c4d"), F.lit("-0000-4000-8000-"), F.lpad(F.hex(e), 12, "0"))
-    return table(spark, sf_dir, "events").select("event_id", A.valid_event_id(long).alias("event_ok"), A.valid_booking(booking).alias("booking_ok"))
-
-
-@query("SELECT event_id, event_id % 3 = 1 AS inside FROM events")
-def q_networks(spark: SparkSession, sf_dir: str) -> DataFrame:
-    ip = F.format_string("10.%d.0.%d", F.col("event_id") % 3, F.col("event_id") % 250)
-    return table(spark, sf_dir, "events").select("event_id", A.in_networks(ip, ["10.1.0.0/16", "192.168.0.0/24"]).alias("inside"))
-
-
 # Projections and lookups
 
 
@@ -216,19 +187,6 @@ def q_matched_bookings(spark: SparkSession, sf_dir: str) -> DataFrame:
     return A.matched_bookings(e, "another", start).select("event_id", "tier")
 
 
-@query("SELECT c_custkey, true AS same, 2 AS n FROM customer")
-def q_folded_structs(spark: SparkSession, sf_dir: str) -> DataFrame:
-    item = lambda c: F.struct(c.alias("name"), F.col("c_mktsegment").alias("kind"))
-    items = F.array(item(F.col("c_name")), item(F.upper("c_name")), item(F.concat(F.col("c_name"), F.lit("x"))), item(F.lower("c_name")))
-    return table(spark, sf_dir, "customer").select("c_custkey", T.same_folded(F.upper("c_name"), F.lower("c_name")).alias("same"), F.size(dedup.distinct_structs(items, "name", "kind")).alias("n"))
-
-
-@query("SELECT n_nationkey, CASE WHEN n_nationkey < 3 THEN 'NATION_' || n_nationkey END AS found FROM nation")
-def q_closest(spark: SparkSession, sf_dir: str) -> DataFrame:
-    name = F.when(F.col("n_nationkey") < 3, F.concat(F.lit(" nation_ "), _s("n_nationkey"))).otherwise("zzzzzz")
-    return table(spark, sf_dir, "nation").select("n_nationkey", dedup.closest(name, ["NATION_0", "NATION_1", "NATION_2"]).alias("found"))
-
-
 @query("SELECT doc_id, left(text, 50) AS first FROM documents WHERE length(text) >= 120 AND position(substr(text, 61, 50) IN text) = 61")
 def q_spans(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").where("length(text) >= 120").withColumn("s", dedup.span(F.col("text"), F.substring("text", 61, 50)))
@@ -239,26 +197,6 @@ def q_spans(spark: SparkSession, sf_dir: str) -> DataFrame:
 # Text ETL
 
 
-@query("SELECT page_id, 'see [image: a' || page_id || '.PNG | x] and [document: b.pdf | y] [http://z/c.png | w]' AS marked FROM pages")
-def q_marker_labels(spark: SparkSession, sf_dir: str) -> DataFrame:
-    text = F.concat(F.lit("see [a"), _s("page_id"), F.lit(".PNG | x] and [b.pdf | y] [http://z/c.png | w]"))
-    return table(spark, sf_dir, "pages").select("page_id", P.normalised_markers(text).alias("marked"))
-
-
-@query("SELECT page_id, 'a ' || page_id || '  c' AS plain FROM pages")
-def q_without_nested(spark: SparkSession, sf_dir: str) -> DataFrame:
-    deep = F.concat(F.repeat(F.lit("("), F.lit(30)), F.lit("x"), F.repeat(F.lit(")"), F.lit(30)))
-    return table(spark, sf_dir, "pages").select("page_id", P.without_nested(F.concat(F.lit("a "), deep, _s("page_id"), F.lit(" (b (d)) c"))).alias("plain"))
-
-
-@query("SELECT page_id AS id, 'http://h/' || page_id || '.pdf' AS url, 'file ' || page_id AS description FROM pages WHERE page_id % 2 = 0")
-def q_annotated_urls(spark: SparkSession, sf_dir: str) -> DataFrame:
-    p = table(spark, sf_dir, "pages").select(F.col("page_id").alias("id"), F.concat(F.lit("http://h/"), _s("page_id"), F.lit(".pdf")).alias("u"))
-    docs = p.select("id", F.concat(F.lit("see "), "u", F.lit(" here and http://other/x")).alias("text"), F.array().cast("array<string>").alias("urls"))
-    index = p.where("id % 2 = 0").select(F.col("u").alias("url"), F.lit(None).cast("string").alias("name"), F.concat(F.lit("file "), _s("id")).alias("text"))
-    return P.annotated_urls(docs, index).select("id", F.inline("urls"))
-
-
 @query("SELECT n_regionkey, '| n_nationkey | n_name |' || chr(10) || '| --- | --- |' || chr(10) || string_agg('| ' || n_nationkey || ' | ' || n_name || ' |', chr(10) ORDER BY n_nationkey) AS t, count(*) + 1 AS n_rows FROM nation GROUP BY n_regionkey")
 def q_markdown_tables(spark: SparkSession, sf_dir: str) -> DataFrame:
     from ..operators import chunking as K
@@ -267,13 +205,6 @@ def q_markdown_tables(spark: SparkSession, sf_dir: str) -> DataFrame:
     return made.select("n_regionkey", F.col("table").alias("t"), F.size(K.table_rows(F.col("table"))).cast("long").alias("n_rows"))
 
 
-@query("SELECT n_nationkey, 'one ' || n_name || ' / two / three' AS items, 'kept ' || n_name AS summary FROM nation")
-def q_summaries(spark: SparkSession, sf_dir: str) -> DataFrame:
-    items = F.concat(F.lit("1. one "), "n_name", F.lit("\n2) two\ntext\n3. three\n4. four"))
-    raw = F.concat(F.lit("# Title\n[notes]\ndropped\n\n[text]\n\nkept "), "n_name", F.lit("\n\n\n## End"))
-    return table(spark, sf_dir, "nation").select("n_nationkey", P.numbered_items(items).alias("items"), P.consolidated(raw, ["notes"]).alias("summary"))
-
-
 @query("SELECT n_nationkey AS page_id, 0 AS section_no, 1 AS child_no, 's ' || n_name AS summary, 'c ' || n_nationkey AS text, 2 AS n_keywords FROM nation")
 def q_model_chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
     raw = F.concat(F.lit('Here it is: {"page_summary": "p", "sections": [{"title": "t", "summary": "s '), "n_name", F.lit('", "child_evidence": [{"text": " "}, {"text": "c '), _s("n_nationkey"), F.lit('", "keywords": ["a", "b"]}]}]} Done.'))
@@ -291,30 +222,9 @@ def q_tables_and_markers(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.select("n_nationkey", "hint", F.col("m.text").alias("marked"), "m.n")
 
 
-@query("SELECT event_id, CASE WHEN event_id % 3 = 0 THEN 'answerable' WHEN event_id % 3 = 1 THEN 'wiki' ELSE 'wiki' END AS decision, event_id % 3 = 2 AS flagged, CASE WHEN event_id % 3 = 2 THEN 0 ELSE 2 END AS n_arguments FROM events")
-def q_json_in_text(spark: SparkSession, sf_dir: str) -> DataFrame:
-    k = F.col("event_id") % 3
-    payload = F.when(k == 0, 'So: {"decision": " Answerable "} end').when(k == 1, '```json\n{"decision": "wiki"}\n```').otherwise("no json")
-    arguments = F.when(k == 2, "[1]").otherwise('{"a": 1, "b": "x"}')
-    rows = table(spark, sf_dir, "events").select("event_id", A.decision(payload, ["answerable", "wiki"], "wiki").alias("d"), F.size(A.tool_arguments(arguments)).alias("n_arguments"))
-    return rows.select("event_id", "d.decision", "d.flagged", "n_arguments")
-
-
-@query("SELECT page_id, CASE WHEN page_id % 3 = 0 THEN 'page' WHEN page_id % 3 = 1 THEN 'attachment' ELSE 'link' END AS url FROM pages")
-def q_citation_urls(spark: SparkSession, sf_dir: str) -> DataFrame:
-    k = F.col("page_id") % 3
-    return table(spark, sf_dir, "pages").select("page_id", P.citation_url(F.when(k == 0, "page"), F.when(k == 1, "attachment").otherwise(" "), F.lit("link")).alias("url"))
-
-
 # Landed responses, calls and schedules
 
 
-@query("SELECT page_id, CASE WHEN page_id % 4 = 0 THEN NULL WHEN page_id % 4 = 1 THEN NULL ELSE url END AS body FROM pages")
-def q_fetched(spark: SparkSession, sf_dir: str) -> DataFrame:
-    status = F.when(F.col("page_id") % 4 == 0, 404).when(F.col("page_id") % 4 == 2, 200).when(F.col("page_id") % 4 == 3, 302)
-    return table(spark, sf_dir, "pages").select("page_id", L.fetched(status, F.col("url")).alias("body"))
-
-
 @query("""WITH r AS (SELECT user_id AS k, event_id, (row_number() OVER (PARTITION BY user_id ORDER BY event_id) - 1) // 10 AS p FROM events), g AS (SELECT * FROM r WHERE NOT (k % 3 = 0 AND p = 2) AND NOT (k % 3 = 1 AND p = 1 AND event_id % 2 = 0)),
 s AS (SELECT k, p, count(*) AS n FROM g GROUP BY k, p), e AS (SELECT k, min(q) AS stop FROM (SELECT k, p + 1 AS q FROM s WHERE n < 10 UNION ALL SELECT k, p + 1 FROM s a WHERE NOT EXISTS (SELECT 1 FROM s b WHERE b.k = a.k AND b.p = a.p + 1)) GROUP BY k)
 SELECT g.k, g.event_id, g.p FROM g JOIN e ON g.k = e.k WHERE g.p < stop""")
@@ -342,15 +252,6 @@ def q_calendar_view(spark: SparkSession, sf_dir: str) -> DataFrame:
     return L.calendar_view(events, details, at("2024-01-05"), at("2024-01-20")).select("event_id", "subject")
 
 
-@query("""SELECT n_nationkey, CASE n_nationkey % 5 WHEN 0 THEN n_name || '.pdf' WHEN 1 THEN '보고 ' || n_nationkey || '.hwp' WHEN 2 THEN 'a_b_' || n_nationkey || '.txt' WHEN 3 THEN 'attachment_' || left(md5('http://h/' || n_nationkey), 8) || '.xlsx' ELSE repeat('x', 100) || '.pdf' END AS name FROM nation""")
-def q_file_names(spark: SparkSession, sf_dir: str) -> DataFrame:
-    n, k = table(spark, sf_dir, "nation"), F.col("n_nationkey") % 5
-    key = _s("n_nationkey")
-    hint = F.when(k == 0, F.concat("n_name", F.lit(".pdf"))).when(k == 4, F.concat(F.repeat(F.lit("x"), F.lit(130)), F.lit(".pdf"))).when(k == 3, "다운로드").otherwise("보기")
-    header = F.when(k == 1, F.concat(F.lit("attachment; filename*=UTF-8''%EB%B3%B4%EA%B3%A0%20"), key, F.lit(".hwp; x=1"))).when(k == 2, F.concat(F.lit('attachment; filename="a/b:'), key, F.lit('.txt"'))).otherwise("")
-    return n.select("n_nationkey", L.file_name(hint, header, F.lit("application/vnd.ms-excel"), F.concat(F.lit("http://h/"), key)).alias("name"))
-
-
 @query("SELECT event_id, event_id = (SELECT min(event_id) FROM events) AS fine FROM events")
 def q_signatures(spark: SparkSession, sf_dir: str) -> DataFrame:
     import hashlib
@@ -496,15 +397,6 @@ def q_month_grids(spark: SparkSession, sf_dir: str) -> DataFrame:
 # Helpers
 
 
-@query("SELECT event_id, CASE event_id % 5 WHEN 0 THEN 'leave' WHEN 1 THEN 'work' WHEN 2 THEN 'leave' WHEN 3 THEN 'work' ELSE 'other' END AS type, CASE event_id % 5 WHEN 0 THEN 'label' WHEN 1 THEN 'contained' WHEN 2 THEN 'background' WHEN 3 THEN 'accent' ELSE 'none' END AS type_source, CASE event_id % 3 WHEN 0 THEN 90 WHEN 1 THEN 75 END AS minutes FROM events")
-def q_item_types(spark: SparkSession, sf_dir: str) -> DataFrame:
-    k, j = F.col("event_id") % 5, F.col("event_id") % 3
-    label = F.when(k == 0, "vacation").when(k == 1, "remote office").otherwise("?")
-    kind = A.item_type(label, F.when(k == 2, "#FFF").otherwise(""), F.when(k == 3, "#000").otherwise(""), {"vacation": "leave", "office": "work"}, {"#fff": "leave", "#000": "work"})
-    minutes = A.item_minutes(F.when(j == 0, "1h 30m"), F.when(j == 1, "09:00"), F.when(j == 1, "10:15"), F.lit(None).cast("string"))
-    return table(spark, sf_dir, "events").select("event_id", kind.alias("t"), minutes.cast("long").alias("minutes")).select("event_id", "t.type", "t.type_source", "minutes")
-
-
 @query("SELECT c_name AS name, '2026-06-10' AS date, CASE WHEN c_custkey % 3 = 0 THEN 'today' ELSE 'history' END AS source FROM customer UNION ALL SELECT c_name, '2026-06-09', 'history' FROM customer")
 def q_overlaid(spark: SparkSession, sf_dir: str) -> DataFrame:
     c = table(spark, sf_dir, "customer").select("c_custkey", F.col("c_name").alias("name"))
@@ -527,40 +419,3 @@ def q_still_ahead(spark: SparkSession, sf_dir: str) -> DataFrame:
     last = e.agg(F.max("ts")).first()[0]
     rows = e.select(F.col("user_id").alias("organizer"), (F.col("ts") + F.expr("interval 1 hour")).alias("last"))
     return A.still_ahead(rows, F.lit(last).cast("timestamp_ntz") - F.expr("interval 1 day"))
-
-
-@query("SELECT event_id, CASE event_id % 5 WHEN 0 THEN 'removed' WHEN 1 THEN 'ignored' WHEN 2 THEN 'error' WHEN 3 THEN 'partial' ELSE 'success' END AS outcome, CASE event_id % 5 WHEN 0 THEN NULL WHEN 1 THEN 'timeout' WHEN 2 THEN 'empty_response' WHEN 3 THEN 'no_json' ELSE 'no_evidence' END AS reason FROM events")
-def q_outcomes(spark: SparkSession, sf_dir: str) -> DataFrame:
-    k = F.col("event_id") % 5
-    reason = A.failure_reason(F.when(k == 1, "timeout").otherwise("ok"), F.when(k == 2, " ").when(k == 3, "none").otherwise("{}"), F.when(k == 0, 3).otherwise(0))
-    return table(spark, sf_dir, "events").select("event_id", A.outcome(k == 0, k == 1, F.when(k == 2, "x"), F.when(k == 3, 2).otherwise(0)).alias("outcome"), reason.alias("reason"))
-
-
-@query("SELECT event_id, CASE event_id % 6 WHEN 0 THEN 'skipped' WHEN 4 THEN 'skipped' WHEN 5 THEN 'pending' ELSE 'ok' END AS status, CASE event_id % 6 WHEN 0 THEN 'list' WHEN 1 THEN 'local_file' WHEN 2 THEN 'context' WHEN 3 THEN 'title' WHEN 4 THEN 'internal' ELSE 'scrape' END AS source_method FROM events")
-def q_link_routes(spark: SparkSession, sf_dir: str) -> DataFrame:
-    k = (F.col("event_id") % 6).cast("int")
-    url = F.concat(F.lit("https://"), F.element_at(F.array(*map(F.lit, ("skip.x", "docs.x", "docs.x", "video.x", "own.x", "other.x"))), k + 1), F.lit("/a"))
-    route = A.link_route(url, ["skip.x"], ["docs.x"], ["video.x"], ["own.x"], k == 1)
-    return table(spark, sf_dir, "events").select("event_id", route.alias("r")).select("event_id", "r.*")
-
-
-@query("SELECT event_id, CASE WHEN event_id % 3 = 0 THEN 'list' ELSE 'check' END AS action, CASE WHEN event_id % 3 = 1 THEN '00:00' WHEN event_id % 3 = 2 THEN '09:30' END AS start_time, CASE WHEN event_id % 3 = 1 THEN '23:59' WHEN event_id % 3 = 2 THEN '10:30' END AS end_time FROM events")
-def q_room_arguments(spark: SparkSession, sf_dir: str) -> DataFrame:
-    k = F.col("event_id") % 3
-    args = F.when(k == 0, F.create_map(F.lit("action"), F.lit("mine"))).when(k == 2, F.create_map(F.lit("start_time"), F.lit("09:30"))).otherwise(F.create_map(F.lit("action"), F.lit("status")))
-    question = F.when(k == 1, "room status please").otherwise("book it")
-    return table(spark, sf_dir, "events").select("event_id", A.room_arguments(args, question).alias("r")).select("event_id", "r.action", "r.start_time", "r.end_time")
-
-
-@query("SELECT event_id, 'q ' || user_id || ' x' || CASE WHEN event_id % 2 = 0 THEN ' 2026' ELSE '' END AS direct FROM events")
-def q_followups(spark: SparkSession, sf_dir: str) -> DataFrame:
-    year = F.when(F.col("event_id") % 2 == 0, 2026)
-    made = A.followup_query(F.concat(F.lit("q "), _s("user_id")), F.array(F.lit("x"), F.lit("X")), F.array(F.lit("h")), F.lit("p"), year)
-    return table(spark, sf_dir, "events").select("event_id", made["direct"].alias("direct"))
-
-
-@query("""SELECT conv_id, printf('%08x-0000-4000-8000-000000000001', conv_id % 1000) AS booking_id, 'attending' AS section, 1 AS position FROM (SELECT DISTINCT conv_id FROM conversations)""")
-def q_booking_mentions(spark: SparkSession, sf_dir: str) -> DataFrame:
-    one = F.format_string("%08x-0000-4000-8000-000000000001", F.col("conv_id") % 1000)
-    messages = table(spark, sf_dir, "conversations").select("conv_id", "turn", F.concat(F.lit("# attending\nid: "), one, F.lit(" and "), F.upper(one)).alias("text"))
-    return A.booking_mentions(messages).select("conv_id", "booking_id", "section", "position")

@@ -79,12 +79,6 @@ def q_page_events(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "events").select("event_id", A.page_event(body, F.lit("")).alias("event"))
 
 
-@query("""SELECT event_id, 'm' || user_id || '@x' AS mailbox, 'E=' || event_id AS id FROM events""")
-def q_notification_paths(spark: SparkSession, sf_dir: str) -> DataFrame:
-    path = F.format_string("Users/m%d%%40x/Events/E%%3D%d", F.col("user_id"), F.col("event_id"))
-    return table(spark, sf_dir, "events").select("event_id", A.notification_path(path).alias("n")).select("event_id", "n.mailbox", F.col("n.event_id").alias("id"))
-
-
 @query("""WITH t AS (SELECT event_id, (event_id % 24)::INT AS h, (event_id % 60)::INT AS m FROM events) SELECT event_id, printf('%02d:%02d', h, m) AS first, printf('%02d:%02d', (h + 1) % 24, m) AS last FROM t""")
 def q_time_slots(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = table(spark, sf_dir, "events").select("event_id", (F.col("event_id") % 24).cast("int").alias("h"), (F.col("event_id") % 60).cast("int").alias("m"))
@@ -131,14 +125,6 @@ def q_get_or_create(spark: SparkSession, sf_dir: str) -> DataFrame:
     return M.fill_empty(target, given.unionByName(suppliers), "id", ["name"], ["email"])
 
 
-@query("""SELECT s_suppkey AS name, 's' || s_suppkey || '@x' AS email FROM supplier""")
-def q_people_lookup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    s = table(spark, sf_dir, "supplier")
-    users = s.select(F.concat(F.lit("U"), F.col("s_suppkey").cast("string")).alias("user_id"), F.lit("x").alias("user_name"), F.format_string("s%d@x", F.col("s_suppkey")).alias("email"))
-    names = s.select(F.when(F.col("s_suppkey") % 4 == 0, F.concat(F.lit("U"), F.col("s_suppkey").cast("string"))).otherwise(F.format_string("S%d@X", F.col("s_suppkey"))).alias("name"))
-    return O.resolved_people(names, users).select(F.regexp_extract("name", r"(\d+)", 1).cast("long").alias("name"), "email")
-
-
 @query("""SELECT n_nationkey, n_name FROM nation WHERE CASE WHEN EXISTS (SELECT 1 FROM nation WHERE n_name = 'NATION_1') THEN n_name = 'NATION_1' WHEN EXISTS (SELECT 1 FROM nation WHERE contains(n_name, 'NATION_1')) THEN contains(n_name, 'NATION_1') ELSE ends_with(n_name, '_1') END""")
 def q_tiered_names(spark: SparkSession, sf_dir: str) -> DataFrame:
     return O.tiered_match(table(spark, sf_dir, "nation"), "n_name", "NATION_1").select("n_nationkey", "n_name")
@@ -158,10 +144,3 @@ def q_page_tree(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query(r"""SELECT doc_id, text = '' AS blank, left(regexp_replace(lower(source), '[^a-z0-9]+', '_', 'g'), 90) AS slug FROM documents""")
 def q_slugs(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "documents").select("doc_id", (F.col("text") == "").alias("blank"), T.slug(F.lower("source")).alias("slug"))
-
-
-@query("""SELECT event_id, CASE WHEN value < 5 THEN 'past' END AS error FROM events""")
-def q_slot_clamp(spark: SparkSession, sf_dir: str) -> DataFrame:
-    now = F.lit("2026-06-10 12:00:00").cast("timestamp_ntz")
-    first = F.when(F.col("value") < 5, F.lit("2026-06-10 09:00:00")).otherwise(F.lit("2026-06-10 13:00:00")).cast("timestamp_ntz")
-    return table(spark, sf_dir, "events").select("event_id", D.clamped_slot(first, F.lit(None).cast("timestamp_ntz"), now)["error"].alias("error"))
