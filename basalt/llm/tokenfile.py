@@ -12,7 +12,9 @@ of their ids over all shards (null first, equal ids in the order of their texts)
 own and report them in a manifest table; only files of the manifest count, so an attempt that was lost leaves nothing
 behind that is read.
 
-Defined results: a null or empty text is its end token alone; an empty table gives an empty manifest.
+Defined results: a null or empty text is its end token alone; rows that repeat an id are documents of their own, and any
+number of them may share one (a range of the order may end among them); texts are encoded whole, however long; columns beside
+doc_id and text are left out, whatever their names; an empty table gives an empty manifest.
 """
 
 from __future__ import annotations
@@ -29,6 +31,8 @@ from .encode import closed, crc, encoder
 
 MAGIC = b"BTOK0001"
 BLOCK_IDS = 1 << 16
+#: Ids and documents of a file, after which a shard goes on in another one.
+FILE_IDS, FILE_DOCS = 1 << 28, 1 << 20
 
 
 def bits_for(vocabulary: int) -> int:
@@ -138,8 +142,12 @@ class Reader:
             yield doc, start, rest[start - at : end - at]
 
 
-def write(docs: DataFrame, path: str, tokenizer: str = "byte_bpe_50k.json", shards: int | None = None, block_ids: int = BLOCK_IDS) -> DataFrame:
-    """Writes doc_id, text as shards below ``path``; gives the manifest: shard, file, n_docs, n_ids, base (ids before it)."""
+def write(docs: DataFrame, path: str, tokenizer: str = "byte_bpe_50k.json", shards: int | None = None, block_ids: int = BLOCK_IDS, file_ids: int = FILE_IDS, file_docs: int = FILE_DOCS) -> DataFrame:
+    """Writes doc_id, text as shards below ``path``; gives the manifest: shard, part, file, n_docs, n_ids, base (ids before it).
+
+    A task begins a new file (the shard's next part) after ``file_ids`` ids or ``file_docs`` documents, so what it and a reader
+    hold of a file's tables doesn't grow with the shard.
+    """
     spark = docs.sparkSession
     small_batches(spark)
     shards = shards or int(spark.conf.get("spark.sql.shuffle.partitions"))
@@ -150,29 +158,35 @@ def write(docs: DataFrame, path: str, tokenizer: str = "byte_bpe_50k.json", shar
         import pyarrow as pa
         from pyspark import TaskContext
 
-        writer = sink = None
-        enc, shard = encoder(tokenizer), TaskContext.get().partitionId()
-        file = f"{path}/shard-{shard:08d}-{uuid.uuid4().hex}.btok"
+        schema = pa.schema([("shard", pa.int32()), ("part", pa.int32()), ("file", pa.string()), ("n_docs", pa.int64()), ("n_ids", pa.int64())])
+        enc, shard, part = encoder(tokenizer), TaskContext.get().partitionId(), 0
+        writer = sink = file = None
+
+        def ended():
+            writer.close()
+            sink.close()
+            return pa.RecordBatch.from_pylist([{"shard": shard, "part": part, "file": file, "n_docs": len(writer.docs), "n_ids": writer.n_ids}], schema=schema)
+
         for batch in batches:
-            if not batch.num_rows:
-                continue
-            if writer is None:
-                fs, place = file_system(file)
-                fs.create_dir(place.rpartition("/")[0], recursive=True)
-                sink = fs.open_output_stream(place)
-                writer = Writer(sink, bits_for(enc.vocabulary), block_ids)
             for doc, data in zip(batch.column(0).to_pylist(), enc.encode(batch.column(1).to_pylist()), strict=True):
+                if writer is not None and (writer.n_ids >= file_ids or len(writer.docs) >= file_docs):
+                    yield ended()
+                    writer, part = None, part + 1
+                if writer is None:
+                    file = f"{path}/shard-{shard:08d}-{part:06d}-{uuid.uuid4().hex}.btok"
+                    fs, place = file_system(file)
+                    fs.create_dir(place.rpartition("/")[0], recursive=True)
+                    sink = fs.open_output_stream(place)
+                    writer = Writer(sink, bits_for(enc.vocabulary), block_ids)
                 writer.add(doc, np.frombuffer(closed(data), "<u4"))
         if writer is not None:
-            writer.close()
-            sink.close()
-            yield pa.RecordBatch.from_pylist([{"shard": shard, "file": file, "n_docs": len(writer.docs), "n_ids": writer.n_ids}], schema=pa.schema([("shard", pa.int32()), ("file", pa.string()), ("n_docs", pa.int64()), ("n_ids", pa.int64())]))
+            yield ended()
 
     # Rows of one id (or none) go on in the order of a hash of their text, so that a range may end among them.
     order = [F.col("doc_id").asc_nulls_first(), F.xxhash64("text").asc()]
     ordered = docs.select("doc_id", "text").repartitionByRange(shards, *order).sortWithinPartitions(*order, F.col("text").asc_nulls_first())
-    manifest = stored(ordered.mapInArrow(save, "shard int, file string, n_docs long, n_ids long"), "manifest")
-    before = Window.orderBy("shard").rowsBetween(Window.unboundedPreceding, -1)  # one row for each file
+    manifest = stored(ordered.mapInArrow(save, "shard int, part int, file string, n_docs long, n_ids long"), "manifest")
+    before = Window.orderBy("shard", "part").rowsBetween(Window.unboundedPreceding, -1)  # one row for each file
     return manifest.withColumn("base", F.coalesce(F.sum("n_ids").over(before), F.lit(0)).cast("long"))
 
 

@@ -78,6 +78,17 @@ def test_round_trip_of_odd_rows(spark):
     assert [(r["doc_id"], r["start"]) for r in got] == [(None, 0), (-1, 2), (5, 3), (5, 5)]
 
 
+@pytest.mark.parametrize("file_ids,file_docs", [(1, 1 << 20), (1 << 28, 3), (200, 5)])
+def test_shards_in_several_files(spark, docs, ids, file_ids, file_docs, tmp_path):
+    manifest = tokenfile.write(docs, str(tmp_path), shards=2, block_ids=64, file_ids=file_ids, file_docs=file_docs)
+    rows = sorted(manifest.collect(), key=lambda r: (r["shard"], r["part"]))
+    assert len(rows) > 4 and all(r["n_docs"] <= file_docs for r in rows)
+    assert [r["base"] for r in rows] == [sum(x["n_ids"] for x in rows[:k]) for k in range(len(rows))]
+    got = sorted(tokenfile.read(manifest).collect(), key=lambda r: r["doc_id"])
+    at = np.cumsum([0, *map(len, ids)])
+    assert [(r["start"], r["n_tokens"], r["ids_crc32"]) for r in got] == [(int(at[k]), len(x), zlib.crc32(np.asarray(x, "<u4").tobytes())) for k, x in enumerate(ids)]
+
+
 def test_files_and_counts_with_clashing_columns(spark):
     plain = spark.createDataFrame([(1, "a b"), (2, None), (2, "c")], "doc_id long, text string")
     wide = plain.selectExpr("*", "'x' AS start", "'x' AS n_tokens", "'x' AS ids_crc32", "'x' AS ids", "'x' AS n_bytes", "'x' AS over_limit", "'x' AS base")
