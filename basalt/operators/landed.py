@@ -4,7 +4,6 @@ from __future__ import annotations
 
 import html as entities
 import re
-from collections.abc import Iterator
 from html.parser import HTMLParser
 
 import pandas as pd
@@ -164,39 +163,6 @@ def joined_results(results: DataFrame, request: str = "request_id", domain: str
     return results.groupBy(request, domain).agg(F.array_join(F.transform(parts, lambda x: x["t"]), "\n\n").alias("results"))
 
 
-def windows(rows: DataFrame, key: str, at: str, seconds: float, most: int | None = None) -> DataFrame:
-    """Adds ``batch``: a batch starts with a row and takes all later ones of its key within ``seconds``, at most ``most``.
-
-    Where a batch starts depends on where the last one ended, so each key (one queue, one message) is folded in a task,
-    in order, over sorted Arrow batches; the state is three numbers a key.
-    """
-    names = rows.columns
-
-    def fold(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        of, start, count, batch = object(), 0.0, 0, -1
-        for pdf in batches:
-            out = []
-            for k, t in zip(pdf[key], pdf[at], strict=True):
-                if k != of:
-                    of, batch, count, start = k, 0, 0, t
-                elif t - start >= seconds or (most and count >= most):
-                    batch, count, start = batch + 1, 0, t
-                count += 1
-                out.append(batch)
-            yield pdf.assign(batch=out)
-
-    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in rows.schema) + ", batch long"
-    return rows.repartition(key).sortWithinPartitions(key, at, *[c for c in names if c not in (key, at)]).mapInPandas(fold, schema)
-
-
-def throttled(deltas: DataFrame, key: str, at: str, seconds: float, delta: str = "delta") -> DataFrame:
-    """key, at, text: what a buffer holds whenever it is shown, at its first piece and then once every ``seconds`` at most."""
-    cut = windows(deltas, key, at, seconds)
-    text = F.array_join(F.collect_list(delta).over(Window.partitionBy(key).orderBy(at)), "")
-    first = F.row_number().over(Window.partitionBy(key, "batch").orderBy(at)) == 1
-    return cut.withColumn("text", text).withColumn("_first", first).where("_first").select(key, at, "text")
-
-
 def due_daily(now: Column, clock: str, last_day: Column) -> Column:
     """Whether a daily run is due: its time of day has come, and it hasn't run on this day."""
     hours, minutes = map(int, clock.split(":"))

@@ -7,13 +7,12 @@ from pyspark.sql import functions as F
 
 from ..functions import text as T
 from ..operators import assistant as A
-from ..operators import dedup
+from ..operators import batching, dedup
 from ..operators import landed as L
 from ..operators import pages as P
 from ..operators import retrieval as R
 from ..sources import readers, writers
 from ..storage import shared_dir
-from ..streaming import streams
 from .registry import query, table
 
 _s = lambda c: F.col(c).cast("string")
@@ -296,13 +295,13 @@ def _times(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("WITH " + _FOLD.format(s=172800, m=4) + " SELECT event_id, batch::BIGINT AS batch FROM f")
 def q_micro_batches(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return L.windows(_times(spark, sf_dir), "user_id", "at", 172_800, 4).select("event_id", "batch")
+    return batching.windows(_times(spark, sf_dir), "user_id", "at", 172_800, 4).select("event_id", "batch")
 
 
 @query("WITH " + _FOLD.format(s=86400, m=1000000000) + ' SELECT user_id, min(t) AS "at", min(i)::BIGINT AS n FROM f GROUP BY user_id, batch')
 def q_throttled(spark: SparkSession, sf_dir: str) -> DataFrame:
     deltas = _times(spark, sf_dir).withColumn("delta", F.lit("x"))
-    return L.throttled(deltas, "user_id", "at", 86_400).select("user_id", "at", F.length("text").cast("long").alias("n"))
+    return batching.throttled(deltas, "user_id", "at", 86_400).select("user_id", "at", F.length("text").cast("long").alias("n"))
 
 
 @query("SELECT event_id, hour(ts) * 60 + minute(ts) >= 555 AND event_id % 3 <> 0 AS due FROM events")

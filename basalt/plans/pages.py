@@ -5,7 +5,6 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..functions import dates as D
 from ..functions import text as T
 from ..operators import assistant as A
 from ..operators import chunking as K

@@ -3,10 +3,13 @@
 import hashlib
 import hmac
 import io
+import random
 import zipfile
 
+import pytest
 from pyspark.sql import functions as F
 
+from basalt.operators import batching
 from basalt.operators import landed as L
 from basalt.sources import office
 
@@ -80,11 +83,44 @@ def test_month_grid_of_odd_pages():
 
 def test_windows_in_time(spark):
     rows = [("q", t) for t in (0.0, 0.01, 0.049, 0.05, 0.2)] + [("r", float(t) / 1000) for t in range(20)]
-    got = L.windows(spark.createDataFrame(rows, "k string, t double").repartition(3), "k", "t", 0.05, 16).collect()
+    got = batching.windows(spark.createDataFrame(rows, "k string, t double").repartition(3), "k", "t", 0.05, 16).collect()
     assert [r["batch"] for r in sorted((r for r in got if r["k"] == "q"), key=lambda r: r["t"])] == [0, 0, 0, 1, 2]
     assert sorted(r["batch"] for r in got if r["k"] == "r") == [0] * 16 + [1] * 4
 
 
+def folded(rows, seconds, most):
+    """Batches by a plain loop: (key, place) -> batch, and what is shown at the first row of each."""
+    out, shown, of = {}, [], object()
+    for k, t, i, d in sorted(rows, key=lambda r: (r[0] is not None, r[0] or "", r[1], r[2])):
+        if k != of:
+            of, start, count, batch, text, new = k, t, 0, 0, "", True
+        elif t - start >= seconds or (most and count >= most):
+            start, count, batch, new = t, 0, batch + 1, True
+        count += 1
+        text += d
+        out[i] = batch
+        if new:
+            shown.append((k, t, text))
+            new = False
+    return out, shown
+
+
+@pytest.mark.parametrize("seed,seconds,most,parts", [(1, 0.05, 16, 7), (2, 0.1, None, 9), (3, 1.0, 3, 5), (4, 50.0, None, 6), (5, 0.3, 1, 4), (6, 0.7, 40, 1), (7, 0.001, 5, 8)])
+def test_one_key_over_many_ranges(spark, seed, seconds, most, parts):
+    r = random.Random(seed)
+    rows = [("hot", round(r.uniform(0, 40), r.choice([1, 3])), i, r.choice(["a", "bc", ""])) for i in range(900)]
+    rows += [(r.choice(["a", "b", None, "z"]), round(r.uniform(0, 5), 1), 1000 + i, "x") for i in range(200)]
+    df = spark.createDataFrame(rows, "k string, t double, i long, d string").repartition(3)
+    want, shown = folded(rows, seconds, most)
+    got = batching.windows(df, "k", "t", seconds, most, parts)
+    assert got.columns == ["k", "t", "i", "d", "batch"] and {x["i"]: x["batch"] for x in got.collect()} == want
+    if most is None:
+        found = batching.throttled(df, "k", "t", seconds, "d", parts).collect()
+        assert sorted(((x["k"], x["t"], x["text"]) for x in found), key=str) == sorted(shown, key=str)
+        assert all(len(x["text"]) == x["n_chars"] for x in found)
+    assert batching.windows(df.limit(0), "k", "t", seconds, most).count() == 0
+
+
 def test_served_files(spark):
     folder = next(iter(L.FOLDERS.values()))
     for asked, path, want in (("a.pdf", f"/x/{folder}/s/a.pdf", True), ("../a.pdf", f"/x/{folder}/a.pdf", False), ("a.pdf", f"/x/{folder}/../../a.pdf", False), ("", f"/x/{folder}/", False), ("a.pdf", "/x/other/a.pdf", False), (None, f"/x/{folder}/a.pdf", False)):
