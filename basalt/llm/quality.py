@@ -22,8 +22,7 @@ from pyspark.sql import functions as F
 
 from .common import SPACE, words
 
-#: As many as Spark's generated hash map holds in a task: with more the counting takes half as long again.
-BUCKETS = 1 << 16
+BUCKETS = 1 << 18
 SCALE = 10_000
 #: Mean log ratio, in nats, from which a document is kept; the mean counts PRIOR_NGRAMS more n-grams of ratio 0, so that
 #: a few rare words don't decide on a short text.
@@ -95,20 +94,22 @@ def trusted_ids(labels: DataFrame, rows: int = TRUSTED_ROWS, doc_id: str = "doc_
 
 def log_ratios(docs: DataFrame, trusted: DataFrame, buckets: int = BUCKETS, smoothing: float = SMOOTHING, text: str = "text", doc_id: str = "doc_id") -> list[int]:
     """One integer for each bucket; what comes to the driver is as long as the bucket table, whatever the corpus."""
-    hashes = F.transform(words(F.col(text)), lambda w: F.crc32(w.cast("binary")))
-    rows = (
-        docs.select(F.col(doc_id).alias("_id"), hashes.alias("_h"))
-        .join(F.broadcast(trusted), F.col("_id") == F.col("_trusted"), "left")
-        .select(F.explode(_buckets(F.col("_h"), buckets)).alias("b"), F.col("_trusted").isNotNull().cast("long").alias("t"))
-        .groupBy("b").agg(F.count(F.lit(1)).alias("raw"), F.sum("t").alias("target"))
-    )
-    counts = rows.toArrow()
-    raw, target = (np.zeros(buckets, np.int64) for _ in range(2))
-    at = counts.column("b").to_numpy()
-    raw[at], target[at] = counts.column("raw").to_numpy(), counts.column("target").to_numpy()
+    raw = _counts(docs.select(F.col(text).alias("_text")), buckets)
+    # The trusted documents are few, and are counted apart: most rows then carry nothing but their text.
+    few = docs.select(F.col(doc_id).alias("_id"), F.col(text).alias("_text")).join(F.broadcast(trusted), F.col("_id") == F.col("_trusted"))
+    target = _counts(few.select("_text"), buckets)
     return ratios_of(raw, target, smoothing).tolist()
 
 
+def _counts(texts: DataFrame, buckets: int) -> np.ndarray:
+    """How many n-grams of all texts fall in each bucket."""
+    hashes = F.transform(words(F.col("_text")), lambda w: F.crc32(w.cast("binary")))
+    counts = texts.select(F.explode(_buckets(hashes, buckets)).alias("b")).groupBy("b").agg(F.count(F.lit(1)).alias("n")).toArrow()
+    out = np.zeros(buckets, np.int64)
+    out[counts.column("b").to_numpy()] = counts.column("n").to_numpy()
+    return out
+
+
 def ratios_of(raw: np.ndarray, target: np.ndarray, smoothing: float) -> np.ndarray:
     """Rounded log ratios of each bucket's trusted count to the one expected at the raw rate; 0 without trusted n-grams."""
     raw_all, target_all = float(raw.sum()), float(target.sum())
