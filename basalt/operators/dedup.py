@@ -16,6 +16,10 @@ from .retrieval import dot
 
 BLOCK = 1024
 PIVOTS = 1024
+#: Share of all pivots that a vector may visit on average. Where thresholds are so low that it would be more, pivots rule out
+#: too little to be worth the copies, and all vectors meet by blocks, each stored once.
+VISITS = 0.25
+TRIED = 256
 
 
 def first_wins(rows: DataFrame, key: Column, *order: Column) -> DataFrame:
@@ -24,17 +28,28 @@ def first_wins(rows: DataFrame, key: Column, *order: Column) -> DataFrame:
     return rows.withColumn("_key", T.blank_to_null(key.cast("string"))).where("_key is not null").withColumn("_r", F.row_number().over(by)).where("_r = 1").drop("_key", "_r")
 
 
+def visited(vectors: np.ndarray, pivots: np.ndarray, angle: float) -> float:
+    """The share of pivots that vectors visit."""
+    far = np.arccos(np.clip(vectors @ pivots.T, -1, 1))
+    return float((far <= far.min(1)[:, None] + 2 * angle).mean())
+
+
 def similar_pairs(vectors: DataFrame, threshold: float, key: str = "id", vector: str = "vector", block: int = BLOCK) -> DataFrame:
     """a, b, similarity of all pairs a < b of unit vectors of one dimension with a cosine of at least the threshold, exactly.
 
     Every vector has its home with the nearest of at most ``PIVOTS`` pivots (vectors with the smallest hashes), and visits
     each pivot whose angle is at most twice the threshold's angle above that of its home: by the triangle inequality it
     meets there all vectors that are similar to it. What is far apart never meets. A cell with many members is dealt over
-    pairs of blocks, whose pairs are a matrix product. A pair counts in the home of its smaller id.
+    pairs of blocks, whose pairs are a matrix product. A pair counts in the home of its smaller id. Vectors visit a share
+    ``VISITS`` of the pivots at most, on average over ``TRIED`` of them, or there is one pivot only.
     """
     rows = vectors.select(F.col(key).alias("id"), F.col(vector).cast("array<double>").alias("v")).where("v is not null")
-    pivots = [r["v"] for r in rows.orderBy(F.xxhash64("id"), "id").limit(max(1, min(PIVOTS, rows.count() // block))).collect()]
+    many = max(1, min(PIVOTS, rows.count() // block))
+    first = [r["v"] for r in rows.orderBy(F.xxhash64("id"), "id").limit(many + TRIED).collect()]
+    pivots, tried = first[:many], first[many:]
     angle = float(np.arccos(np.clip(threshold, -1, 1)))
+    if many > 1 and tried and visited(np.array(tried), np.array(pivots), angle) > VISITS:
+        pivots = pivots[:1]
 
     def visits(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         p = np.array(pivots)

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import text as T
-from ..operators import dedup, postings
+from ..operators import dedup, landed, postings
 from ..operators import retrieval as R
 from .registry import query, table
 
@@ -176,6 +176,14 @@ def q_sim_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
     return dedup.similar_pairs(vectors(spark, sf_dir), 0.4, "vec_id", "embedding").select("a", "b", F.round("similarity", 4).alias("similarity"))
 
 
+@query("""WITH s AS (SELECT vec_id, embedding[1:6]::DOUBLE[] AS w FROM embeddings), e AS (SELECT vec_id, list_transform(w, lambda x: x / sqrt(list_sum(list_transform(w, lambda y: y * y)))) AS v FROM s),
+p AS (SELECT a.vec_id AS a, b.vec_id AS b, list_sum(list_transform(list_zip(a.v, b.v), lambda x: x[1] * x[2])) AS sim FROM e a JOIN e b ON a.vec_id < b.vec_id) SELECT a, b, round(sim, 4) AS similarity FROM p WHERE sim >= 0.9""")
+def q_near_vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The first six components of all vectors, as unit vectors, at the threshold at which texts count as repeats."""
+    rows = table(spark, sf_dir, "embeddings").select("vec_id", landed.unit(F.slice("embedding", 1, 6)).alias("embedding"))
+    return dedup.similar_pairs(rows, 0.9, "vec_id", "embedding").select("a", "b", F.round("similarity", 4).alias("similarity"))
+
+
 @query("""WITH RECURSIVE v AS (SELECT vec_id, embedding::DOUBLE[] AS e, row_number() OVER (ORDER BY vec_id) AS i FROM embeddings),
 p AS (SELECT a.vec_id AS a, b.vec_id AS b, list_sum(list_transform(list_zip(a.e, b.e), lambda x: x[1] * x[2])) AS s FROM v a JOIN v b ON a.vec_id < b.vec_id), q AS (SELECT * FROM p WHERE s >= 0.35),
 n AS (SELECT v.vec_id, v.i, coalesce(list(q.a) FILTER (q.a IS NOT NULL), []) AS near FROM v LEFT JOIN q ON q.b = v.vec_id GROUP BY v.vec_id, v.i),

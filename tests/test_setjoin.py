@@ -2,6 +2,7 @@
 
 import random
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
@@ -53,6 +54,21 @@ def test_one_large_group_compares_few(spark):
         setjoin.similar_sets(rows, "g", "k", F.col("t"), 0.0)
 
 
+@pytest.mark.parametrize("threshold,one", [(0.95, False), (0.3, True)])
+def test_vectors_visit_few_pivots_or_one(spark, threshold, one):
+    """Clusters at a high threshold keep their pivots apart; at a low one all vectors meet by blocks. Pairs are those of all products."""
+    r = np.random.default_rng(4)
+    centres = r.normal(size=(12, 24))
+    x = np.repeat(centres, 25, axis=0) + 0.1 * r.normal(size=(300, 24))
+    x /= np.linalg.norm(x, axis=1)[:, None]
+    angle = float(np.arccos(threshold))
+    assert (dedup.visited(x, x[::25], angle) > dedup.VISITS) is one
+    df = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "id long, vector array<double>").repartition(3)
+    got = {(p["a"], p["b"]) for p in dedup.similar_pairs(df, threshold, block=20).collect()}
+    sim = x @ x.T
+    assert got == {(i, j) for i in range(300) for j in range(i + 1, 300) if sim[i, j] >= threshold}
+
+
 def fold(rows):
     seen, out = {}, []
     for g, n, a, b in sorted(rows, key=lambda x: x[1]):
