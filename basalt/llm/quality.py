@@ -22,7 +22,10 @@ from pyspark.sql import functions as F
 
 from .common import SPACE, words
 
+#: A power of two.
 BUCKETS = 1 << 18
+#: Counts in one column.
+SLOTS = 1 << 16
 SCALE = 10_000
 #: Mean log ratio, in nats, from which a document is kept; the mean counts PRIOR_NGRAMS more n-grams of ratio 0, so that
 #: a few rare words don't decide on a short text.
@@ -79,12 +82,18 @@ def base_rules(docs: DataFrame, text: str = "text") -> DataFrame:
     )
 
 
-def _buckets(hashes: Column, buckets: int) -> Column:
-    """Bucket numbers of all single words and of all pairs of neighbours."""
-    n = F.size(hashes)
-    after = F.slice(hashes, F.lit(2), F.greatest(n - 1, F.lit(0)))
-    pairs = F.zip_with(F.slice(hashes, F.lit(1), F.greatest(n - 1, F.lit(0))), after, lambda a, b: F.pmod(a * 31 + b * 1_000_003 + 7, F.lit(buckets)).cast("int"))
-    return F.concat(F.transform(hashes, lambda h: F.pmod(h, F.lit(buckets)).cast("int")), pairs)
+def _single(h: Column, buckets: int) -> Column:
+    """The bucket of a word, by its hash."""
+    return h.bitwiseAND(F.lit(buckets - 1).cast("long"))
+
+
+def _double(a: Column, b: Column, buckets: int) -> Column:
+    """The bucket of two neighbours; null without a second one."""
+    return (a * 31 + b * 1_000_003 + 7).bitwiseAND(F.lit(buckets - 1).cast("long"))
+
+
+def _after(hashes: Column) -> Column:
+    return F.slice(hashes, F.lit(2), F.greatest(F.size(hashes) - 1, F.lit(0)))
 
 
 def trusted_ids(labels: DataFrame, rows: int = TRUSTED_ROWS, doc_id: str = "doc_id") -> DataFrame:
@@ -102,11 +111,21 @@ def log_ratios(docs: DataFrame, trusted: DataFrame, buckets: int = BUCKETS, smoo
 
 
 def _counts(texts: DataFrame, buckets: int) -> np.ndarray:
-    """How many n-grams of all texts fall in each bucket."""
-    hashes = F.transform(words(F.col("_text")), lambda w: F.crc32(w.cast("binary")))
-    counts = texts.select(F.explode(_buckets(hashes, buckets)).alias("b")).groupBy("b").agg(F.count(F.lit(1)).alias("n")).toArrow()
-    out = np.zeros(buckets, np.int64)
-    out[counts.column("b").to_numpy()] = counts.column("n").to_numpy()
+    """How many n-grams of all texts fall in each bucket.
+
+    Words meet their successors in the row and become rows of two hashes; all that follows is generated code. Counts are
+    kept ``SLOTS`` to a column, as many as the generated hash map of a task's partial sums holds.
+    """
+    slots = min(SLOTS, buckets)
+    hashed = texts.select(F.transform(words(F.col("_text")), lambda w: F.crc32(w.cast("binary"))).alias("h"))
+    pairs = hashed.select(F.explode(F.arrays_zip("h", _after(F.col("h")))).alias("x")).select("x.*").toDF("a", "b")
+    both = pairs.select(_single(F.col("a"), buckets).alias("u"), _double(F.col("a"), F.col("b"), buckets).alias("v"))
+    grams = both.select(F.stack(F.lit(2), "u", "v").alias("k")).where("k is not null")
+    columns = [F.sum((F.shiftright("k", slots.bit_length() - 1) == i).cast("long")).alias(f"n{i}") for i in range(buckets // slots)]
+    counts = grams.groupBy(_single(F.col("k"), slots).alias("slot")).agg(*columns).toArrow()
+    out, at = np.zeros(buckets, np.int64), counts.column("slot").to_numpy()
+    for i in range(buckets // slots):
+        out[at + i * slots] = counts.column(f"n{i}").to_numpy()
     return out
 
 
@@ -120,12 +139,22 @@ def ratios_of(raw: np.ndarray, target: np.ndarray, smoothing: float) -> np.ndarr
 
 def quality(docs: DataFrame, labels: DataFrame, threshold: float = THRESHOLD, buckets: int = BUCKETS, trusted_rows: int = TRUSTED_ROWS, text: str = "text", doc_id: str = "doc_id") -> DataFrame:
     """All columns of ``docs``, the base figures, ``ratio_sum`` (in 1/10,000 nats over all n-grams), n_ngrams and kept."""
+    if buckets & (buckets - 1):
+        raise ValueError("the number of buckets must be a power of two")
     table = log_ratios(docs, trusted_ids(labels, trusted_rows, doc_id), buckets, text=text, doc_id=doc_id)
     known = F.split(F.lit(",".join(map(str, table))), ",").cast("array<int>")
-    out = base_rules(docs, text).withColumn("_quality_buckets", _buckets(F.col("_quality_hashes"), buckets))
+    out = base_rules(docs, text)
+
+    def ratio(t: Column) -> Column:
+        """The sum over a row's words, each with the pair that it begins."""
+        at = lambda k: F.get(t, k.cast("int"))
+        both = lambda a, b: at(_single(a, buckets)) + F.coalesce(at(_double(a, b, buckets)), F.lit(0))
+        return F.aggregate(F.zip_with("_quality_hashes", _after(F.col("_quality_hashes")), both), F.lit(0).cast("long"), lambda s, v: s + v)
+
+    n = F.size("_quality_hashes")
     return (
-        out.withColumn("n_ngrams", F.size("_quality_buckets").cast("long"))
-        .withColumn("ratio_sum", F.aggregate("_quality_buckets", F.lit(0).cast("long"), lambda a, b: a + F.get(known, b)))
+        out.withColumn("n_ngrams", (n + F.greatest(n - 1, F.lit(0))).cast("long"))
+        .withColumn("ratio_sum", _let(known, ratio))
         .withColumn("kept", ~F.col("base_failed") & (F.col("ratio_sum") >= F.lit(round(threshold * SCALE)) * (F.col("n_ngrams") + PRIOR_NGRAMS)))
-        .drop("_quality_words", "_quality_hashes", "_quality_buckets")
+        .drop("_quality_words", "_quality_hashes")
     )
