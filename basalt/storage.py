@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import atexit
+import re
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
@@ -12,8 +13,16 @@ _made: list[str] = []
 
 
 def made_dir(spark: SparkSession, label: str) -> str:
-    """A new folder below ``spark.checkpoint.dir``, or below the warehouse where that isn't set; removed by ``clear`` or at the end."""
-    base = spark.conf.get("spark.checkpoint.dir", None) or f"{spark.conf.get('spark.sql.warehouse.dir')}/checkpoints"
+    """A new folder below ``spark.checkpoint.dir``; removed by ``clear`` or at the end.
+
+    Where that isn't set, a folder below the warehouse on one machine; a cluster has to name one that all its machines reach.
+    """
+    base = spark.conf.get("spark.checkpoint.dir", None)
+    if not base:
+        master = spark.conf.get("spark.master", "local")
+        if not re.match(r"local(\[|$)", master):
+            raise ValueError(f"set spark.checkpoint.dir to a folder that all machines of {master} reach")
+        base = f"{spark.conf.get('spark.sql.warehouse.dir')}/checkpoints"
     path = f"{base.rstrip('/')}/{label}-{uuid.uuid4().hex}"
     _made.append(path)
     atexit.register(_remove, spark, path)
