@@ -139,10 +139,10 @@ def q_collapse(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "documents").select("doc_id", F.regexp_replace(T.collapsed(F.col("text")), "[^A-Za-z]+", "_").alias("key"), F.length("text").cast("long").alias("n"))
 
 
-@query(r"""WITH t AS (SELECT doc_id, list_distinct(regexp_extract_all(lower(text), '[가-힣]{2,}|[a-z0-9]{3,}')) AS k FROM documents) SELECT doc_id, len(k)::INT AS n_tokens, array_to_string(k[1:3], ' ') AS first FROM t""")
+@query(r"""WITH t AS (SELECT doc_id, list_distinct(regexp_extract_all(lower(text), '[가-힣]{2,}|[a-z0-9]{3,}')) AS k FROM documents) SELECT doc_id, len(k)::INT AS n_tokens, array_to_string(list_sort(k)[1:3], ' ') AS first FROM t""")
 def q_topic_tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = table(spark, sf_dir, "documents").select("doc_id", T.topic_tokens(F.col("text")).alias("k"))
-    return found.select("doc_id", F.size("k").alias("n_tokens"), F.array_join(F.slice("k", 1, 3), " ").alias("first"))
+    return found.select("doc_id", F.size("k").alias("n_tokens"), F.array_join(F.slice(F.array_sort("k"), 1, 3), " ").alias("first"))
 
 
 @query("""WITH n AS (SELECT n_name, n_regionkey, n_nationkey FROM nation) SELECT r_name, string_agg(n_name, ', ' ORDER BY n_nationkey) AS names, count(*) AS n FROM n JOIN region ON r_regionkey = n_regionkey GROUP BY r_name""")
