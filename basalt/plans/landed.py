@@ -318,7 +318,7 @@ def q_due_daily(spark: SparkSession, sf_dir: str) -> DataFrame:
 UNION ALL SELECT i, '공고문', 'A' || i || '.hwp', 'https://h/2026-06-10/' || i || '/A' || i || '.hwp', 1 FROM x WHERE i % 2 = 1 UNION ALL SELECT i, '공고문', 'b ' || i || '.pdf', 'https://h/2026-06-10/' || i || '/b%20' || i || '.pdf', 2 FROM x WHERE i % 2 = 1
 UNION ALL SELECT i, '신청양식', 'f.hwp', 'https://h/2026-06-10/' || i || '/f.hwp', CASE WHEN i % 2 = 0 THEN 2 ELSE 3 END FROM x""")
 def q_file_entries(spark: SparkSession, sf_dir: str) -> DataFrame:
-    s = table(spark, sf_dir, "supplier").select(F.col("s_suppkey").alias("idx"), F.concat(F.lit("/a/"), F.lpad(_s("s_suppkey"), 3, "0"), F.lit("_x")).alias("archive")).withColumn("i", _s("idx"))
+    s = table(spark, sf_dir, "supplier").select(F.col("s_suppkey").alias("idx"), F.format_string("/a/%03d_x", F.col("s_suppkey")).alias("archive")).withColumn("i", _s("idx"))
     first, second = L.FOLDERS.values()
     place = lambda folder, name: F.concat(F.col("archive"), F.lit(f"/{folder}/"), name)
     files = F.array(place(first, F.concat(F.lit("b "), "i", F.lit(".pdf"))), place(first, F.concat(F.lit("A"), "i", F.lit(".hwp"))), place(first, F.lit("meta.json")), place(second, F.lit("sub/f.hwp")), place(second, F.lit("f.hwp")))
