@@ -79,11 +79,14 @@ def twins(rows: DataFrame, title: str, key: str, value: str) -> DataFrame:
     return keyed.join(filled, "_key", "left").withColumn(value, T.first_filled(F.coalesce(F.col(value), F.lit("")), F.coalesce("_v", F.lit("")))).drop("_key", "_v")
 
 
-def match_notices(rows: DataFrame, key: str, title: str, wanted_key: int | None, keyword: str) -> DataFrame:
-    """A key match alone, if there is one; else titles that contain the keyword, equal ones first; a blank keyword takes all."""
+def match_notices(rows: DataFrame, key: str, title: str, wanted_key: int | None, keyword: str, stripped: bool = True) -> DataFrame:
+    """A key match alone, if there is one; else titles that contain the keyword, equal ones first; a blank keyword takes all.
+
+    The keyword counts without white space at its ends, or (``stripped=False``) as it is.
+    """
     hit_key = F.lit(False) if wanted_key is None else F.col(key) == wanted_key
     has = rows.agg(F.max(hit_key.cast("int")).alias("_has"))
-    word = keyword.strip().lower()
+    word = (keyword.strip() if stripped else keyword).lower()
     contains = F.contains(F.lower(title), F.lit(word)) if word else F.lit(True)
     found = rows.join(F.broadcast(has)).where(F.when(F.coalesce("_has", F.lit(0)) == 1, hit_key).otherwise(contains)).drop("_has")
     return found.withColumn("exact", F.lower(F.trim(title)) == word)
