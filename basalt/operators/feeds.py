@@ -131,7 +131,9 @@ def merged_members(members: DataFrame, pos: str = "pos") -> DataFrame:
     keyed = members.withColumn("member", member_key(F.col("record_id"), F.col("uid"), F.col("name")))
     first = lambda c: F.min_by(c, F.when(T.strip(F.coalesce(c, F.lit(""))) != "", F.col(pos))).alias(c)
     who = keyed.groupBy("member").agg(first("name"), first("role"))
-    days = keyed.select("member", F.explode("days").alias("d")).groupBy("member", "d.date").agg(F.sort_array(F.array_distinct(F.flatten(F.collect_list("d.items")))).alias("items"))
+    # Items are made distinct as rows: in an array each would be compared with all others. A day without items stays.
+    items = keyed.select("member", F.explode("days").alias("d")).select("member", "d.date", F.explode_outer(F.transform("d.items", lambda x: F.struct(x.alias("item")))).alias("i")).distinct()
+    days = items.groupBy("member", "date").agg(F.transform(F.sort_array(F.collect_list("i")), lambda i: i["item"]).alias("items"))
     days = days.select("member", F.struct("date", "items", day_summary(F.col("items")).alias("summary")).alias("d")).groupBy("member").agg(F.sort_array(F.collect_list("d")).alias("days"))
     return who.join(days, "member", "left")
 
