@@ -71,14 +71,21 @@ def with_date_range(args: Column, query: Column, reference: Column) -> Column:
 
 def time_slot(text: Column, day: Column) -> Column:
     """struct(first, last) of ``h:mm ~ h:mm``, hours in words, or one hour (an hour long) on a day; null if there is none."""
-    number = lambda pattern, k: F.nullif(F.regexp_extract(text, pattern, k), F.lit("")).cast("int")
-    at = lambda h, m: F.when((h <= 23) & (m <= 59), F.try_to_timestamp(F.format_string("%s %02d:%02d:00", day.cast("string"), h, m)).cast("timestamp_ntz"))
-    minutes = lambda pattern, *ks: F.coalesce(*[number(pattern, k) for k in ks], F.lit(0))
-    a, b = at(number(SLOT, 1), minutes(SLOT, 2, 3)), at(number(SLOT, 4), minutes(SLOT, 5, 6))
-    one = at(number(HOUR, 1), minutes(HOUR, 2, 3))
-    ranged = F.struct(a.alias("first"), b.alias("last"))
-    single = F.struct(one.alias("first"), (one + F.expr("interval 1 hour")).alias("last"))
-    return F.when(a.isNotNull() & b.isNotNull(), ranged).when(one.isNotNull(), single)
+    # Every value that is used again is bound by a lambda: as columns, each use would hold all of its expression.
+    bound = lambda value, f: F.get(F.transform(F.array(value), f), F.lit(0))
+    parts = lambda found, pattern, n: F.array(*[F.nullif(F.regexp_extract(found, pattern, k), F.lit("")).cast("int") for k in range(1, n + 1)])
+    # The parts of a match are looked for in the match only.
+    numbers = lambda pattern, n: bound(F.regexp_extract(text, pattern, 0), lambda found: F.when(found != "", parts(found, pattern, n)))
+
+    def at(h: Column, m: Column) -> Column:
+        return F.when((h <= 23) & (m <= 59), day.try_cast("date").cast("timestamp_ntz") + F.make_dt_interval(F.lit(0), h, m))
+
+    def clock(x: Column, k: int) -> Column:
+        return at(x[k], F.coalesce(x[k + 1], x[k + 2], F.lit(0)))
+
+    ranged = bound(numbers(SLOT, 6), lambda x: F.struct(clock(x, 0).alias("first"), clock(x, 3).alias("last")))
+    single = bound(bound(numbers(HOUR, 3), lambda x: clock(x, 0)), lambda one: F.struct(one.alias("first"), (one + F.expr("interval 1 hour")).alias("last")))
+    return bound(ranged, lambda r: F.when(r["first"].isNotNull() & r["last"].isNotNull(), r).otherwise(bound(single, lambda s: F.when(s["first"].isNotNull(), s))))
 
 
 def room_arguments(args: Column, query: Column) -> Column:

@@ -82,7 +82,8 @@ def q_page_events(spark: SparkSession, sf_dir: str) -> DataFrame:
 def q_time_slots(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = table(spark, sf_dir, "events").select("event_id", (F.col("event_id") % 24).cast("int").alias("h"), (F.col("event_id") % 60).cast("int").alias("m"))
     slot = A.time_slot(F.format_string("at %d:%02d please", F.col("h"), F.col("m")), F.lit("2026-06-10").cast("date"))
-    return rows.select("event_id", F.date_format(slot["first"], "HH:mm").alias("first"), F.date_format(slot["last"], "HH:mm").alias("last"))
+    made = rows.select("event_id", F.explode(F.array(slot)).alias("slot"))  # a generator binds it
+    return made.select("event_id", F.date_format("slot.first", "HH:mm").alias("first"), F.date_format("slot.last", "HH:mm").alias("last"))
 
 
 @query("""SELECT doc_id, CASE WHEN contains(lower(text), 'tion') THEN 'a' WHEN contains(lower(text), 'lich') THEN 'b' ELSE 'c' END AS team FROM documents""")
