@@ -16,6 +16,10 @@ from .retrieval import dot
 
 BLOCK = 1024
 PIVOTS = 1024
+#: Blocks of a cell, at most: each of its vectors is copied so often, however many they are.
+BLOCKS = 48
+#: Rows of a block whose products are made at once.
+ROWS = 1024
 #: Share of all pivots that a vector may visit on average. Where thresholds are so low that it would be more, pivots rule out
 #: too little to be worth the copies, and all vectors meet by blocks, each stored once.
 VISITS = 0.25
@@ -41,9 +45,12 @@ def similar_pairs(vectors: DataFrame, threshold: float, key: str = "id", vector:
     each pivot whose angle is at most twice the threshold's angle above that of its home: by the triangle inequality it
     meets there all vectors that are similar to it. What is far apart never meets. A cell with many members is dealt over
     pairs of blocks, whose pairs are a matrix product. A pair counts in the home of its smaller id. Vectors visit a share
-    ``VISITS`` of the pivots at most, on average over ``TRIED`` of them, or there is one pivot only.
+    ``VISITS`` of the pivots at most, on average over ``TRIED`` of them, or there is one pivot only. A cell has at most
+    ``BLOCKS`` blocks, so what is moved grows with the vectors; only the products, and the pairs, grow with their square.
     """
-    rows = vectors.select(F.col(key).alias("id"), F.col(vector).cast("array<double>").alias("v")).where("v is not null")
+    # Vectors of floats are moved as such, and multiplied in double precision.
+    number = "float" if vectors.schema[vector].dataType.simpleString() == "array<float>" else "double"
+    rows = vectors.select(F.col(key).alias("id"), F.col(vector).cast(f"array<{number}>").alias("v")).where("v is not null")
     many = max(1, min(PIVOTS, rows.count() // block))
     first = [r["v"] for r in rows.orderBy(F.xxhash64("id"), "id").limit(many + TRIED).collect()]
     pivots, tried = first[:many], first[many:]
@@ -55,26 +62,30 @@ def similar_pairs(vectors: DataFrame, threshold: float, key: str = "id", vector:
         p = np.array(pivots)
         for pdf in batches:
             if len(pdf):
-                far = np.arccos(np.clip(np.stack(pdf["v"].to_numpy()) @ p.T, -1, 1))
+                far = np.arccos(np.clip(np.stack(pdf["v"].to_numpy()).astype(np.float64) @ p.T, -1, 1))
                 home = far.argmin(1)
                 i, cell = np.nonzero(far <= far[np.arange(len(far)), home][:, None] + 2 * angle + 1e-6)
                 yield pd.DataFrame({"id": pdf["id"].to_numpy()[i], "v": pdf["v"].to_numpy()[i], "cell": cell, "home": home[i] == cell})
 
     kind = vectors.schema[key].dataType.simpleString()
-    met = stored(rows.mapInPandas(visits, f"id {kind}, v array<double>, cell int, home boolean"), "visits")
-    sizes = met.groupBy("cell").agg(F.ceil(F.count(F.lit(1)) / block).cast("int").alias("blocks"), F.max("home").alias("_any")).where("_any")
+    met = stored(rows.mapInPandas(visits, f"id {kind}, v array<{number}>, cell int, home boolean"), "visits")
+    sizes = met.groupBy("cell").agg(F.least(F.lit(BLOCKS), F.ceil(F.count(F.lit(1)) / block)).cast("int").alias("blocks"), F.max("home").alias("_any")).where("_any")
     met = met.join(F.broadcast(sizes), "cell").withColumn("block", F.pmod(F.xxhash64("id"), F.col("blocks")).cast("int"))  # a row a pivot
     cells = met.withColumn("_o", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))).select("cell", "id", "v", "home", "block", F.least("block", "_o").alias("x"), F.greatest("block", "_o").alias("y"))
 
     def pairs(cell: tuple, rows: pd.DataFrame) -> pd.DataFrame:
         ids, own, home = rows["id"].to_numpy(), rows["block"].to_numpy(), rows["home"].to_numpy()
-        m = np.stack(rows["v"].to_numpy())
-        sim = m @ m.T
-        keep = (sim >= threshold) & (ids[:, None] < ids[None, :]) & home[:, None]
-        if cell[1] != cell[2]:
-            keep &= own[:, None] != own[None, :]
-        i, j = np.nonzero(keep)
-        return pd.DataFrame({"a": ids[i], "b": ids[j], "similarity": sim[i, j]})
+        m = np.stack(rows["v"].to_numpy()).astype(np.float64)
+        out = []
+        for k in range(0, len(m), ROWS):
+            part = slice(k, k + ROWS)
+            sim = m[part] @ m.T
+            keep = (sim >= threshold) & (ids[part, None] < ids[None, :]) & home[part, None]
+            if cell[1] != cell[2]:
+                keep &= own[part, None] != own[None, :]
+            i, j = np.nonzero(keep)
+            out.append(pd.DataFrame({"a": ids[part][i], "b": ids[j], "similarity": sim[i, j]}))
+        return pd.concat(out)
 
     return cells.groupBy("cell", "x", "y").applyInPandas(pairs, f"a {kind}, b {kind}, similarity double")
 
