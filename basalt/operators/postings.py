@@ -75,17 +75,19 @@ def occurrences(docs: DataFrame, fields: list[str], key: str) -> DataFrame:
     return parted.mapInArrow(work, f"key {kind}, block long, term string, tf array<int>, dl array<int>")
 
 
-def build(docs: DataFrame, best: dict[str, float], cross: dict[str, float], key: str = "doc_id", block: int = BLOCK, parts: int = PARTS) -> FieldIndex:
+def build(docs: DataFrame, best: dict[str, float], cross: dict[str, float], key: str = "doc_id", block: int = BLOCK, parts: int = PARTS, terms: DataFrame | None = None) -> FieldIndex:
     """The index of all terms of ``best``'s fields, of which ``cross`` names some, each with its boost in the clause.
 
-    Null fields are empty. Keys may be of any type and should differ.
+    Null fields are empty. Keys may be of any type and should differ. With ``terms`` (term) the index holds these only, over
+    all documents: searches for them find what they find in the whole index.
     """
     spark, fields = docs.sparkSession, list(best)
     if not set(cross) <= set(best):
         raise ValueError("cross fields must be among the best fields")
     ship(spark)
     rows = stored(docs.select(key, *fields).withColumn("_row", F.monotonically_increasing_id()), "documents").withColumn("block", F.expr(f"_row div {block}"))
-    found = stored(occurrences(rows, fields, key), "occurrences")
+    found = occurrences(rows, fields, key)
+    found = stored(found if terms is None else found.join(terms.select("term").distinct(), "term", "left_semi"), "occurrences")
     n = len(fields)
     lengths = rows.agg(F.count(F.lit(1)).alias("n"), *[F.avg(F.size(T.terms(F.coalesce(F.col(f), F.lit(""))))).alias(f"l{i}") for i, f in enumerate(fields)]).first()  # one row
     many, average = float(lengths["n"]), [lengths[f"l{i}"] or 1.0 for i in range(n)]
