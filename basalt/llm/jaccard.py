@@ -31,6 +31,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .common import small_batches, stored, words
+from .encode import forget
 
 SHINGLE = 5
 THRESHOLD = 0.8
@@ -168,6 +169,7 @@ def signed(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataF
     def work(batches: Iterator) -> Iterator:
         import pyarrow as pa
 
+        forget()
         for batch in _bounded(batches, 1):
             w, sizes = _flat(batch.column(1))
             value, doc = shingles(w, sizes)

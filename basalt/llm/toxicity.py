@@ -26,6 +26,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from .common import small_batches
+from .encode import forget
 
 BUCKETS = 1 << 16
 DIMENSIONS = 8
@@ -249,6 +250,7 @@ def scored(docs: DataFrame, model: Model, text: str = "text") -> DataFrame:
     def work(batches: Iterator) -> Iterator:
         import pyarrow as pa
 
+        forget()
         scorer = Scorer(*shared.value)
         for batch in batches:
             column = batch.column(batch.schema.get_field_index(text))
