@@ -6,7 +6,11 @@ where frequent ones are the last to come, and only pairs of fitting sizes are co
 token that they meet by, and how much their prefixes share, bounds what they can share in all, which drops most of the rest.
 
 A token that many rows of a group have in their prefixes is dealt out: its rows go to blocks, and each pair of blocks is a cell
-of its own, so no task gets all of them. Rows with equal sets are one row until the pairs are found.
+of its own, so no task gets all of them. A row is in as many cells as there are blocks, so these are at most ``BLOCKS``, and grow
+beyond that: what moves is in proportion to the prefixes. Rows with equal sets are one row until the pairs are found.
+
+Pairs that meet are many more than those that are similar, so a bitmap of each set's tokens travels with it: every bit in which two
+bitmaps differ stands for a token that only one set has. That bounds what they share before a pair leaves the task where it met.
 """
 
 from __future__ import annotations
@@ -16,8 +20,10 @@ from pyspark.sql import functions as F
 
 from ..storage import stored
 
-#: Rows of a block of a frequent token.
-BLOCK = 512
+#: Rows of a block of a frequent token, and its blocks at most.
+BLOCK, BLOCKS = 512, 4
+#: 64-bit numbers of a bitmap.
+WORDS = 4
 
 
 def _least_common(size: Column, threshold: float) -> Column:
@@ -25,33 +31,47 @@ def _least_common(size: Column, threshold: float) -> Column:
     return F.ceil(size * threshold - 1e-9).cast("int")
 
 
+def _bitmap(tokens: Column) -> Column:
+    """A bit for the hash of each token, in ``WORDS`` numbers."""
+    h = F.transform(tokens, lambda t: F.pmod(F.xxhash64(t), F.lit(64 * WORDS)).cast("int"))
+    bit = lambda k: F.call_function("shiftleft", F.lit(1).cast("long"), F.pmod(k, F.lit(64)))
+    word = lambda h, w: F.aggregate(h, F.lit(0).cast("long"), lambda a, k: F.when(F.floor(k / 64) == w, a.bitwiseOR(bit(k))).otherwise(a))
+    return F.get(F.transform(F.array(h), lambda h: F.struct(*[word(h, w).alias(f"b{w}") for w in range(WORDS)])), F.lit(0))
+
+
 def prepared(rows: DataFrame, group: str, key: str, tokens: Column) -> tuple[DataFrame, DataFrame]:
-    """(set, group, tokens by rarity, size) of the different sets of each group, and (group, key, set). Empty sets are left out."""
+    """(set, group, tokens by rarity, size, bitmap) of the different sets of each group, and (group, key, set). Empty sets are left out."""
     base = rows.select(F.col(group).alias("group"), F.col(key).alias("key"), F.array_sort(F.array_distinct(F.filter(tokens, lambda t: t.isNotNull()))).alias("tokens")).where((F.size("tokens") > 0) & F.col("group").isNotNull())
     base = stored(base.withColumn("set", F.xxhash64("group", "tokens")), "sets")
     sets = base.groupBy("set", "group").agg(F.first("tokens").alias("tokens"))
     each = sets.select("set", "group", F.explode("tokens").alias("token"))
     df = each.groupBy("group", "token").agg(F.count(F.lit(1)).alias("df"))
     ordered = each.join(df, ["group", "token"]).groupBy("set", "group").agg(F.transform(F.sort_array(F.collect_list(F.struct("df", "token"))), lambda x: x["token"]).alias("tokens"))
-    return stored(ordered.withColumn("size", F.size("tokens")), "ordered"), base.select("group", "key", "set")
+    return stored(ordered.withColumn("size", F.size("tokens")).withColumn("bits", _bitmap(F.col("tokens"))), "ordered"), base.select("group", "key", "set")
+
+
+def dealt(prefix: DataFrame, block: int = BLOCK) -> DataFrame:
+    """Prefix rows whose token others have, once in each cell of their block: at most ``BLOCKS`` times."""
+    many = prefix.groupBy("group", "token").agg(F.count(F.lit(1)).alias("n")).where("n > 1").withColumn("blocks", F.least(F.ceil(F.col("n") / block), F.lit(BLOCKS)).cast("int"))
+    mine = F.pmod(F.xxhash64("set"), F.col("blocks")).cast("int")
+    cells = F.transform(F.sequence(F.lit(0), F.col("blocks") - 1), lambda x: F.struct(F.least("mine", x).alias("i"), F.greatest("mine", x).alias("j")))
+    return prefix.join(many, ["group", "token"]).withColumn("mine", mine).withColumn("cell", F.explode(cells)).select("group", "token", "cell", "mine", "set", "size", "at", "bits")
 
 
 def candidates(sets: DataFrame, threshold: float, block: int = BLOCK) -> DataFrame:
     """a, b: pairs of sets (a < b) that meet by a token and that the filters can't rule out."""
     width = F.col("size") - _least_common(F.col("size"), threshold) + 1
-    prefix = sets.select("set", "group", "size", F.posexplode(F.slice("tokens", 1, width)).alias("at", "token"))
-    many = prefix.groupBy("group", "token").agg(F.count(F.lit(1)).alias("n")).where("n > 1").withColumn("blocks", F.ceil(F.col("n") / block).cast("int"))
-    mine = F.pmod(F.xxhash64("set"), F.col("blocks")).cast("int")
-    cells = F.transform(F.sequence(F.lit(0), F.col("blocks") - 1), lambda x: F.struct(F.least("mine", x).alias("i"), F.greatest("mine", x).alias("j")))
-    dealt = prefix.join(many, ["group", "token"]).withColumn("mine", mine).withColumn("cell", F.explode(cells)).select("group", "token", "cell", "mine", "set", "size", "at")
-    other = dealt.select("group", "token", "cell", *[F.col(c).alias(f"{c}_b") for c in ("mine", "set", "size", "at")])
+    prefix = sets.select("set", "group", "size", "bits", F.posexplode(F.slice("tokens", 1, width)).alias("at", "token"))
+    rows = dealt(prefix, block)
+    other = rows.select("group", "token", "cell", *[F.col(c).alias(f"{c}_b") for c in ("mine", "set", "size", "at", "bits")])
     least = F.ceil((F.col("size") + F.col("size_b")) * (threshold / (1 + threshold)) - 1e-9)
     left = F.least(F.col("size") - F.col("at"), F.col("size_b") - F.col("at_b"))
     fits = (F.col("size") >= F.col("size_b") * threshold - 1e-9) & (F.col("size_b") >= F.col("size") * threshold - 1e-9)
+    differ = sum((F.bit_count(F.col(f"bits.b{w}").bitwiseXOR(F.col(f"bits_b.b{w}"))) for w in range(WORDS)), F.lit(0))
     # Both rows of a block meet in its own cell only.
     apart = (F.col("cell.i") == F.col("cell.j")) | (F.col("mine") != F.col("mine_b"))
     # Tokens before this one that both have aren't counted, so what they share is bounded by it and what follows, if it is the first.
-    met = dealt.join(other, ["group", "token", "cell"]).where((F.col("set") < F.col("set_b")) & fits & apart & (left + F.least("at", "at_b") >= least))
+    met = rows.join(other, ["group", "token", "cell"]).where((F.col("set") < F.col("set_b")) & fits & apart & (left + F.least("at", "at_b") >= least) & (differ <= F.col("size") + F.col("size_b") - 2 * least))
     # All shared tokens of the prefix that ends first lie in the other one too, so what two sets share is what their prefixes
     # share and what follows that prefix, at most.
     rest = lambda size: size - (size - _least_common(size, threshold) + 1)
