@@ -26,13 +26,13 @@ def bm25(docs: DataFrame, query: list[str], key: str = "doc_id", fields: dict[st
     """key, score of the documents that hold at least ``least`` query terms: the best weighted field of each counts.
 
     One pass counts the few query terms in each document (no postings of other terms are made), one aggregate gives
-    document frequencies and average lengths, and its single row is broadcast. A document is parted into terms once in
-    each pass: the counts of a field are one value, and a generator, below which no filter moves, drops what has no hit.
+    document frequencies and average lengths (a missing field has no length), and its single row is broadcast. A document is
+    parted into terms once in each pass: the counts of a field are one value, and a generator, below which no filter moves, drops what has no hit.
     """
     fields = fields or {"text": 1.0}
     query = list(dict.fromkeys(query))
     counts = {f: _counts(T.terms(F.coalesce(F.col(f), F.lit(""))), query) for f in fields}
-    every = docs.select(*[c.alias(f"_c_{f}") for f, c in counts.items()])
+    every = docs.select(*[F.when(F.col(f).isNotNull(), c).alias(f"_c_{f}") for f, c in counts.items()])
     stats = every.agg(F.count(F.lit(1)).alias("_n"), *[F.avg(F.get(f"_c_{f}", F.lit(0))).alias(f"_avg_{f}") for f in fields], *[F.sum((F.get(f"_c_{f}", F.lit(i + 1)) > 0).cast("int")).alias(f"_df_{f}_{i}") for f in fields for i in range(len(query))])
 
     def part(f: str, i: int) -> Column:
