@@ -64,9 +64,11 @@ def q_replace_by_key(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("""SELECT min(doc_id) AS doc_id, count(*) AS n FROM documents WHERE trim(text) <> '' GROUP BY sha256(text)""")
 def q_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    keyed = table(spark, sf_dir, "documents").select("doc_id", F.sha2("text", 256).alias("h"))
+    # As the SQL's trim: spaces of any width are blank, tabs and ends of lines aren't. Texts count as they are, not as their hashes.
+    filled = table(spark, sf_dir, "documents").where(F.col("text").rlike(r"[^\p{Zs}]"))
+    keyed = filled.select("doc_id", F.sha2("text", 256).alias("h"))
     n = keyed.groupBy("h").agg(F.count(F.lit(1)).alias("n"))
-    return dedup.first_wins(keyed, F.col("h"), F.asc("doc_id")).join(n, "h").select("doc_id", "n")
+    return dedup.first_wins(keyed, F.col("h"), F.asc_nulls_last("doc_id")).join(n, "h").select("doc_id", "n")
 
 
 @query(r"""WITH d AS (SELECT conv_id, turn, list_distinct(regexp_extract_all(lower(text), '[\p{L}\p{N}]+')) AS t FROM conversations)
