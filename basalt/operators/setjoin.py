@@ -11,6 +11,7 @@ beyond that: what moves is in proportion to the prefixes. Rows with equal sets a
 
 Pairs that meet are many more than those that are similar, so a bitmap of each set's tokens travels with it: every bit in which two
 bitmaps differ stands for a token that only one set has. That bounds what they share before a pair leaves the task where it met.
+How many rows are similar to each (``linked_rows``) is counted without moving any pairs, by ``linked``.
 """
 
 from __future__ import annotations
@@ -19,6 +20,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..storage import stored
+from . import linked
 
 #: Rows of a block of a frequent token, and its blocks at most.
 BLOCK, BLOCKS = 512, 4
@@ -110,11 +112,14 @@ def similar_rows(rows: DataFrame, group: str, key: str, tokens: Column, threshol
     return different.unionByName(equal if not strict or threshold < 1 else equal.limit(0))
 
 
-def linked_rows(rows: DataFrame, group: str, key: str, tokens: Column, threshold: float, strict: bool = False, block: int = BLOCK) -> DataFrame:
-    """group, key, set, n_similar: how many other rows of its group are similar to each row; equal rows are never paired."""
-    sets, members = similar_sets(rows, group, key, tokens, threshold, strict, block)
-    size = stored(members.groupBy("set").agg(F.count(F.lit(1)).alias("n")), "sizes")
-    both = sets.select(F.col("a").alias("set"), F.col("b").alias("o")).unionByName(sets.select(F.col("b").alias("set"), F.col("a").alias("o")))
-    links = both.join(size.withColumnRenamed("set", "o"), "o").groupBy("set").agg(F.sum("n").alias("others"))
+def linked_rows(rows: DataFrame, group: str, key: str, tokens: Column, threshold: float, strict: bool = False, block: int | None = None) -> DataFrame:
+    """group, key, set, n_similar: how many other rows of its group are similar to each row; equal rows are never paired.
+
+    Only counts leave a task, no pairs: see ``linked``. ``block``: sets of a block, at most.
+    """
+    if not 0 < threshold <= 1:
+        raise ValueError("the threshold must lie in (0, 1]")
+    members, links = linked.counted(rows, group, key, tokens, threshold, strict, block or linked.SETS)
+    size = members.groupBy("set").agg(F.count(F.lit(1)).alias("n"))
     own = F.lit(0) if strict and threshold >= 1 else F.col("n") - 1
     return members.join(size, "set").join(links, "set", "left").select("group", "key", "set", (own + F.coalesce("others", F.lit(0))).cast("long").alias("n_similar"))
