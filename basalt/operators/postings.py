@@ -11,23 +11,24 @@ A document's score is the sum of two clauses, as a query with both as alternativ
 * across fields: each term counts in the field where it is best, with one document frequency for all fields (the largest
   of them), as if they were one field.
 
-Documents are stored and numbered where they are read, so postings are made without a shuffle; frequencies are partial sums
-by term. Statistics meet postings by term, which Spark does by broadcast or splits where a term is frequent.
+Documents are numbered where they are read, once, so postings are made without a shuffle and texts aren't stored; frequencies are
+partial sums by term. Statistics meet postings by term, which Spark does by broadcast or splits where a term is frequent.
 """
 
 from __future__ import annotations
 
 from collections import Counter
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 from functools import reduce
 
+import numpy as np
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import text as T
 from ..session import ship
-from ..storage import shared_dir, stored
+from ..storage import remove, shared_dir, stored
 
 K1, B = 1.2, 0.75
 BLOCK = 128
@@ -37,6 +38,10 @@ PARTS = 32
 SEEDS = 2
 #: Scores are equal if they are so to this many digits; then the key decides.
 DIGITS = 6
+#: Scores that a task makes at a time.
+CELLS = 1 << 18
+#: Wanted terms that are looked for as texts are counted; more of them are met by a join.
+ASKED = 200_000
 
 
 @dataclass(frozen=True)
@@ -48,17 +53,24 @@ class FieldIndex:
     fields: int
 
 
-def occurrences(docs: DataFrame, fields: list[str], key: str) -> DataFrame:
-    """key, block, term, tf and dl (by field) of every document and term."""
+def occurrences(docs: DataFrame, fields: list[str], key: str, asked=None) -> DataFrame:
+    """key, block, term, tf and dl (by field) of every document and term; for the term "", which no text has, how many documents
+    a batch has (key is null) and their lengths in all.
+
+    ``asked`` is a broadcast of the terms that are wanted, or None for all.
+    """
 
     def work(batches: Iterator) -> Iterator:
         import pyarrow as pa
 
+        wanted = asked.value if asked else None
         for batch in batches:
             rows, terms, tfs, dls = [], [], [], []
             texts = [batch.column(2 + i).to_pylist() for i in range(len(fields))]
+            whole = [[[batch.num_rows] * len(fields)], [[sum(map(len, t)) for t in texts]]]
+            yield pa.RecordBatch.from_arrays([pa.nulls(1, batch.column(0).type), pa.array([0], pa.int64()), pa.array([""]), *[pa.array(x, pa.list_(pa.int32())) for x in whole]], names=["key", "block", "term", "tf", "dl"])
             for row in range(batch.num_rows):
-                counts = [Counter(t[row]) for t in texts]
+                counts = [Counter(t[row] if wanted is None else [w for w in t[row] if w in wanted]) for t in texts]
                 lengths = [len(t[row]) for t in texts]
                 for term in dict.fromkeys(w for c in counts for w in c):
                     rows.append(row)
@@ -85,12 +97,22 @@ def build(docs: DataFrame, best: dict[str, float], cross: dict[str, float], key:
     if not set(cross) <= set(best):
         raise ValueError("cross fields must be among the best fields")
     ship(spark)
-    rows = stored(docs.select(key, *fields).withColumn("_row", F.monotonically_increasing_id()), "documents").withColumn("block", F.expr(f"_row div {block}"))
-    found = occurrences(rows, fields, key)
-    found = stored(found if terms is None else found.join(terms.select("term").distinct(), "term", "left_semi"), "occurrences")
+    rows = docs.select(key, *fields).withColumn("block", F.expr(f"monotonically_increasing_id() div {block}"))
+    asked = None
+    if terms is not None:
+        terms = stored(terms.select("term").distinct(), "asked")
+        some = [r["term"] for r in terms.limit(ASKED + 1).collect()]
+        asked = spark.sparkContext.broadcast(frozenset(some)) if len(some) <= ASKED else None
+    found = occurrences(rows, fields, key, asked)
+    known_terms = None if terms is None or asked else terms.union(spark.createDataFrame([("",)], "term string"))
+    at = shared_dir(spark, "occurrences")
+    (found if known_terms is None else found.join(known_terms, "term", "left_semi").select(*found.columns)).write.parquet(at)
+    found = spark.read.schema(found.schema).parquet(at)
     n = len(fields)
-    lengths = rows.agg(F.count(F.lit(1)).alias("n"), *[F.avg(F.size(T.terms(F.coalesce(F.col(f), F.lit(""))))).alias(f"l{i}") for i, f in enumerate(fields)]).first()  # one row
-    many, average = float(lengths["n"]), [lengths[f"l{i}"] or 1.0 for i in range(n)]
+    lengths = found.where("term = ''").agg(F.sum(F.get("tf", F.lit(0))).alias("n"), *[F.sum(F.get("dl", F.lit(i))).alias(f"l{i}") for i in range(n)]).first()  # one row
+    many = float(lengths["n"] or 0)
+    average = [(lengths[f"l{i}"] or 0) / many if lengths[f"l{i}"] else 1.0 for i in range(n)]
+    found = found.where("term <> ''")
     df = found.groupBy("term").agg(*[F.sum((F.get("tf", F.lit(i)) > 0).cast("long")).alias(f"df{i}") for i in range(n)])
     blended = reduce(F.greatest, [F.col(f"df{i}") for i, f in enumerate(fields) if f in cross]) if len(cross) > 1 else F.col(f"df{fields.index(next(iter(cross)))}") if cross else F.lit(0)
 
@@ -111,6 +133,7 @@ def build(docs: DataFrame, best: dict[str, float], cross: dict[str, float], key:
     scored.sortWithinPartitions("part", "term", "block").write.partitionBy("part").parquet(path)
     postings = spark.read.schema(scored.schema).parquet(path)
     tops = [F.max(F.get("best", F.lit(i))).alias(f"b{i}") for i in range(n)]
+    remove(spark, at)
     blocks = stored(postings.groupBy("term", "block", "part").agg(*tops, F.max("cross").alias("c")), "blocks")
     return FieldIndex(postings, blocks, n)
 
@@ -134,18 +157,65 @@ def search(index: FieldIndex, queries: DataFrame, k: int, query: str = "query",
     first = stored(bounds.withColumn("_r", F.row_number().over(highest)).where(F.col("_r") <= seeds).drop("_r"), "seeds")
     order = [F.desc("score"), "key"]
     kth = Window.partitionBy("query").orderBy(*order)
-    threshold = _scored(index, asked, first).withColumn("_r", F.row_number().over(kth)).where(F.col("_r") == k).select("query", F.col("score").alias("threshold"))
-    wanted = stored(bounds.join(threshold, "query", "left").where(F.col("threshold").isNull() | (F.col("bound") >= F.col("threshold") - 10.0**-DIGITS)).select("query", "block", "part", "bound"), "wanted")
+    threshold = _scored(index, asked, first.withColumn("threshold", F.lit(None).cast("double")), k).withColumn("_r", F.row_number().over(kth)).where(F.col("_r") == k).select("query", F.col("score").alias("threshold"))
+    wanted = stored(bounds.join(threshold, "query", "left").where(F.col("threshold").isNull() | (F.col("bound") >= F.col("threshold") - 10.0**-DIGITS)).select("query", "block", "part", "threshold"), "wanted")
     if reads is not None:
         reads.append((wanted.count(), bounds.count()))
-    return _scored(index, asked, wanted).withColumn("rank", F.row_number().over(kth)).where(F.col("rank") <= k).select("query", "key", "score", "rank")
+    return _scored(index, asked, wanted, k).withColumn("rank", F.row_number().over(kth)).where(F.col("rank") <= k).select("query", "key", "score", "rank")
+
 
+def _scorer(n: int, k: int) -> Callable:
+    """Scores of a block's documents for the queries that want the block: those that may be among the query's k best."""
+    slack = 2 * 10.0**-DIGITS  # scores are rounded later
 
-def _scored(index: FieldIndex, asked: DataFrame, wanted: DataFrame) -> DataFrame:
-    """query, key, score of all documents of the wanted blocks (query, block, part) that hold a term."""
+    def work(postings, asked):
+        import pyarrow as pa
+        import pyarrow.compute as pc
+
+        at = lambda c: c.combine_chunks().dictionary_encode("encode")
+        docs, queries, terms = at(postings.column("key")), at(asked.column("query")), at(postings.column("term"))
+        doc, term = docs.indices.to_numpy(), terms.indices.to_numpy()
+        order = np.argsort(term, kind="stable")
+        first = np.concatenate([[0], np.cumsum(np.bincount(term, minlength=len(terms.dictionary)))])
+        values = [np.asarray(postings.column(f"b{i}"))[order] for i in range(n)] + [np.asarray(postings.column("c"))[order]]
+        doc, nd = doc[order], len(docs.dictionary)
+        code = pc.index_in(asked.column("term").combine_chunks(), terms.dictionary).fill_null(-1).to_numpy()
+        query, least = queries.indices.to_numpy(), np.asarray(asked.column("threshold").fill_null(-np.inf))
+        by = np.argsort(query, kind="stable")
+        some = by[code[by] >= 0]
+        ends = np.searchsorted(query[some], np.arange(len(queries.dictionary) + 1))
+        floor = np.full(len(queries.dictionary), -np.inf)
+        np.maximum.at(floor, query, least)
+        out, step = [], max(1, CELLS // nd)
+        for a in range(0, len(queries.dictionary), step):
+            b = min(a + step, len(queries.dictionary))
+            mine = some[ends[a] : ends[b]]
+            many = first[code[mine] + 1] - first[code[mine]]
+            total = np.concatenate([[0], np.cumsum(many)])
+            hit = np.arange(total[-1]) + np.repeat(first[code[mine]] - total[:-1], many)
+            cell = np.repeat((query[mine] - a) * nd, many) + doc[hit]
+            *best, cross = [np.bincount(cell, v[hit], (b - a) * nd) for v in values]
+            score = np.where(np.bincount(cell, minlength=(b - a) * nd) > 0, reduce(np.maximum, best) + cross, -np.inf).reshape(b - a, nd)
+            lowest = floor[a:b] if nd <= k else np.maximum(floor[a:b], np.partition(score, nd - k, axis=1)[:, nd - k])
+            q, d = np.nonzero((score >= lowest[:, None] - slack) & (score > -np.inf))
+            out.append((q + a, d, score[q, d]))
+        q, d, score = (np.concatenate(x) for x in zip(*out, strict=True))
+        return pa.table([queries.dictionary.take(pa.array(q)), docs.dictionary.take(pa.array(d)), pa.array(score)], names=["query", "key", "total"])
+
+    return work
+
+
+def _scored(index: FieldIndex, asked: DataFrame, wanted: DataFrame, k: int) -> DataFrame:
+    """query, key, score of documents of the wanted blocks (query, block, part, threshold) that hold a term: at least the k best of each query.
+
+    Postings and queries meet by block, where whole scores are made; so no row of a query, a document and a term leaves a task.
+    """
     n = index.fields
     parts = [r["part"] for r in wanted.select("part").distinct().collect()]  # at most PARTS
-    pairs = asked.join(wanted.select("query", "block"), "query")
+    pairs = asked.join(wanted.select("query", "block", "threshold"), "query")
     postings = index.postings.where(F.col("part").isin(parts)) if parts else index.postings.limit(0)
-    found = postings.join(pairs, ["term", "block"]).groupBy("query", "key", "block").agg(*[F.sum(F.get("best", F.lit(i))).alias(f"b{i}") for i in range(n)], F.sum("cross").alias("c"))
-    return found.select("query", "key", F.round(_total(n), DIGITS).alias("score"))
+    read = postings.join(wanted.select("block").distinct(), "block", "left_semi").select("block", "key", "term", *[F.get("best", F.lit(i)).alias(f"b{i}") for i in range(n)], F.col("cross").alias("c"))
+    kinds = {"query": asked.schema["query"].dataType.simpleString(), "key": index.postings.schema["key"].dataType.simpleString()}
+    met = read.groupBy("block").cogroup(pairs.select("block", "query", "term", "threshold").groupBy("block"))
+    found = met.applyInArrow(_scorer(n, k), f"query {kinds['query']}, key {kinds['key']}, total double")
+    return found.select("query", "key", F.round("total", DIGITS).alias("score"))
